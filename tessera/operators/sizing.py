@@ -1,0 +1,24 @@
+"""Broadcast only behind a checked size bound.
+
+``bounded_broadcast`` counts at most ``max_rows + 1`` rows of the candidate
+side (a limited scan that stops early). Within the bound the side is marked for
+a broadcast hash join; beyond it the frame is returned unmarked and Spark plans
+a shuffled join (sort-merge, with AQE skew splitting). Sides whose size is fixed
+by construction (the class table, a list of special tokens, per-partition
+offsets) are passed through ``F.broadcast`` directly at the call site.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_ROWS = 2_000_000
+
+
+def fits(df: DataFrame, max_rows: int) -> bool:
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    return F.broadcast(df) if fits(df, max_rows) else df
