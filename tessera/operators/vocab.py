@@ -1,0 +1,24 @@
+"""Vocabulary operators: G4 (extend), D13 (best adjacent pair), I6 (byte-level
+BPE training), A12 helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def extend_vocabulary(vocab: DataFrame, tokens: list[str]) -> DataFrame:
+    """G4 ``add_tokens``: tokens already present keep their id; new ones get
+    ids after the highest, in list order. The added list is a parameter (its
+    size is known), the vocabulary is bounded by its size parameter."""
+    spark = vocab.sparkSession
+    seen, add = set(), []
+    for t in tokens:
+        if t not in seen:
+            seen.add(t)
+            add.append((t, len(add)))
+    new = spark.createDataFrame(add, "token string, ord int").join(vocab.select("token"), "token", "left_anti")
+    top = vocab.agg(F.max("id")).first()[0]
+    top = -1 if top is None else int(top)
+    new = new.select("token", (F.lit(top) + F.row_number().over(Window.orderBy("ord"))).cast("int").alias("id"))
+    return vocab.select("token", F.col("id").cast("int").alias("id")).unionByName(new)

@@ -35,3 +35,40 @@ def fixture_label_rows(spark: SparkSession, d: str) -> DataFrame:
     targets = fx.fx_target(spark, d)
     wc = word_classes(fx.fx_dict(spark, d), targets)
     return label_rows(fx.fx_truth(spark, d), fx.fx_cand(spark, d), wc, class_count(targets))
+
+
+# Run date of the fixture jobs (B6: the date is an argument of the job).
+RUN_DATE = "20240201"
+
+OUTPUT_SCHEMA = "csno string, y_pred_ml array<int>, y_pred_txt array<string>, y_true_ml array<int>, y_true_txt string, part_dt string"
+INPUT_SCHEMA = "csno bigint, X string, Y array<int>, Y_txt string"
+
+
+def fixture_eval_input(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation input (csno, X prompt text, Y truth classes, Y_txt truth
+    text): the prompt is the customer's week-1 words."""
+    from tessera.operators.lookup import classes_of
+    targets = fx.fx_target(spark, d)
+    wc = word_classes(fx.fx_dict(spark, d), targets)
+    t = fx.fx_truth(spark, d)
+    y = classes_of(t, ["csno"], wc)
+    x = fx.fx_cand(spark, d).where(F.col("cand_no") == 1).select("csno", F.array_join("words", " ").alias("X"))
+    return (t.join(x, "csno", "left").join(y, "csno")
+            .select("csno", F.coalesce("X", F.lit("")).alias("X"), F.col("classes").alias("Y"),
+                    F.array_join("words", " ").alias("Y_txt")))
+
+
+def fixture_eval_output(spark: SparkSession, d: str, run_date: str = RUN_DATE) -> DataFrame:
+    """The evaluation output rows (B10 column subset + B6 run date), typed by
+    the declared output schema (A7)."""
+    from pyspark.sql import types as T
+    from tessera.sources.tables import conform
+    rows = fixture_label_rows(spark, d)
+    texts = (fx.fx_cand(spark, d).groupBy("csno")
+             .agg(F.array_sort(F.collect_list(F.struct("cand_no", F.array_join("words", " ").alias("t")))).alias("_s"))
+             .select("csno", F.transform("_s", lambda s: s["t"]).alias("y_pred_txt")))
+    truth = fx.fx_truth(spark, d).select("csno", F.array_join("words", " ").alias("y_true_txt"))
+    out = (rows.join(texts, "csno", "left").join(truth, "csno")
+           .select("csno", "y_pred_ml", F.coalesce("y_pred_txt", F.array().cast("array<string>")).alias("y_pred_txt"),
+                   "y_true_ml", "y_true_txt", F.lit(run_date).alias("part_dt")))
+    return conform(out, T._parse_datatype_string(OUTPUT_SCHEMA))

@@ -101,9 +101,16 @@ def fx_done(spark: SparkSession, d: str) -> DataFrame:
             .select(F.col("user_id").alias("csno")))
 
 
-def fx_vocab(spark: SparkSession, d: str) -> DataFrame:
-    """Word-piece vocabulary: distinct pieces of fx_token plus separators and
-    week tokens, ids 0.. in token order."""
-    from tessera.functions.text import special_tokens_frame
-    toks = fx_token(spark, d).select("token").union(special_tokens_frame(spark)).distinct()
+def fx_vocab_base(spark: SparkSession, d: str) -> DataFrame:
+    """Word-piece vocabulary: distinct pieces of fx_token, ids 0.. in token
+    order (a vocabulary is bounded by its size parameter, so one ordered
+    window over it is fine)."""
+    toks = fx_token(spark, d).select("token").distinct()
     return toks.select("token", (F.row_number().over(Window.orderBy("token")) - 1).alias("id"))
+
+
+def fx_vocab(spark: SparkSession, d: str) -> DataFrame:
+    """The base vocabulary extended with the separators and week tokens."""
+    from tessera.functions.text import SEPARATORS, WEEK_TOKENS
+    from tessera.operators.vocab import extend_vocabulary
+    return extend_vocabulary(fx_vocab_base(spark, d), SEPARATORS + WEEK_TOKENS)

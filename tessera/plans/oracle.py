@@ -42,11 +42,16 @@ FIXTURE_SQL: dict[str, tuple[list[str], str]] = {
     "fx_done": ([], """
         SELECT user_id AS csno FROM events WHERE ts < TIMESTAMP '2024-01-01 06:00:00'"""),
     "fx_special": ([], """
-        SELECT * FROM (VALUES ('[EOHW]'), ('[EOW]')) s(token)
-        UNION ALL SELECT '[' || i || ']' FROM range(1, 53) r(i)"""),
-    "fx_vocab": (["fx_token", "fx_special"], """
+        SELECT * FROM (VALUES ('[EOHW]', 1), ('[EOW]', 2)) s(token, ord)
+        UNION ALL SELECT '[' || i || ']', i + 2 FROM range(1, 53) r(i)"""),
+    "fx_vocab_base": (["fx_token"], """
         SELECT token, CAST(row_number() OVER (ORDER BY token) - 1 AS INTEGER) AS id
-        FROM (SELECT token FROM fx_token UNION SELECT token FROM fx_special)"""),
+        FROM (SELECT DISTINCT token FROM fx_token)"""),
+    "fx_vocab": (["fx_vocab_base", "fx_special"], """
+        SELECT token, id FROM fx_vocab_base
+        UNION ALL
+        SELECT token, CAST((SELECT max(id) FROM fx_vocab_base) + row_number() OVER (ORDER BY ord) AS INTEGER)
+        FROM fx_special WHERE token NOT IN (SELECT token FROM fx_vocab_base)"""),
     # H22 + C3 on the dictionary side: (word, class_id) of target words.
     "fx_dict_one": (["fx_dict", "fx_target"], """
         SELECT u.word, arg_min(u.category, (CASE WHEN t.class_id IS NULL THEN 1 ELSE 0 END) * 1000000 + u.pos) AS category
