@@ -104,9 +104,11 @@ def _order(names: list[str]) -> list[str]:
     return seen
 
 
-def with_fixtures(needs: list[str], body: str, ctes: list[tuple[str, str]] = ()) -> str:
+def with_fixtures(needs: list[str], body: str, ctes: list[tuple[str, str]] = (),
+                  recursive: bool = False) -> str:
     """``WITH <fixtures needed, in dependency order>, <own ctes> <body>``."""
     parts = [f"{n} AS ({FIXTURE_SQL[n][1]})" for n in _order(needs)]
     parts += [f"{n} AS ({q})" for n, q in ctes]
-    head = ("WITH " + ",\n".join(parts) + "\n") if parts else ""
+    kw = "WITH RECURSIVE " if recursive else "WITH "
+    head = (kw + ",\n".join(parts) + "\n") if parts else ""
     return head + body

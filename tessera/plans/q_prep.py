@@ -1 +1,153 @@
-"""(filled below)"""
+"""Queries of sequence preparation: B5, F1, I1-I5."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import text as Tx
+from tessera.operators import lmprep as L
+from tessera.operators import words as Wd
+from tessera.operators.ordinals import batch_of, row_ordinals
+from tessera.plans import fixtures as fx
+from tessera.plans.catalog import register
+from tessera.plans.oracle import with_fixtures
+from tessera.plans.q_words import _GEN_TEXT, _GLUED, _TOK_PROB, _WORDS, generated_text
+from tessera.session import table
+
+CONTEXT = 1024              # context length (reference config)
+MAX_PROMPT = 1024 - 9       # positions minus new tokens
+PAD = 0
+SAMPLE_SEED, SAMPLE_RATIO = "42", 0.5
+
+_DOC_IDS = ("docs", """
+    SELECT doc_id, CASE WHEN length(text) = 0 THEN []::INTEGER[]
+                        ELSE list_transform(string_split(text, ''), lambda c: CAST(unicode(c) AS INTEGER)) END AS ids
+    FROM documents""")
+
+
+def doc_ids(spark, d):
+    return table(spark, d, "documents").select("doc_id", L.code_points("text").alias("input_ids"))
+
+
+def _sum_ids(c):
+    return F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+@register("i1_chunk_sequences", with_fixtures([], f"""
+    SELECT doc_id, CAST(start // {CONTEXT} AS INTEGER) AS chunk_no, CAST(len(ch) AS INTEGER) AS n, ch[1] AS first_id,
+           ch[len(ch)] AS last_id, CAST(list_sum(ch) AS BIGINT) AS id_sum
+    FROM (SELECT doc_id, start, ids[start + 1: start + {CONTEXT}] AS ch
+          FROM (SELECT doc_id, ids, unnest(range(0, len(ids), {CONTEXT})) AS start FROM docs))""", [_DOC_IDS]))
+def q_i1(spark, d):
+    ch = L.chunk_sequences(doc_ids(spark, d), ["doc_id"], "input_ids", CONTEXT)
+    return ch.select("doc_id", "chunk_no", F.size("input_ids").alias("n"), F.get("input_ids", 0).alias("first_id"),
+                     F.element_at("input_ids", -1).alias("last_id"), _sum_ids("input_ids").alias("id_sum"))
+
+
+@register("b5_rename_column", with_fixtures([], "SELECT doc_id, CAST(len(ids) AS INTEGER) AS n FROM docs", [_DOC_IDS]))
+def q_b5(spark, d):
+    r = L.rename_ids(doc_ids(spark, d), "input_ids", "evnt")
+    return r.select("doc_id", F.size("evnt").alias("n"))
+
+
+@register("f1_exact_sample", f"""
+    SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('{SAMPLE_SEED}' || CAST(doc_id AS VARCHAR))) AS rn,
+                               count(*) OVER () AS n FROM documents)
+    WHERE rn <= floor(n * {SAMPLE_RATIO})""")
+def q_f1(spark, d):
+    return L.sample_exact(table(spark, d, "documents").select("doc_id"), "doc_id", SAMPLE_RATIO, SAMPLE_SEED)
+
+
+_BS_PROMPT = 2
+
+
+@register("i4_left_pad_batch", with_fixtures([], f"""
+    SELECT doc_id, batch_id, CAST(w AS INTEGER) AS width, CAST(w - len(x) AS INTEGER) AS n_pad,
+           CAST(coalesce(list_sum(x), 0) AS BIGINT) AS id_sum,
+           CASE WHEN w > len(x) THEN {PAD} ELSE x[1] END AS first_id
+    FROM (SELECT *, max(len(x)) OVER (PARTITION BY batch_id) AS w FROM (
+          SELECT doc_id, ids[1:{MAX_PROMPT}] AS x, (row_number() OVER (ORDER BY doc_id) - 1) // {_BS_PROMPT} AS batch_id FROM docs))""",
+    [_DOC_IDS]))
+def q_i4(spark, d):
+    r = row_ordinals(doc_ids(spark, d), ["doc_id"]).withColumn("batch_id", batch_of("rn", _BS_PROMPT))
+    p = L.pad_batch(r, "batch_id", "input_ids", PAD, "left", MAX_PROMPT)
+    return p.select("doc_id", "batch_id", F.size("input_ids").alias("width"),
+                    (F.size("input_ids") - F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)).alias("n_pad"),
+                    _sum_ids("input_ids").alias("id_sum"), F.get("input_ids", 0).alias("first_id"))
+
+
+_BS_TRAIN = 32
+
+
+@register("i5_collate_causal", with_fixtures([], f"""
+    SELECT doc_id, chunk_no, CAST(w AS INTEGER) AS width, CAST(w - len(ch) AS INTEGER) AS n_ignore,
+           CAST(list_sum(ch) AS BIGINT) AS label_sum
+    FROM (SELECT *, max(len(ch)) OVER (PARTITION BY batch_id) AS w FROM (
+          SELECT *, (row_number() OVER (ORDER BY doc_id, chunk_no) - 1) // {_BS_TRAIN} AS batch_id FROM (
+            SELECT doc_id, CAST(start // {CONTEXT} AS INTEGER) AS chunk_no, ids[start + 1: start + {CONTEXT}] AS ch
+            FROM (SELECT doc_id, ids, unnest(range(0, len(ids), {CONTEXT})) AS start FROM docs))))""", [_DOC_IDS]))
+def q_i5(spark, d):
+    ch = L.chunk_sequences(doc_ids(spark, d), ["doc_id"], "input_ids", CONTEXT).select("doc_id", "chunk_no", "input_ids")
+    r = row_ordinals(ch, ["doc_id", "chunk_no"]).withColumn("batch_id", batch_of("rn", _BS_TRAIN))
+    c = L.collate_causal(r, "batch_id", "input_ids", PAD)
+    kept = F.filter("labels", lambda v: v != -100)
+    return c.select("doc_id", "chunk_no", F.size("labels").alias("width"),
+                    F.size(F.filter("labels", lambda v: v == -100)).alias("n_ignore"), _sum_ids(kept).alias("label_sum"))
+
+
+# ---------------------------------------------------------------- word pieces
+KEEP_WHOLE = r"\[(?:EOHW|EOW|[1-9]|[1-4][0-9]|5[0-2])\]"
+_PATTERN_SQL = r"'(?:\[(?:EOHW|EOW|[1-9]|[1-4][0-9]|5[0-2])\]|[^\s\p{P}!-/:-@\[-`{-~]+|[\p{P}!-/:-@\[-`{-~])'"
+RETOKENIZE_MAX = 12
+
+
+def _wordpiece_sql(texts_cte: tuple[str, str], max_len: int | None) -> list[tuple[str, str]]:
+    cut = f"[1:{max_len}]" if max_len else ""
+    return [texts_cte,
+            ("wl", f"SELECT csno, cand_no, regexp_extract_all(text, {_PATTERN_SQL}) AS ws FROM texts"),
+            ("words", "SELECT csno, cand_no, unnest(range(len(ws))) AS wpos, unnest(ws) AS word FROM wl"),
+            ("dw", "SELECT DISTINCT word FROM words WHERE length(word) > 0"),
+            ("pc", """SELECT word, s, e, (CASE WHEN s > 0 THEN '##' ELSE '' END) || substr(word, s + 1, e - s) AS piece
+                      FROM (SELECT word, s, unnest(range(s + 1, length(word) + 1)) AS e
+                            FROM (SELECT word, unnest(range(length(word))) AS s FROM dw WHERE length(word) <= 100))"""),
+            ("best", "SELECT word, s, max(e) AS e FROM pc JOIN (SELECT DISTINCT token FROM fx_vocab) v ON v.token = pc.piece GROUP BY 1, 2"),
+            ("walk(word, pos, toks)", """
+                SELECT word, 0, []::VARCHAR[] FROM dw
+                UNION ALL
+                SELECT w.word, b.e, list_append(w.toks, (CASE WHEN w.pos > 0 THEN '##' ELSE '' END) || substr(w.word, w.pos + 1, b.e - w.pos))
+                FROM walk w JOIN best b ON b.word = w.word AND b.s = w.pos WHERE w.pos < length(w.word)"""),
+            ("enc", """SELECT dw.word, coalesce(k.toks, ['[UNK]']) AS pieces FROM dw
+                       LEFT JOIN (SELECT word, toks FROM walk WHERE pos = length(word)) k USING (word)"""),
+            ("tk", """SELECT x.csno, x.cand_no, x.wpos, unnest(range(len(e.pieces))) AS tpos, unnest(e.pieces) AS token
+                      FROM words x JOIN enc e USING (word)"""),
+            ("res", f"""SELECT csno, cand_no, array_to_string(list(token ORDER BY wpos, tpos){cut}, ' ') AS tokens,
+                              array_to_string(list(v.id ORDER BY wpos, tpos){cut}, ',') AS ids
+                       FROM tk LEFT JOIN fx_vocab v USING (token) GROUP BY 1, 2""")]
+
+
+def _flat(enc):
+    return enc.select("csno", "cand_no", F.array_join("tokens", " ").alias("tokens"), F.array_join("ids", ",").alias("ids"))
+
+
+@register("i3_wordpiece_encode", with_fixtures(
+    ["fx_token", "fx_vocab"], "SELECT csno, cand_no, tokens, ids FROM res",
+    [_TOK_PROB, _WORDS, _GLUED, _GEN_TEXT] + _wordpiece_sql(("texts", "SELECT csno, cand_no, text FROM gen"), None),
+    recursive=True))
+def q_i3(spark, d):
+    enc = L.wordpiece_encode(generated_text(spark, d), ["csno", "cand_no"], "text", fx.fx_vocab(spark, d), KEEP_WHOLE)
+    return _flat(enc)
+
+
+@register("i2_decode_retokenize", with_fixtures(
+    ["fx_token", "fx_vocab"], "SELECT csno, cand_no, tokens, ids FROM res",
+    _wordpiece_sql(("texts", """SELECT csno, cand_no, trim(replace(string_agg(token, ' ' ORDER BY pos), ' ##', '')) AS text
+                                FROM fx_token GROUP BY 1, 2"""), RETOKENIZE_MAX), recursive=True))
+def q_i2(spark, d):
+    vocab = fx.fx_vocab(spark, d)
+    tok = fx.fx_token(spark, d).join(F.broadcast(vocab), "token")
+    ids = tok.groupBy("csno", "cand_no").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
+    toks = Wd.ids_to_tokens(ids, ["csno", "cand_no"], vocab)
+    text = toks.select("csno", "cand_no", Wd.decode_wordpiece("tokens").alias("text"))
+    enc = L.wordpiece_encode(text, ["csno", "cand_no"], "text", vocab, KEEP_WHOLE, max_length=RETOKENIZE_MAX)
+    return _flat(enc)
