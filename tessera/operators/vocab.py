@@ -3,7 +3,7 @@ BPE training), A12 helpers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,3 +22,176 @@ def extend_vocabulary(vocab: DataFrame, tokens: list[str]) -> DataFrame:
     top = -1 if top is None else int(top)
     new = new.select("token", (F.lit(top) + F.row_number().over(Window.orderBy("ord"))).cast("int").alias("id"))
     return vocab.select("token", F.col("id").cast("int").alias("id")).unionByName(new)
+
+
+# ---------------------------------------------------------------- pre-tokenisation
+# The published GPT-2 pre-tokenisation pattern (fixed value; Java regex takes
+# its look-ahead). (?U) makes \s Unicode-aware like the original engine.
+GPT2_PATTERN = r"""(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+SPECIAL_TOKENS = ["<|endoftext|>", "<|padding|>"]
+
+
+def nfkc(text):
+    """H5 (see ``tessera.functions.unicode``)."""
+    from tessera.functions.unicode import nfkc as _nfkc
+    return _nfkc(text)
+
+
+def byte_code_point(b):
+    """Byte -> code point of its printable stand-in (the byte-level rule):
+    printable Latin-1 bytes map to themselves, the others to 256.. in order."""
+    printable = b.between(33, 126) | b.between(161, 172) | b.between(174, 255)
+    return (F.when(printable, b).when(b <= 32, b + 256).when(b.between(127, 160), b + 162)
+            .otherwise(F.lit(323)))
+
+
+def byte_level(word):
+    """H6 second half: UTF-8 bytes of a word as printable characters."""
+    w = F.col(word) if isinstance(word, str) else word
+    pairs = F.regexp_extract_all(F.hex(F.encode(w, "UTF-8")), F.lit("(..)"), 1)
+    chars = F.transform(pairs, lambda h: F.decode(F.unhex(F.lpad(F.hex(byte_code_point(F.conv(h, 16, 10).cast("int"))), 4, "0")),
+                                                  "UTF-16BE"))
+    return F.array_join(chars, "")
+
+
+def pretokenize(text):
+    """H6 first half: GPT-2 pattern matches, in order."""
+    t = F.col(text) if isinstance(text, str) else text
+    return F.regexp_extract_all(t, F.lit(GPT2_PATTERN), 0)
+
+
+def word_frequencies(texts: DataFrame, text: str, normalize: bool = True) -> DataFrame:
+    """(word, freq) of byte-level words: NFKC, pre-tokenise, count (partial
+    aggregation: the table is the distinct words, not the corpus), then map
+    the distinct words to byte-level characters."""
+    t = texts.select((nfkc(text) if normalize else F.col(text)).alias("t"))
+    w = t.select(F.explode(pretokenize("t")).alias("w")).where(F.length("w") > 0)
+    freq = w.groupBy("w").agg(F.count(F.lit(1)).alias("freq"))
+    return freq.select(byte_level("w").alias("word"), "freq").groupBy("word").agg(F.sum("freq").alias("freq"))
+
+
+# ---------------------------------------------------------------- pairs and merges
+def symbols_of(word) -> Column:
+    """A word as space-separated symbols (byte-level characters never contain
+    a space: byte 32 maps to U+0120)."""
+    w = F.col(word) if isinstance(word, str) else word
+    return F.array_join(F.split(w, ""), " ")
+
+
+def pair_counts(words: DataFrame, syms: str = "syms", freq: str = "freq") -> DataFrame:
+    """Adjacent symbol pairs weighted by word frequency."""
+    s = F.split(F.col(syms), " ")
+    z = F.arrays_zip(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))).alias("l"),
+                     F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))).alias("r"))
+    return (words.where(F.size(s) > 1).select(F.explode(z).alias("p"), freq)
+            .groupBy(F.col("p.l").alias("left"), F.col("p.r").alias("right"))
+            .agg(F.sum(freq).alias("cnt")))
+
+
+def best_pair(counts: DataFrame) -> DataFrame:
+    """The most frequent pair, ties by (left, right): a top-1 report."""
+    return counts.orderBy(F.desc("cnt"), "left", "right").limit(1)
+
+
+def _quote(sym: str) -> str:
+    return "".join(ch if ch.isalnum() else "\\" + ch for ch in sym)
+
+
+def apply_merges(words: DataFrame, merges: list[tuple[str, str]], syms: str = "syms") -> DataFrame:
+    """Apply symbol-disjoint merges in one left-to-right regex pass (the same
+    result as applying them one after another)."""
+    if not merges:
+        return words
+    alts = "|".join(f"({_quote(a)}) ({_quote(b)})" for a, b in merges)
+    pattern = f"(^| )(?:{alts})(?= |$)"
+    repl = "".join(f"${i}" for i in range(1, 2 * len(merges) + 2))
+    return words.withColumn(syms, F.regexp_replace(F.col(syms), F.lit(pattern), F.lit(repl)))
+
+
+def choose_merges(top: list, min_frequency: int, budget: int, fetched_all: bool) -> list:
+    """Exact batch of next merges from the top pairs (count desc, left, right).
+
+    The first pair is always the next merge. A later pair is the merge after
+    those already taken if it shares no symbol with them and its count is
+    strictly above every count that taking them can change or create: those
+    are bounded by the first pair that touches a taken symbol (or, when the
+    list was cut, by the last fetched count).
+    """
+    out, used = [], set()
+    stop_count = None
+    for l, r, c in top:
+        if c < min_frequency or len(out) >= budget:
+            break
+        if out and ({l, r} & used):
+            stop_count = c
+            break
+        out.append((l, r, c))
+        used.update((l, r))
+    if stop_count is None and not fetched_all and top:
+        stop_count = top[-1][2]
+    if stop_count is not None:
+        # keep the first merge and the longest prefix strictly above the bound
+        prefix = out[:1]
+        for m in out[1:]:
+            if m[2] <= stop_count:
+                break
+            prefix.append(m)
+        out = prefix
+    return out
+
+
+def train_bpe(words: DataFrame, vocab_size: int, min_frequency: int = 2,
+              special_tokens: list[str] = SPECIAL_TOKENS, top_pairs: int = 256,
+              checkpoint_every: int = 4, alphabet: list[str] | None = None):
+    """Byte-level BPE over a (word, freq) table.
+
+    Vocabulary: special tokens, then the alphabet (all 256 byte characters
+    unless given) in code-point order, then merged tokens in merge order,
+    until ``vocab_size``. Each round counts pairs once (one shuffle with
+    partial aggregation), fetches at most ``top_pairs`` of them, takes the
+    exact batch of next merges (``choose_merges``) and applies it to the
+    distinct-word table. Lineage is cut with a reliable checkpoint. The
+    driver holds only the merge list.
+    Returns (vocab DataFrame, merges DataFrame).
+    """
+    spark = words.sparkSession
+    if alphabet is None:
+        alphabet = sorted({_byte_char(b) for b in range(256)})
+    w = words.select(symbols_of("word").alias("syms"), "freq").where(F.length("syms") > 0)
+    w = w.checkpoint(eager=True)
+    merges: list[tuple[str, str, int]] = []
+    tokens = list(dict.fromkeys(list(special_tokens) + list(alphabet)))
+    known = set(tokens)
+    rounds = 0
+    while len(tokens) < vocab_size:
+        counts = pair_counts(w).where(F.col("cnt") >= min_frequency)
+        top = [(r["left"], r["right"], int(r["cnt"])) for r in
+               counts.orderBy(F.desc("cnt"), "left", "right").limit(top_pairs).collect()]
+        if not top:
+            break
+        batch = choose_merges(top, min_frequency, vocab_size - len(tokens), len(top) < top_pairs)
+        if not batch:
+            break
+        for a, b, c in batch:
+            merges.append((a, b, c))
+            if a + b not in known:
+                known.add(a + b)
+                tokens.append(a + b)
+        w = apply_merges(w, [(a, b) for a, b, _ in batch])
+        rounds += 1
+        if rounds % checkpoint_every == 0:
+            w = w.checkpoint(eager=True)
+    vocab = spark.createDataFrame([(t, i) for i, t in enumerate(tokens)], "token string, id int")
+    merge_df = spark.createDataFrame([(i, a, b, c) for i, (a, b, c) in enumerate(merges)],
+                                     "rank int, left string, right string, cnt long")
+    return vocab, merge_df
+
+
+def _byte_char(b: int) -> str:
+    if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
+        return chr(b)
+    if b <= 32:
+        return chr(256 + b)
+    if 127 <= b <= 160:
+        return chr(b + 162)
+    return chr(323)

@@ -1 +1,83 @@
-"""(filled below)"""
+"""Queries of the tokenizer job: A12, D13, H5, H6, I6."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from tessera.operators import vocab as V
+from tessera.plans import fixtures as fx
+from tessera.plans.catalog import register
+from tessera.plans.oracle import with_fixtures
+from tessera.session import scratch_path, table
+from tessera.sources.sinks import save_tokenizer
+
+_WF_SQL = ("wf", "SELECT w AS word, count(*) AS freq FROM (SELECT unnest(words) AS w FROM fx_cand) GROUP BY 1")
+_PAIRS_SQL = ("pairs", """
+    SELECT s[i] AS left_sym, s[i + 1] AS right_sym, CAST(sum(freq) AS BIGINT) AS cnt
+    FROM (SELECT s, freq, unnest(range(1, len(s))) AS i FROM (SELECT string_split(word, '') AS s, freq FROM wf))
+    GROUP BY 1, 2""")
+EVENT_VOCAB = 2 + 256 + 30     # special tokens + byte alphabet + merges
+DOC_VOCAB = 2 + 256 + 40
+
+
+def event_word_freq(spark, d):
+    """Word frequencies of the candidates' words (events)."""
+    return (fx.fx_cand(spark, d).select(F.explode("words").alias("w"))
+            .groupBy("w").agg(F.count(F.lit(1)).alias("freq"))
+            .select(V.byte_level("w").alias("word"), "freq"))
+
+
+def _pairs(spark, d):
+    w = event_word_freq(spark, d).select(V.symbols_of("word").alias("syms"), "freq")
+    return V.pair_counts(w).select(F.col("left").alias("left_sym"), F.col("right").alias("right_sym"), "cnt")
+
+
+@register("d13_pair_counts", with_fixtures(["fx_cand"], "SELECT left_sym, right_sym, cnt FROM pairs", [_WF_SQL, _PAIRS_SQL]))
+def q_d13(spark, d):
+    return _pairs(spark, d)
+
+
+@register("d13_best_pair", with_fixtures(["fx_cand"], """
+    SELECT left_sym, right_sym, cnt FROM pairs ORDER BY cnt DESC, left_sym, right_sym LIMIT 1""", [_WF_SQL, _PAIRS_SQL]))
+def q_d13_best(spark, d):
+    return _pairs(spark, d).orderBy(F.desc("cnt"), "left_sym", "right_sym").limit(1)
+
+
+@register("h5_nfkc_normalize")
+def q_h5(spark, d):
+    doc = table(spark, d, "documents")
+    n = doc.select("doc_id", "text", V.nfkc("text").alias("norm"))
+    return n.select("doc_id", F.length("norm").alias("n_chars"), (F.col("norm") != F.col("text")).alias("changed"))
+
+
+@register("h6_byte_level_words")
+def q_h6(spark, d):
+    return V.word_frequencies(table(spark, d, "documents"), "text")
+
+
+def _merges_out(m):
+    return m.select("rank", F.col("left").alias("left_sym"), F.col("right").alias("right_sym"), "cnt")
+
+
+@register("i6_bpe_train_events")
+def q_i6_events(spark, d):
+    _, merges = V.train_bpe(event_word_freq(spark, d), EVENT_VOCAB)
+    return _merges_out(merges)
+
+
+@register("i6_bpe_train_documents")
+def q_i6_docs(spark, d):
+    _, merges = V.train_bpe(V.word_frequencies(table(spark, d, "documents"), "text"), DOC_VOCAB)
+    return _merges_out(merges)
+
+
+@register("a12_save_tokenizer")
+def q_a12(spark, d):
+    vocab, merges = V.train_bpe(event_word_freq(spark, d), EVENT_VOCAB)
+    folder = scratch_path(spark, f"a12-{uuid.uuid4().hex}")
+    save_tokenizer(vocab, merges, folder)
+    v = spark.read.schema("token string, id int").parquet(f"{folder}/vocab.parquet")
+    m = spark.read.schema("rank int, left string, right string, cnt long").json(f"{folder}/merges.jsonl")
+    return v.join(m.select(F.concat("left", "right").alias("token"), "rank"), "token", "left")
