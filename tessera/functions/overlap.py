@@ -67,8 +67,17 @@ def lcs_length(a, b) -> Column:
     return F.when(m == 0, F.lit(0)).otherwise(F.get(last, m))
 
 
-def rouge_l_recall(answer, cand) -> Column:                    # H12
-    """Word LCS / answer words, after '#' removal and bracket spacing."""
+def rouge_l_recall(answer, cand, method: str = "hof") -> Column:   # H12
+    """Word LCS / answer words, after '#' removal and bracket spacing.
+
+    ``hof``: nested higher-order functions in the JVM, O(n m^2) per pair, right
+    for generated candidates (a few words). ``arrow``: numpy DP over Arrow
+    batches, O(n m) per pair, for long texts."""
     a = words_of(space_brackets(answer_or_placeholder(answer)))
     c = words_of(space_brackets(strip_hash(candidate_or_placeholder(cand))))
-    return F.when(F.size(a) == 0, F.lit(0.0)).otherwise(lcs_length(a, c) / F.size(a))
+    if method == "arrow":
+        from tessera.functions.lcs_udf import lcs_length_arrow
+        lcs = lcs_length_arrow(a, c)
+    else:
+        lcs = lcs_length(a, c)
+    return F.when(F.size(a) == 0, F.lit(0.0)).otherwise(lcs / F.size(a))

@@ -26,6 +26,15 @@ def code_points(text) -> Column:
         F.transform(F.split(t, ""), lambda ch: F.ascii(ch)))
 
 
+def chunk_lengths(df: DataFrame, keys: list[str], length, context_length: int) -> DataFrame:
+    """(keys, chunk_no, _n) of ``chunk_sequences`` from the sequence length
+    alone, without building the chunks."""
+    n = F.col(length) if isinstance(length, str) else length
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(context_length))).otherwise(F.array().cast("array<int>"))
+    ex = df.select(*keys, n.alias("_len"), F.posexplode(starts).alias("chunk_no", "_start"))
+    return ex.select(*keys, "chunk_no", F.least(F.lit(context_length), F.col("_len") - F.col("_start")).alias("_n"))
+
+
 def chunk_sequences(df: DataFrame, keys: list[str], ids: str, context_length: int,
                     mask: str | None = None) -> DataFrame:
     """I1 ``group_texts``: one row per chunk of ``context_length`` ids (the last
@@ -59,6 +68,38 @@ def pad_batch(df: DataFrame, batch: str, ids: str, pad_id: int = 0, side: str =
     return t.drop("_n", "_w")
 
 
+def pad_batches(df: DataFrame, order_cols: list[str], batch_size: int, ids: str, pad_id: int = 0,
+                side: str = "left", max_length: int | None = None,
+                lengths: DataFrame | None = None) -> DataFrame:
+    """I4 as a job: batches of ``batch_size`` rows in ``order_cols`` order.
+
+    Ordinals and batch widths are computed on a narrow (keys, length) table;
+    the wide id arrays are shuffled once, by the join that brings the width,
+    and padded row-locally. ``lengths`` (keys + ``_n``, after the cut) may be
+    given when it is cheaper to derive than the arrays themselves."""
+    from tessera.operators.ordinals import batch_of, row_ordinals
+    x = F.slice(ids, 1, max_length) if max_length else F.col(ids)
+    lens = lengths if lengths is not None else df.select(*order_cols, F.size(x).alias("_n"))
+    o = row_ordinals(lens, order_cols).withColumn("batch_id", batch_of("rn", batch_size))
+    widths = o.withColumn("_w", F.max("_n").over(Window.partitionBy("batch_id"))).select(*order_cols, "batch_id", "_w")
+    t = df.withColumn(ids, x).join(widths, order_cols).withColumn("_n", F.size(ids))
+    pad = F.array_repeat(F.lit(pad_id), F.col("_w") - F.col("_n"))
+    zeros = F.array_repeat(F.lit(0), F.col("_w") - F.col("_n"))
+    ones = F.array_repeat(F.lit(1), F.col("_n"))
+    if side == "left":
+        t = t.withColumn(ids, F.concat(pad, ids)).withColumn("attention_mask", F.concat(zeros, ones))
+    else:
+        t = t.withColumn(ids, F.concat(ids, pad)).withColumn("attention_mask", F.concat(ones, zeros))
+    return t.drop("_n", "_w")
+
+
+def collate_batches(df: DataFrame, order_cols: list[str], batch_size: int, ids: str, pad_id: int = 0,
+                    lengths: DataFrame | None = None) -> DataFrame:
+    """I5 as a job (see ``pad_batches``): right padding, pads -> -100 labels."""
+    t = pad_batches(df, order_cols, batch_size, ids, pad_id, side="right", lengths=lengths)
+    return t.withColumn("labels", F.transform(ids, lambda v: F.when(v == pad_id, F.lit(-100)).otherwise(v)))
+
+
 def collate_causal(df: DataFrame, batch: str, ids: str, pad_id: int = 0) -> DataFrame:
     """Right padding per batch, ``labels`` = ids with pads set to -100."""
     t = pad_batch(df, batch, ids, pad_id, side="right")

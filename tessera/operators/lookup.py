@@ -25,15 +25,24 @@ def reduce_dictionary(dictionary: DataFrame, targets: DataFrame) -> DataFrame:
     return ranked.groupBy("word").agg(F.min_by("category", "_rank").alias("category"))
 
 
+def drop_empty_categories(df: DataFrame, category: str = "category") -> DataFrame:
+    """Entries without a category (NULL or empty) are dropped."""
+    return df.where(F.col(category).isNotNull() & (F.length(category) > 0))
+
+
+def categories_to_classes(df: DataFrame, targets: DataFrame, category: str = "category") -> DataFrame:
+    """Category -> class id; categories without a class are dropped
+    (inner join with the class table, which is small by construction)."""
+    return df.join(F.broadcast(targets.withColumnRenamed("category", category)), category, "inner")
+
+
 def word_classes(dictionary: DataFrame, targets: DataFrame, max_rows: int | None = None) -> DataFrame:
     """C3 applied to the dictionary side: (word, class_id) for words whose
     reduced category is a target; non-target and empty entries are dropped
     (B7, B8). Joining the small class table first keeps the big side to a
     single lookup join."""
-    reduced = reduce_dictionary(dictionary, targets)
-    return (reduced.where(F.col("category").isNotNull() & (F.length("category") > 0))
-            .join(F.broadcast(targets), "category", "inner")
-            .select("word", "class_id"))
+    reduced = drop_empty_categories(reduce_dictionary(dictionary, targets))
+    return categories_to_classes(reduced, targets).select("word", "class_id")
 
 
 def lookup_words(words: DataFrame, dictionary: DataFrame, word_col: str = "word",

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import ensure_checkpoint_dir
+from tessera.session import materialize
 
 _LOCAL_BITS = (1 << 33) - 1   # monotonically_increasing_id: low 33 bits = row in partition
 
@@ -22,12 +22,13 @@ def _parts(df: DataFrame, num_parts: int | None) -> int:
 
 
 def _staged(df: DataFrame, order_cols: list[str], num_parts: int | None) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
+    """Range partition + local position, written once (the partition of each
+    row is then fixed for every later read, whatever gets recomputed)."""
     staged = (df.repartitionByRange(_parts(df, num_parts), *order_cols)
               .sortWithinPartitions(*order_cols)
               .withColumn("_part", F.spark_partition_id())
               .withColumn("_local", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL_BITS))))
-    return staged.checkpoint(eager=True)
+    return materialize(staged, "ordinals")
 
 
 def _offsets(per_part: DataFrame, value_cols: list[str]) -> DataFrame:
@@ -43,9 +44,17 @@ def _offsets(per_part: DataFrame, value_cols: list[str]) -> DataFrame:
 
 
 def row_ordinals(df: DataFrame, order_cols: list[str], col: str = "rn",
-                 total_col: str | None = None, num_parts: int | None = None) -> DataFrame:
+                 total_col: str | None = None, num_parts: int | None = None,
+                 keys_only: bool = False) -> DataFrame:
     """1-based global row number by ``order_cols`` (a unique key), equal to
-    ``row_number() OVER (ORDER BY order_cols)``. ``total_col`` adds N."""
+    ``row_number() OVER (ORDER BY order_cols)``. ``total_col`` adds N.
+
+    By default the rows are staged whole (written once). With ``keys_only``
+    only the key columns are staged and the rows joined back by key: better
+    for wide rows whose upstream is cheap to recompute."""
+    if keys_only and set(df.columns) != set(order_cols):
+        keys = row_ordinals(df.select(*order_cols), order_cols, col, total_col, num_parts)
+        return df.join(keys, order_cols)
     staged = _staged(df, order_cols, num_parts)
     counts = staged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
     off = F.broadcast(_offsets(counts, ["n"]))

@@ -24,11 +24,15 @@ def length_normalised_prob(score, prompt_len, new_tokens=None) -> Column:      #
     return F.exp(s / (_c(prompt_len) + extra))
 
 
-def log_softmax_array(logits) -> Column:                                        # E3, array form
-    x = F.transform(_c(logits), lambda v: v.cast("double"))
-    m = F.array_max(x)
-    lse = F.log(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.exp(v - m)))
-    return F.transform(x, lambda v: v - m - lse)
+def with_log_softmax(df: DataFrame, logits: str, out: str = "log_probs") -> DataFrame:   # E3, array form
+    """Adds ``out`` = log-softmax of the array column ``logits``. The max and
+    the log-sum-exp are computed once per row as columns, so the per-element
+    lambda only subtracts (O(n) per row, not O(n^2))."""
+    x = F.transform(F.col(logits), lambda v: v.cast("double"))
+    t = df.withColumn("_x", x).withColumn("_m", F.array_max("_x"))
+    t = t.withColumn("_lse", F.log(F.aggregate("_x", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.col("_m")))))
+    t = t.withColumn(out, F.transform("_x", lambda v: v - F.col("_m") - F.col("_lse")))
+    return t.drop("_x", "_m", "_lse")
 
 
 def log_softmax_long(scores: DataFrame, group: list[str], value: str = "score") -> DataFrame:  # E3, long form

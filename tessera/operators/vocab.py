@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import materialize
+
 
 def extend_vocabulary(vocab: DataFrame, tokens: list[str]) -> DataFrame:
     """G4 ``add_tokens``: tokens already present keep their id; new ones get
@@ -64,7 +66,13 @@ def word_frequencies(texts: DataFrame, text: str, normalize: bool = True) -> Dat
     """(word, freq) of byte-level words: NFKC, pre-tokenise, count (partial
     aggregation: the table is the distinct words, not the corpus), then map
     the distinct words to byte-level characters."""
-    t = texts.select((nfkc(text) if normalize else F.col(text)).alias("t"))
+    if normalize:
+        # ASCII text is already NFKC: only the other rows go through Python
+        ascii_only = F.col(text).rlike(r"^[\x00-\x7F]*$")
+        t = texts.where(ascii_only).select(F.col(text).alias("t")).unionByName(
+            texts.where(~ascii_only).select(nfkc(text).alias("t")))
+    else:
+        t = texts.select(F.col(text).alias("t"))
     w = t.select(F.explode(pretokenize("t")).alias("w")).where(F.length("w") > 0)
     freq = w.groupBy("w").agg(F.count(F.lit(1)).alias("freq"))
     return freq.select(byte_level("w").alias("word"), "freq").groupBy("word").agg(F.sum("freq").alias("freq"))
@@ -158,7 +166,7 @@ def train_bpe(words: DataFrame, vocab_size: int, min_frequency: int = 2,
     if alphabet is None:
         alphabet = sorted({_byte_char(b) for b in range(256)})
     w = words.select(symbols_of("word").alias("syms"), "freq").where(F.length("syms") > 0)
-    w = w.checkpoint(eager=True)
+    w = materialize(w, "bpe-words")
     merges: list[tuple[str, str, int]] = []
     tokens = list(dict.fromkeys(list(special_tokens) + list(alphabet)))
     known = set(tokens)
@@ -180,7 +188,7 @@ def train_bpe(words: DataFrame, vocab_size: int, min_frequency: int = 2,
         w = apply_merges(w, [(a, b) for a, b, _ in batch])
         rounds += 1
         if rounds % checkpoint_every == 0:
-            w = w.checkpoint(eager=True)
+            w = materialize(w, "bpe-words")
     vocab = spark.createDataFrame([(t, i) for i, t in enumerate(tokens)], "token string, id int")
     merge_df = spark.createDataFrame([(i, a, b, c) for i, (a, b, c) in enumerate(merges)],
                                      "rank int, left string, right string, cnt long")

@@ -197,3 +197,17 @@ def q_d15(spark, d):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+@register("b7_drop_empty_categories", with_fixtures(["fx_dict_one"], """
+    SELECT word, category FROM fx_dict_one WHERE category IS NOT NULL AND length(category) > 0"""))
+def q_b7(spark, d):
+    from tessera.operators.lookup import drop_empty_categories
+    return drop_empty_categories(reduce_dictionary(fx.fx_dict(spark, d), fx.fx_target(spark, d)))
+
+
+@register("b8_drop_unmapped_categories", with_fixtures(["fx_word_class"], "SELECT word, class_id FROM fx_word_class"))
+def q_b8(spark, d):
+    from tessera.operators.lookup import categories_to_classes, drop_empty_categories
+    red = drop_empty_categories(reduce_dictionary(fx.fx_dict(spark, d), fx.fx_target(spark, d)))
+    return categories_to_classes(red, fx.fx_target(spark, d)).select("word", "class_id")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tessera.functions import text as Tx
 from tessera.operators import lmprep as L
 from tessera.operators import words as Wd
-from tessera.operators.ordinals import batch_of, row_ordinals
 from tessera.plans import fixtures as fx
 from tessera.plans.catalog import register
 from tessera.plans.oracle import with_fixtures
@@ -69,8 +68,11 @@ _BS_PROMPT = 2
           SELECT doc_id, ids[1:{MAX_PROMPT}] AS x, (row_number() OVER (ORDER BY doc_id) - 1) // {_BS_PROMPT} AS batch_id FROM docs))""",
     [_DOC_IDS]))
 def q_i4(spark, d):
-    r = row_ordinals(doc_ids(spark, d), ["doc_id"]).withColumn("batch_id", batch_of("rn", _BS_PROMPT))
-    p = L.pad_batch(r, "batch_id", "input_ids", PAD, "left", MAX_PROMPT)
+    # ids are one per character, so cutting the text first is exact and avoids
+    # building ids that truncation would drop
+    docs = table(spark, d, "documents").select(
+        "doc_id", L.code_points(F.substring("text", 1, MAX_PROMPT)).alias("input_ids"))
+    p = L.pad_batches(docs, ["doc_id"], _BS_PROMPT, "input_ids", PAD, "left", MAX_PROMPT)
     return p.select("doc_id", "batch_id", F.size("input_ids").alias("width"),
                     (F.size("input_ids") - F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)).alias("n_pad"),
                     _sum_ids("input_ids").alias("id_sum"), F.get("input_ids", 0).alias("first_id"))
@@ -88,8 +90,8 @@ _BS_TRAIN = 32
             FROM (SELECT doc_id, ids, unnest(range(0, len(ids), {CONTEXT})) AS start FROM docs))))""", [_DOC_IDS]))
 def q_i5(spark, d):
     ch = L.chunk_sequences(doc_ids(spark, d), ["doc_id"], "input_ids", CONTEXT).select("doc_id", "chunk_no", "input_ids")
-    r = row_ordinals(ch, ["doc_id", "chunk_no"]).withColumn("batch_id", batch_of("rn", _BS_TRAIN))
-    c = L.collate_causal(r, "batch_id", "input_ids", PAD)
+    lens = L.chunk_lengths(table(spark, d, "documents"), ["doc_id"], F.length("text"), CONTEXT)
+    c = L.collate_batches(ch, ["doc_id", "chunk_no"], _BS_TRAIN, "input_ids", PAD, lengths=lens)
     kept = F.filter("labels", lambda v: v != -100)
     return c.select("doc_id", "chunk_no", F.size("labels").alias("width"),
                     F.size(F.filter("labels", lambda v: v == -100)).alias("n_ignore"), _sum_ids(kept).alias("label_sum"))

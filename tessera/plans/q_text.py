@@ -192,3 +192,16 @@ def q_h10_conv(spark, d):
     p = u.join(a, ["conv_id", "turn"])
     return p.select("conv_id", "turn", r6(O.char_overlap_ratio("answer", "cand")).alias("overlap"),
                     r6(O.char_precision("answer", "cand")).alias("bleu"))
+
+
+@register("h12_rouge_l_recall_conversations", with_fixtures([], f"""
+    SELECT conv_id, turn, round(CASE WHEN len(aw) = 0 THEN 0.0 ELSE {lcs_sql('aw', 'cw')} / len(aw) END, 6) AS rouge
+    FROM (SELECT conv_id, turn, {words_sql("replace(a1, '][', '] [')")} AS aw,
+                 {words_sql("replace(replace(c1, '#', ''), '][', '] [')")} AS cw
+          FROM (SELECT conv_id, turn, {ans_sql('answer')} AS a1, {cand_sql('cand')} AS c1 FROM conv_pair))""", [_CONV]))
+def q_h12_conv(spark, d):
+    cv = table(spark, d, "conversations")
+    u = cv.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("answer"))
+    a = cv.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("cand"))
+    p = u.join(a, ["conv_id", "turn"])
+    return p.select("conv_id", "turn", r6(O.rouge_l_recall("answer", "cand", method="arrow")).alias("rouge"))

@@ -161,10 +161,9 @@ _LSM = ("lsm", """
 @register("e3_log_softmax", with_fixtures([], """
     SELECT vec_id, label, round(e[label + 1] - m - lse, 6) AS logp_label, round(-lse, 6) AS logp_max FROM lsm""", [_LSM]))
 def q_e3(spark, d):
-    e = table(spark, d, "embeddings")
-    lsm = S.log_softmax_array("embedding")
-    return e.select("vec_id", "label", r6(F.get(lsm, F.col("label"))).alias("logp_label"),
-                    r6(F.array_max(lsm)).alias("logp_max"))
+    e = S.with_log_softmax(table(spark, d, "embeddings"), "embedding", "lsm")
+    return e.select("vec_id", "label", r6(F.get("lsm", F.col("label"))).alias("logp_label"),
+                    r6(F.array_max("lsm")).alias("logp_max"))
 
 
 def _long_scores(spark, d):

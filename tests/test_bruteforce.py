@@ -145,3 +145,12 @@ def test_lcs_and_char_overlap_random(spark):
         assert r.l == lcs(a, b)
         ca, cb = Counter(sa), Counter(sb)
         assert r.o == sum(min(ca[c], cb[c]) for c in ca)
+
+
+def test_lcs_numpy_form():
+    from tessera.functions.lcs_udf import lcs_words
+    rnd = random.Random(11)
+    for _ in range(300):
+        a = [rnd.choice("pqrs") for _ in range(rnd.randint(0, 30))]
+        b = [rnd.choice("pqrs") for _ in range(rnd.randint(0, 30))]
+        assert lcs_words(a, b) == lcs(a, b)
