@@ -198,7 +198,10 @@ def wordpiece_encode(texts: DataFrame, keys: list[str], text: str, vocab: DataFr
                      max_length: int | None = None, max_vocab_rows: int = 2_000_000) -> DataFrame:
     """I3 as a job: split texts into words, encode each distinct word once,
     join back, map pieces to ids and cut to ``max_length``. Returns keys +
-    ``tokens`` + ``ids``."""
+    ``tokens`` + ``ids``. The vocabulary (bounded by its size parameter) is
+    written once, since three joins read it."""
+    from tessera.session import materialize
+    vocab = materialize(vocab.select("token", "id"), "vocab")
     words = texts.select(*keys, F.posexplode(basic_words(text, keep_whole)).alias("wpos", "word"))
     enc = wordpiece_encode_words(words.select("word").distinct(), vocab, unk=unk, max_vocab_rows=max_vocab_rows)
     j = words.join(enc, "word").select(*keys, "wpos", F.posexplode("pieces").alias("tpos", "token"))

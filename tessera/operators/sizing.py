@@ -17,8 +17,27 @@ DEFAULT_MAX_ROWS = 2_000_000
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+    """At most ``max_rows`` rows? Remembered on the frame object, so a side
+    used by several joins is counted once."""
+    memo = getattr(df, "_tessera_fits", None)
+    if memo is not None and memo[0] == max_rows:
+        return memo[1]
+    ok = df.limit(max_rows + 1).count() <= max_rows
+    try:
+        df._tessera_fits = (max_rows, ok)
+    except AttributeError:
+        pass
+    return ok
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
     return F.broadcast(df) if fits(df, max_rows) else df
+
+
+def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
+    """Before CPU-heavy row-local work (regexes over texts, id arrays): spread
+    an input that arrives in fewer partitions than there are cores (one file,
+    one row group) round-robin over ``min_parts``. Inputs with many splits, as
+    any large table has, are returned as they are: no extra shuffle at scale."""
+    n = min_parts or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

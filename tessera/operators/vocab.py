@@ -66,6 +66,8 @@ def word_frequencies(texts: DataFrame, text: str, normalize: bool = True) -> Dat
     """(word, freq) of byte-level words: NFKC, pre-tokenise, count (partial
     aggregation: the table is the distinct words, not the corpus), then map
     the distinct words to byte-level characters."""
+    from tessera.operators.sizing import spread
+    texts = spread(texts.select(text))
     if normalize:
         # ASCII text is already NFKC: only the other rows go through Python
         ascii_only = F.col(text).rlike(r"^[\x00-\x7F]*$")

@@ -24,8 +24,13 @@ _DOC_IDS = ("docs", """
     FROM documents""")
 
 
+def documents(spark, d):
+    from tessera.operators.sizing import spread
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def doc_ids(spark, d):
-    return table(spark, d, "documents").select("doc_id", L.code_points("text").alias("input_ids"))
+    return documents(spark, d).select("doc_id", L.code_points("text").alias("input_ids"))
 
 
 def _sum_ids(c):
@@ -70,7 +75,7 @@ _BS_PROMPT = 2
 def q_i4(spark, d):
     # ids are one per character, so cutting the text first is exact and avoids
     # building ids that truncation would drop
-    docs = table(spark, d, "documents").select(
+    docs = documents(spark, d).select(
         "doc_id", L.code_points(F.substring("text", 1, MAX_PROMPT)).alias("input_ids"))
     p = L.pad_batches(docs, ["doc_id"], _BS_PROMPT, "input_ids", PAD, "left", MAX_PROMPT)
     return p.select("doc_id", "batch_id", F.size("input_ids").alias("width"),

@@ -47,7 +47,8 @@ def q_d13_best(spark, d):
 
 @register("h5_nfkc_normalize")
 def q_h5(spark, d):
-    doc = table(spark, d, "documents")
+    from tessera.operators.sizing import spread
+    doc = spread(table(spark, d, "documents"))
     n = doc.select("doc_id", "text", V.nfkc("text").alias("norm"))
     return n.select("doc_id", F.length("norm").alias("n_chars"), (F.col("norm") != F.col("text")).alias("changed"))
 
