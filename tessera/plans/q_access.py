@@ -29,7 +29,7 @@ def _scratch(spark, tag):
 # ---------------------------------------------------------------- scans
 _A1_SQL = """
     SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 6) AS sum_qty,
-           round(sum(l_extendedprice * (1 - l_discount)), 6) AS revenue
+           round(CAST(sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))) AS DOUBLE), 6) AS revenue
     FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus"""
 
 
@@ -294,7 +294,7 @@ def q_h14(spark, d):
 
 
 @register("h15_math_guards", """
-    SELECT event_id, round(exp(-value / 100), 6) AS e, round(CASE WHEN value - 10 = 0 THEN 0.0 ELSE value / (value - 10) END, 6) AS ratio,
+    SELECT event_id, round(exp(-value / 100), 6) AS e, round(CASE WHEN value - 10 = 0 THEN 0.0 ELSE value / (value - 10) END, 6) + 0.0 AS ratio,
            least(value, 50.0) AS lo, greatest(value, 50.0) AS hi FROM events""")
 def q_h15(spark, d):
     v = F.col("value")

@@ -127,7 +127,7 @@ def q_h23(spark, d):
 
 @register("f2_top_k_candidates", with_fixtures(["fx_token"], """
     SELECT csno, cand_no, CAST(row_number() OVER (PARTITION BY csno ORDER BY score DESC, cand_no) AS INTEGER) AS rank,
-           round(score, 6) AS score
+           round(score, 6) + 0.0 AS score
     FROM (SELECT csno, cand_no, sum(score) AS score FROM fx_token GROUP BY 1, 2)
     QUALIFY rank <= 2"""))
 def q_f2(spark, d):

@@ -67,8 +67,9 @@ def check(spark, con, sf, key, fn, sql):
     out = dict(key=key, ok=ok, rows=len(srows), oracle_rows=len(drows), spark_s=round(ts, 2), duck_s=round(td, 2))
     if not ok:
         out["cols"] = (c1, c2) if c1 != c2 else None
-        diff1 = [r for r in r1 if r not in set(r2)][:3]
-        diff2 = [r for r in r2 if r not in set(r1)][:3]
+        s1, s2 = set(r1), set(r2)
+        diff1 = [r for r in r1 if r not in s2][:3]
+        diff2 = [r for r in r2 if r not in s1][:3]
         out["only_spark"], out["only_oracle"] = diff1, diff2
     return out
 
