@@ -39,5 +39,9 @@ def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
     an input that arrives in fewer partitions than there are cores (one file,
     one row group) round-robin over ``min_parts``. Inputs with many splits, as
     any large table has, are returned as they are: no extra shuffle at scale."""
-    n = min_parts or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    try:
+        n = min_parts or df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:   # no RDD view (e.g. a Connect session): leave the plan as it is
+        return df
+    return df.repartition(n) if parts < n else df

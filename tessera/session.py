@@ -49,7 +49,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     bench) do we make our own scratch folder; on a cluster a missing setting is
     an error, because a machine-local folder would not survive executor loss.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:   # Connect session: only the configured folder can be used
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
