@@ -94,3 +94,11 @@ def test_sample_exact_size_and_repeatable(spark):
     b = L.sample_exact(docs, "doc_id", 0.37, buckets_hex=3)
     assert a.count() == int(docs.count() * 0.37)
     assert a.exceptAll(b).count() == 0
+
+
+def test_spread_only_when_few_partitions(spark):
+    from tessera.operators.sizing import spread
+    few = spark.range(100).coalesce(1)
+    many = spark.range(0, 100, 1, 32)
+    assert spread(few, 8).rdd.getNumPartitions() == 8
+    assert spread(many, 8) is many
