@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, mixing, packing, url_filter
+from tessera.llm import exact_dedup, mixing, packing, simhash, url_filter
 from tessera.llm.common import table
 
 REGISTRY: dict[str, tuple] = {}
@@ -39,3 +39,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_packing")
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents")).drop("ids")
+
+
+@query("op3_simhash")
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
