@@ -56,7 +56,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             .groupBy("lead", "h", "deal", "norm")            # sorted, neighbours compared in full
             .agg(F.min("id").alias("low"), F.count("*").alias("n"),
                  F.min(F.sha2("norm", 256)).alias("text_sha256")))
-    groups = runs.groupBy("text_sha256").agg(F.min("low").alias("keep_id"), F.sum("n").alias("group_size"))
+    # written, so that the join below shuffles both sides itself and can split a hot text's members
+    groups = stage(runs.groupBy("text_sha256").agg(F.min("low").alias("keep_id"), F.sum("n").alias("group_size")),
+                   "exact-groups")
     return (members.join(groups, "text_sha256")
             .select(F.col("id").alias(id_col), "keep_id", "group_size",
                     F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
