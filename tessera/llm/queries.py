@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, langid, mixing, packing, simhash, url_filter
+from tessera.llm import exact_dedup, html_text, langid, mixing, packing, simhash, url_filter
 from tessera.llm.common import table
 
 REGISTRY: dict[str, tuple] = {}
@@ -49,3 +49,8 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_language_id")
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op6_html_text")
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
