@@ -49,3 +49,21 @@ def component_roots(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         state = after
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+
+
+def merge_labels(label, u, v) -> None:
+    """Join the nodes ``u[i]`` and ``v[i]`` in the array ``label`` (node -> its
+    smallest known member, fully resolved), in place."""
+    import numpy as np
+    while True:
+        a, b = label[u], label[v]
+        differ = a != b
+        if not differ.any():
+            return
+        a, b = a[differ], b[differ]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            nearer = label[label]
+            if (nearer == label).all():
+                break
+            label[:] = nearer

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, html_text, langid, mixing, packing, simhash, substring_dedup, url_filter
+from tessera.llm import exact_dedup, html_text, langid, mixing, packing, simhash, substring_dedup, url_filter, vec_dedup
 from tessera.llm.common import table
 
 REGISTRY: dict[str, tuple] = {}
@@ -60,3 +60,8 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op5_vector_dedup")
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vec_dedup.vector_groups(table(spark, sf_dir, "embeddings"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import stage
-from tessera.llm.components import component_roots
+from tessera.llm.components import component_roots, merge_labels
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -155,16 +155,7 @@ def _forest(homes, others, max_bits: int):
     for lo in range(0, len(homes), step):
         near = np.bitwise_count(homes[lo:lo + step, None] ^ others[None, :]) <= max_bits
         u, v = np.nonzero(near)
-        u, v = h[lo + u], o[v]
-        while True:
-            a, b = label[u], label[v]
-            differ = a != b
-            if not differ.any():
-                break
-            a, b = a[differ], b[differ]
-            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-            while (label != label[label]).any():
-                label = label[label]
+        merge_labels(label, h[lo + u], o[v])
     child = np.flatnonzero(label != np.arange(len(nodes)))
     return nodes[child], nodes[label[child]]
 
