@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, html_text, langid, mixing, packing, simhash, substring_dedup, url_filter, vec_dedup
+from tessera.llm import chunk_dedup, exact_dedup, html_text, langid, mixing, packing, simhash, substring_dedup, url_filter, vec_dedup
 from tessera.llm.common import table
 
 REGISTRY: dict[str, tuple] = {}
@@ -65,3 +65,9 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_vector_dedup")
 def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vec_dedup.vector_groups(table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_chunk_dedup")
+def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = chunk_dedup.remove_duplicate_chunks(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
