@@ -20,6 +20,7 @@ from tessera.plans.oracle import with_fixtures
 from tessera.session import scratch_path, table
 from tessera.sources import sinks as SK
 from tessera.sources import tables as SR
+from tessera.sources.casts import Profile, retyped
 
 
 def _scratch(spark, tag):
@@ -161,7 +162,7 @@ def q_a11(spark, d):
     li = table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", F.col("l_quantity").cast("decimal(10,0)").alias("qty"),
         F.col("l_extendedprice").cast("decimal(12,2)").alias("price"), "l_discount")
-    SK.export_typed(li, path, convert_decimal=True, bigint_to_int=True)
+    SK.export_typed(li, path, profile=Profile(whole=T.IntegerType()))
     back = spark.read.parquet(path)
     return back.select("l_orderkey", "l_linenumber", "qty", r6("price").alias("price"), r6("l_discount").alias("l_discount"))
 
@@ -174,7 +175,7 @@ def q_a11(spark, d):
 def q_b1(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey",
                                          F.col("o_totalprice").cast("decimal(14,2)").alias("o_totalprice"), "o_orderstatus")
-    c = SR.apply_casts(o, convert_decimal=True, bigint_to_int=True, cast_map={"o_orderstatus": "string"})
+    c = retyped(o, Profile(whole=T.IntegerType()), {"o_orderstatus": "string"})
     return c.withColumn("o_totalprice", r6("o_totalprice"))
 
 
@@ -183,7 +184,7 @@ def q_b1(spark, d):
            round(CAST(CAST(c_acctbal AS DECIMAL(12, 2)) AS DOUBLE), 6) AS c_acctbal FROM customer""")
 def q_b2(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    c = SR.apply_casts(c, convert_decimal=False, cast_map={"c_nationkey": "short", "c_acctbal": "decimal(12,2)"})
+    c = retyped(c, Profile(keep_decimals=True), {"c_nationkey": "short", "c_acctbal": "decimal(12,2)"})
     return c.withColumn("c_acctbal", r6(F.col("c_acctbal").cast("double")))
 
 

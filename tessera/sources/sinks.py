@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.sources.tables import apply_casts
+from tessera.sources.casts import retyped
 
 
 def append_partitioned(df: DataFrame, target: str, part_col: str = "part_dt",
@@ -60,10 +60,10 @@ def append_tsv(df: DataFrame, path: str, header: bool = False) -> None:
      .csv(path))
 
 
-def export_typed(df: DataFrame, path: str, mode: str = "overwrite", **cast_rules) -> None:
+def export_typed(df: DataFrame, path: str, mode: str = "overwrite", **typing) -> None:
     """The B1 projection, then Parquet. (A bounded ``toPandas`` is the
     caller's choice, after ``limit``.)"""
-    apply_casts(df, **cast_rules).write.mode(mode).parquet(path)
+    retyped(df, **typing).write.mode(mode).parquet(path)
 
 
 def save_tokenizer(vocab: DataFrame, merges: DataFrame, folder: str) -> None:

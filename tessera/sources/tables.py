@@ -1,22 +1,14 @@
-"""Scans (A1-A7) and the typed cast projection that travels with them.
+"""Scans (A1-A7) and column selection by pattern.
 
 Every file source takes a declared schema; nothing is inferred.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Cast names accepted by a cast map (B2): the reference's list, with its typo
-# fixed, plus the names we add (long, decimal(p,s), date, timestamp).
-SUPPORTED_CASTS = ("int", "tinyint", "smallint", "short", "bigint", "long", "boolean",
-                   "float", "double", "string", "date", "timestamp")
-_DECIMAL = re.compile(r"^decimal\(\s*\d+\s*,\s*\d+\s*\)$")
-
 
 def read_sql(spark: SparkSession, sql: str | list[str], use_regex: bool = False):
     """A1 / A2: one SQL text -> one frame, a list -> a list (lazy). With
@@ -67,60 +59,6 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def check_cast_map(cast_map: dict | None, columns: list[str] | None = None) -> dict:
-    """B2: None -> {}; not a dict -> error; unknown type names or (ours) unknown
-    columns -> error listing them."""
-    if cast_map is None:
-        return {}
-    if not isinstance(cast_map, dict):
-        raise ValueError("cast map must be a dict")
-    bad = sorted({v for v in cast_map.values()
-                  if str(v).lower() not in SUPPORTED_CASTS and not _DECIMAL.match(str(v).lower())})
-    if bad:
-        raise ValueError(f"unsupported cast types: {bad}; supported: {SUPPORTED_CASTS} and decimal(p,s)")
-    if columns is not None:
-        missing = sorted(set(cast_map) - set(columns))
-        if missing:
-            raise ValueError(f"cast map names unknown columns: {missing}")
-    return cast_map
-
-
-def cast_plan(schema: T.StructType, convert_decimal: bool = True, cast_map: dict | None = None,
-              numeric_to_float: bool = False, double_to_float: bool = False,
-              bigint_to_int: bool = False) -> dict[str, str]:
-    """B1 rule per column, first match wins: explicit map; all numerics to
-    float; decimal by scale (0 -> integer default, else real default);
-    double -> real default; bigint -> integer default. Returns only the
-    columns that change."""
-    cast_map = check_cast_map(cast_map, [f.name for f in schema.fields])
-    real = "float" if double_to_float else "double"
-    integer = "int" if bigint_to_int else "bigint"
-    plan = {}
-    for f in schema.fields:
-        t = f.dataType
-        if f.name in cast_map:
-            plan[f.name] = cast_map[f.name]
-        elif numeric_to_float and isinstance(t, T.NumericType):
-            plan[f.name] = "float"
-        elif convert_decimal and isinstance(t, T.DecimalType):
-            plan[f.name] = integer if t.scale == 0 else real
-        elif double_to_float and isinstance(t, T.DoubleType):
-            plan[f.name] = real
-        elif bigint_to_int and isinstance(t, T.LongType):
-            plan[f.name] = integer
-    return plan
-
-
-def apply_casts(df: DataFrame, **rules) -> DataFrame:
-    """B1: one projection with the planned casts (names quoted); no plan -> the
-    frame unchanged."""
-    plan = cast_plan(df.schema, **rules)
-    if not plan:
-        return df
-    return df.select(*[F.col(f"`{c}`").cast(plan[c]).alias(c) if c in plan else F.col(f"`{c}`")
-                       for c in df.columns])
-
-
 def select_regex(df: DataFrame, pattern: str) -> DataFrame:
     """Columns whose names match ``pattern`` (Java regex, whole name)."""
     return df.select(df.colRegex(f"`{pattern}`"))
