@@ -50,34 +50,9 @@ def words_of(text) -> Column:
     return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.split(t, r"\s+"))
 
 
-def lcs_length(a, b) -> Column:
-    """Longest common subsequence of two word arrays: one DP row per word of
-    ``a`` (outer aggregate), built cell by cell over ``b`` (inner aggregate)."""
-    a, b = _c(a), _c(b)
-    m = F.size(b)
-
-    def row(prev, aw):
-        return F.aggregate(
-            F.sequence(F.lit(1), m), F.array(F.lit(0)),
-            lambda cur, j: F.concat(cur, F.array(
-                F.when(F.get(b, j - 1) == aw, F.get(prev, j - 1) + 1)
-                 .otherwise(F.greatest(F.get(prev, j), F.get(cur, j - 1))))))
-
-    last = F.aggregate(a, F.array_repeat(F.lit(0), m + 1), row)
-    return F.when(m == 0, F.lit(0)).otherwise(F.get(last, m))
-
-
-def rouge_l_recall(answer, cand, method: str = "hof") -> Column:   # H12
-    """Word LCS / answer words, after '#' removal and bracket spacing.
-
-    ``hof``: nested higher-order functions in the JVM, O(n m^2) per pair, right
-    for generated candidates (a few words). ``arrow``: numpy DP over Arrow
-    batches, O(n m) per pair, for long texts."""
+def rouge_l_recall(answer, cand) -> Column:   # H12
+    """Word LCS / answer words, after '#' removal and bracket spacing."""
+    from tessera.functions.lcs_udf import lcs_length
     a = words_of(space_brackets(answer_or_placeholder(answer)))
     c = words_of(space_brackets(strip_hash(candidate_or_placeholder(cand))))
-    if method == "arrow":
-        from tessera.functions.lcs_udf import lcs_length_arrow
-        lcs = lcs_length_arrow(a, c)
-    else:
-        lcs = lcs_length(a, c)
-    return F.when(F.size(a) == 0, F.lit(0.0)).otherwise(lcs / F.size(a))
+    return F.when(F.size(a) == 0, F.lit(0.0)).otherwise(lcs_length(a, c) / F.size(a))

@@ -2,17 +2,15 @@
 (word-piece encoding of distinct words), I4 (left padding per batch), I5
 (causal-LM collation), F1 (exact repeatable sample), B5 (rename).
 
-Per-row work is done with array functions in the JVM; the only shuffles are
-the batch windows (bounded by the batch size) and, for I3, the distinct-word
-table.
+Per-row work is done with array functions in the JVM, word pieces in Arrow
+batches; the only shuffles are the batch windows (bounded by the batch size).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from tessera.operators.sizing import bounded_broadcast
+from pyspark.sql import types as T
 
 
 def _c(x) -> Column:
@@ -51,23 +49,6 @@ def chunk_sequences(df: DataFrame, keys: list[str], ids: str, context_length: in
                       F.array_repeat(F.lit(0), F.size("input_ids")).alias("token_type_ids"))
 
 
-def pad_batch(df: DataFrame, batch: str, ids: str, pad_id: int = 0, side: str = "left",
-              max_length: int | None = None) -> DataFrame:
-    """I4: cut to ``max_length`` (keeping the start), pad to the longest of the
-    batch on ``side``; adds ``attention_mask``. The window is one batch."""
-    x = F.slice(ids, 1, max_length) if max_length else F.col(ids)
-    t = df.withColumn(ids, x).withColumn("_n", F.size(ids))
-    t = t.withColumn("_w", F.max("_n").over(Window.partitionBy(batch)))
-    pad = F.array_repeat(F.lit(pad_id), F.col("_w") - F.col("_n"))
-    zeros = F.array_repeat(F.lit(0), F.col("_w") - F.col("_n"))
-    ones = F.array_repeat(F.lit(1), F.col("_n"))
-    if side == "left":
-        t = t.withColumn(ids, F.concat(pad, ids)).withColumn("attention_mask", F.concat(zeros, ones))
-    else:
-        t = t.withColumn(ids, F.concat(ids, pad)).withColumn("attention_mask", F.concat(ones, zeros))
-    return t.drop("_n", "_w")
-
-
 def pad_batches(df: DataFrame, order_cols: list[str], batch_size: int, ids: str, pad_id: int = 0,
                 side: str = "left", max_length: int | None = None,
                 lengths: DataFrame | None = None) -> DataFrame:
@@ -100,46 +81,48 @@ def collate_batches(df: DataFrame, order_cols: list[str], batch_size: int, ids:
     return t.withColumn("labels", F.transform(ids, lambda v: F.when(v == pad_id, F.lit(-100)).otherwise(v)))
 
 
-def collate_causal(df: DataFrame, batch: str, ids: str, pad_id: int = 0) -> DataFrame:
-    """Right padding per batch, ``labels`` = ids with pads set to -100."""
-    t = pad_batch(df, batch, ids, pad_id, side="right")
-    return t.withColumn("labels", F.transform(ids, lambda v: F.when(v == pad_id, F.lit(-100)).otherwise(v)))
-
-
 def rename_ids(df: DataFrame, old: str = "input_ids", new: str = "evnt") -> DataFrame:   # B5
     return df.withColumnRenamed(old, new)
 
 
-def sample_exact(df: DataFrame, key: str, ratio: float, seed: str = "42", buckets_hex: int = 4) -> DataFrame:
-    """exactly ``int(N * ratio)`` rows (ratio 0 = all), repeatable: the rows
-    with the smallest md5(seed || key). ``key`` must be unique.
+def sample_exact(df: DataFrame, key: str, ratio: float, seed: str = "42", digits: int = 4) -> DataFrame:
+    """exactly ``int(N * ratio)`` rows (ratio 0 = all), repeatable: those
+    with the smallest md5(seed || key), rows of one key in the order of the md5
+    of all their columns. A NULL key counts as an empty text.
 
-    Not a global sort: hashes are bucketed by their leading hex digits, the
-    bucket counts (at most 16^k rows) give the cut bucket, and only that
-    bucket is ordered to find the last hash kept; the result is one filter.
+    Not a global sort: the two hashes form one text of 64 hex digits. Level by
+    level, the rows that share the digits of the cut so far are counted by
+    their next ``digits`` digits (at most 16^digits counts reach the driver)
+    until a count ends exactly at the cut; one or two levels do for distinct
+    keys. Rows that agree in all digits are copies of each other, of which as
+    many as needed are taken.
     """
     if ratio == 0:
         return df
-    h = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
-    bucket = F.conv(F.substring(h, 1, buckets_hex), 16, 10).cast("int")
-    hashed = df.withColumn("_h", h).withColumn("_b", bucket)
-    counts = sorted(tuple(r) for r in hashed.groupBy("_b").count().collect())   # <= 16^k rows
-    total = sum(c for _, c in counts)
-    n = int(total * ratio)
-    if n >= total:
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in df.columns]
+    first = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    hashed = df.withColumn("_h", F.concat(first, F.md5(F.concat_ws("\x1f", *cells))))
+    total = df.count()
+    need = int(total * ratio)
+    if need >= total:
         return df
-    run, cut, need = 0, None, 0
-    for b, c in counts:
-        if run + c >= n:
-            cut, need = b, n - run
-            break
-        run += c
-    if need == 0:
-        return hashed.where(F.col("_b") < cut).drop("_h", "_b")
-    last = (hashed.where(F.col("_b") == cut).select("_h").orderBy("_h").limit(need)
-            .agg(F.max("_h")).first()[0])
-    keep = (F.col("_b") < cut) | ((F.col("_b") == cut) & (F.col("_h") <= last))
-    return hashed.where(keep).drop("_h", "_b")
+    bound, rest = "", need
+    while rest and len(bound) < 64:
+        level = F.substring("_h", len(bound) + 1, digits)
+        inside = hashed.where(F.col("_h").startswith(bound)) if bound else hashed
+        for digit, n in sorted(tuple(r) for r in inside.groupBy(level.alias("d")).count().collect()):
+            if n > rest:
+                bound += digit
+                break
+            rest -= n
+            if not rest:
+                return hashed.where(F.substring("_h", 1, len(bound) + digits) <= bound + digit).drop("_h")
+    below = hashed.where(F.col("_h") < bound)
+    if rest:                                                 # copies of one row
+        copies = (hashed.where(F.col("_h") == bound).limit(1)
+                  .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(rest)))).drop("_copy"))
+        below = below.unionByName(copies)
+    return below.drop("_h")
 
 
 # --------------------------------------------------------------- word pieces
@@ -155,64 +138,64 @@ def basic_words(text, keep_whole: str | None = None) -> Column:
     return F.regexp_extract_all(_c(text), F.lit("(?:" + "|".join(alts) + ")"), 0)
 
 
-def wordpiece_encode_words(words: DataFrame, vocab: DataFrame, word: str = "word", unk: str = "[UNK]",
-                           max_chars: int = 100, max_vocab_rows: int = 2_000_000) -> DataFrame:
-    """I3 on a table of **distinct** words: greedy longest-match-first.
-
-    Every (start, end) piece of a word (with '##' after the first character)
-    is matched against the vocabulary in one join; the longest end per start
-    forms a map, and an ``aggregate`` walks it from position 0. A word with a
-    gap, or longer than ``max_chars``, becomes ``unk``.
-    """
-    w = words.select(F.col(word).alias("word")).where(F.length("word") > 0)
-    n = F.length("word")
-    pieces = (w.where(n <= max_chars)
-              .select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-              .select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.length("word"))).alias("e"))
-              .withColumn("piece", F.concat(F.when(F.col("s") > 0, F.lit("##")).otherwise(F.lit("")),
-                                            F.substring("word", F.col("s") + 1, F.col("e") - F.col("s")))))
-    v = bounded_broadcast(vocab.select(F.col("token").alias("piece")).distinct(), max_vocab_rows)
-    best = pieces.join(v, "piece").groupBy("word", "s").agg(F.max("e").alias("e"))
-    maps = best.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("s", "e"))).alias("m"))
-    j = w.join(maps, "word", "left")
-
-    def piece_at(s, e):
-        return F.concat(F.when(s > 0, F.lit("##")).otherwise(F.lit("")), F.substring(F.col("word"), s + 1, e - s))
-
-    init = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("toks"), F.lit(True).alias("ok"))
-
-    def step(acc, i):
-        e = F.element_at(F.col("m"), i)
-        moved = F.when(e.isNull(), F.struct(acc["pos"].alias("pos"), acc["toks"].alias("toks"), F.lit(False).alias("ok"))) \
-                 .otherwise(F.struct(e.alias("pos"), F.concat(acc["toks"], F.array(piece_at(i, e))).alias("toks"),
-                                     F.lit(True).alias("ok")))
-        return F.when(acc["ok"] & (i == acc["pos"]), moved).otherwise(acc)
-
-    walked = F.aggregate(F.sequence(F.lit(0), F.length("word") - 1), init, step)
-    good = F.col("m").isNotNull() & walked["ok"]
-    return j.select("word", F.when(good, walked["toks"]).otherwise(F.array(F.lit(unk))).alias("pieces"))
+def longest_pieces(word: str, vocab, longest: int, max_chars: int, unk: str) -> list[str]:
+    """Greedy longest-match-first pieces of one word ('##' after the first);
+    a word with a gap, or longer than ``max_chars`` (the tokenizer's rule), is
+    ``unk``. No piece longer than the vocabulary's longest token is tried."""
+    if len(word) > max_chars:
+        return [unk]
+    out, start = [], 0
+    while start < len(word):
+        mark = "##" if start else ""
+        for end in range(min(len(word), start + longest - len(mark)), start, -1):
+            if mark + word[start:end] in vocab:
+                break
+        else:
+            return [unk]
+        out.append(mark + word[start:end])
+        start = end
+    return out
 
 
 def wordpiece_encode(texts: DataFrame, keys: list[str], text: str, vocab: DataFrame,
                      keep_whole: str | None = None, unk: str = "[UNK]", unk_id: int | None = None,
-                     max_length: int | None = None, max_vocab_rows: int = 2_000_000) -> DataFrame:
-    """I3 as a job: split texts into words, encode each distinct word once,
-    join back, map pieces to ids and cut to ``max_length``. Returns keys +
-    ``tokens`` + ``ids``. The vocabulary (bounded by its size parameter) is
-    written once, since three joins read it."""
-    from tessera.session import materialize
-    vocab = materialize(vocab.select("token", "id"), "vocab")
-    words = texts.select(*keys, F.posexplode(basic_words(text, keep_whole)).alias("wpos", "word"))
-    enc = wordpiece_encode_words(words.select("word").distinct(), vocab, unk=unk, max_vocab_rows=max_vocab_rows)
-    j = words.join(enc, "word").select(*keys, "wpos", F.posexplode("pieces").alias("tpos", "token"))
-    j = j.join(bounded_broadcast(vocab.select("token", "id"), max_vocab_rows), "token", "left")
-    j = j.withColumn("id", F.coalesce("id", F.lit(unk_id)))
-    s = F.array_sort(F.collect_list(F.struct("wpos", "tpos", "token", "id")))
-    out = j.groupBy(*keys).agg(s.alias("_s"))
-    toks, ids = F.transform("_s", lambda x: x["token"]), F.transform("_s", lambda x: x["id"])
-    if max_length:
-        toks, ids = F.slice(toks, 1, max_length), F.slice(ids, 1, max_length)
-    base = texts.select(*keys)
-    return base.join(out.select(*keys, toks.alias("tokens"), ids.alias("ids")), keys, "left").select(
-        *keys, F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"),
-        F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+                     max_length: int | None = None, max_chars: int = 100, max_vocab: int = 1_000_000) -> DataFrame:
+    """Texts -> keys + ``tokens`` + ``ids``, cut to ``max_length``.
+
+    The words are split in the JVM; their pieces are found where the text
+    lies, in Arrow batches that remember each word, so no text or word is
+    shuffled. The vocabulary travels with the tasks: it may have at most
+    ``max_vocab`` tokens, the limit a tokenizer is trained to; more is an error.
+    """
+    rows = vocab.select("token", "id").limit(max_vocab + 1).collect()
+    if len(rows) > max_vocab:
+        raise ValueError(f"a word-piece vocabulary of more than {max_vocab} tokens")
+    ids = {r["token"]: r["id"] for r in rows}
+    longest = max(map(len, ids), default=1)
+    schema = (texts.select(*keys).schema.add("tokens", T.ArrayType(T.StringType()))
+              .add("ids", T.ArrayType(T.IntegerType())))
+
+    def run(batches):
+        import pyarrow as pa
+        known: dict[str, list[str]] = {}
+        for batch in batches:
+            tokens, numbers = [], []
+            for words in batch.column(len(keys)).to_pylist():
+                out: list[str] = []
+                for word in words or ():
+                    pieces = known.get(word)
+                    if pieces is None:
+                        if len(known) >= max_vocab:
+                            known.clear()
+                        pieces = known[word] = longest_pieces(word, ids, longest, max_chars, unk)
+                    out += pieces
+                    if max_length and len(out) >= max_length:
+                        del out[max_length:]
+                        break
+                tokens.append(out)
+                numbers.append([ids.get(t, unk_id) for t in out])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:len(keys)], pa.array(tokens, pa.list_(pa.string())), pa.array(numbers, pa.list_(pa.int32()))],
+                names=schema.names)
+
+    return texts.select(*keys, basic_words(text, keep_whole).alias("words")).mapInArrow(run, schema)

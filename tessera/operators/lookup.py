@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import strip_hash
-from tessera.operators.sizing import DEFAULT_MAX_ROWS, bounded_broadcast
 
 
 def reduce_dictionary(dictionary: DataFrame, targets: DataFrame) -> DataFrame:
@@ -36,7 +35,7 @@ def categories_to_classes(df: DataFrame, targets: DataFrame, category: str = "ca
     return df.join(F.broadcast(targets.withColumnRenamed("category", category)), category, "inner")
 
 
-def word_classes(dictionary: DataFrame, targets: DataFrame, max_rows: int | None = None) -> DataFrame:
+def word_classes(dictionary: DataFrame, targets: DataFrame) -> DataFrame:
     """C3 applied to the dictionary side: (word, class_id) for words whose
     reduced category is a target; non-target and empty entries are dropped
     (B7, B8). Joining the small class table first keeps the big side to a
@@ -45,27 +44,31 @@ def word_classes(dictionary: DataFrame, targets: DataFrame, max_rows: int | None
     return categories_to_classes(reduced, targets).select("word", "class_id")
 
 
-def lookup_words(words: DataFrame, dictionary: DataFrame, word_col: str = "word",
-                 max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    """Left join on the word after stripping '#'; adds ``matched``.
-    The dictionary is broadcast only when its row count is within the bound,
-    otherwise the join is a shuffled one (AQE splits a hot word)."""
+def lookup_words(words: DataFrame, dictionary: DataFrame, word_col: str = "word") -> DataFrame:
+    """Left join on the word after stripping '#'; adds ``matched``. Spark
+    broadcasts the dictionary if its measured bytes allow, else it shuffles
+    both sides and splits a hot word's partition."""
     w = words.withColumn("word", strip_hash(word_col))
-    d = bounded_broadcast(dictionary.withColumn("_hit", F.lit(True)), max_rows)
+    d = dictionary.withColumn("_hit", F.lit(True))
     return (w.join(d, "word", "left")
             .withColumn("matched", F.coalesce("_hit", F.lit(False))).drop("_hit"))
 
 
-def classes_of(seqs: DataFrame, keys: list[str], word_class: DataFrame,
-               words_col: str = "words") -> DataFrame:
-    """Keys + sorted distinct class ids of the sequence's words.
+def classes_of_words(words: DataFrame, keys: list[str], word_class: DataFrame, word_col: str = "word") -> DataFrame:
+    """H19 on the long form (one row per word, NULL word allowed): keys + sorted
+    distinct class ids.
 
-    Words are exploded (outer, so an empty sequence stays), '#' stripped,
-    looked up with a left join, and the class ids collected per key:
-    NULLs (unmatched, non-target) drop out of ``collect_set`` and a sequence
-    without a class keeps ``[]``. The set is bounded by the class count.
+    Words lose their '#' and are looked up with a left join; the distinct
+    (key, class) rows come from a partial aggregation, so a key with a third of
+    all words sends at most one row per class and task. Unmatched and
+    non-target words give no class; a key without any keeps ``[]``. The set is
+    bounded by the class count.
     """
-    ex = seqs.select(*keys, F.explode_outer(words_col).alias("word"))
-    ex = ex.withColumn("word", strip_hash("word"))
-    hit = ex.join(bounded_broadcast(word_class), "word", "left")
+    hit = words.select(*keys, strip_hash(word_col).alias("word")).join(word_class, "word", "left")
     return hit.groupBy(*keys).agg(F.array_sort(F.collect_set("class_id")).alias("classes"))
+
+
+def classes_of(seqs: DataFrame, keys: list[str], word_class: DataFrame,
+               words_col: str = "words") -> DataFrame:
+    """H19 on sequences (an array of words per row; empty arrays keep ``[]``)."""
+    return classes_of_words(seqs.select(*keys, F.explode_outer(words_col).alias("word")), keys, word_class)

@@ -58,22 +58,19 @@ def metric_frame(report: DataFrame, class_num: int) -> DataFrame:
     return wide.select("measure", *[F.col(str(c)).alias(f"class_{c}") for c in range(class_num + 1)])
 
 
-def running_mean(values: DataFrame, value_col: str, by: list[str] = (), decimals: int | None = 4) -> DataFrame:
-    """Metric.update over many values then compute_average (rounded at the
-    edge only). The mean of nothing is NULL."""
-    m = F.avg(value_col)
-    return values.groupBy(*by).agg(F.count(value_col).alias("n"),
-                                   (F.round(m, decimals) if decimals is not None else m).alias("mean"))
+def running_means(values: DataFrame, value_cols: list[str], by: list[str] = (), decimals: int = 4) -> DataFrame:
+    """An accumulator per value over all rows, then its mean, rounded only
+    at the end. ``n`` counts rows; the mean of nothing is NULL."""
+    return values.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
+                                   *[F.round(F.avg(c), decimals).alias(f"{c}_mean") for c in value_cols])
 
 
 def _aligned(label: str, pred: str, shift: bool) -> Column:
-    n = F.least(F.size(label), F.size(pred))
-    if shift:
-        k = F.greatest(n - 1, F.lit(0))
-        lab, prd = F.slice(label, 2, k), F.slice(pred, 1, k)
-    else:
-        lab, prd = F.slice(label, 1, n), F.slice(pred, 1, n)
-    return F.zip_with(lab, prd, lambda a, b: (a == b).cast("int"))
+    """Hits by label position; a position without a prediction is a miss."""
+    n = F.size(label)
+    k = F.greatest(n - 1, F.lit(0)) if shift else n
+    lab, prd = F.slice(label, 2 if shift else 1, k), F.slice(pred, 1, k)
+    return F.zip_with(lab, prd, lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int"))
 
 
 def token_accuracy(df: DataFrame, label_col: str = "label", pred_col: str = "pred",

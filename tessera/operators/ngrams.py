@@ -1,13 +1,14 @@
 """n-gram counts and clipped precision.
 
-The exploded form is used when per-gram counts are the output; grams are
-keyed by (id, gram), so a long or hot id spreads over many shuffle keys, and
-every aggregate is partial before the shuffle.
+Grams are rows (ids, gram): an id's words never become one array, a hot id
+spreads over many (id, gram) keys, and every aggregate is partial before the
+shuffle. ``gram_rows`` makes them from token arrays, ``word_gram_rows`` from
+one row per word.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEP = " "
@@ -27,39 +28,56 @@ def chars(text) -> Column:
     return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.split(t, ""))
 
 
+def gram_rows(df: DataFrame, ids: list[str], tokens: str, n: int = 1) -> DataFrame:
+    return df.select(*ids, F.explode(grams(tokens, n)).alias("gram"))
+
+
+def word_gram_rows(words: DataFrame, ids: list[str], n: int = 1, order: tuple[str, ...] = ("ts", "event_id"),
+                   word: str = "word", sep: str = SEP) -> DataFrame:
+    """Grams of one row per word, in ``order``; for n = 1 nothing is ordered."""
+    if n == 1:
+        return words.select(*ids, F.col(word).alias("gram"))
+    w = Window.partitionBy(*ids).orderBy(*order)
+    parts = [F.col(word), *[F.lead(word, i).over(w) for i in range(1, n)]]
+    rows = words.select(*ids, *[p.alias(f"_w{i}") for i, p in enumerate(parts)])
+    return rows.where(F.col(f"_w{n - 1}").isNotNull()).select(
+        *ids, F.concat_ws(sep, *[f"_w{i}" for i in range(n)]).alias("gram"))
+
+
+def gram_counts(rows: DataFrame, ids: list[str]) -> DataFrame:
+    return rows.groupBy(*ids, "gram").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def ngram_counts(df: DataFrame, ids: list[str], tokens: str, n: int = 1) -> DataFrame:   # D8
-    return (df.select(*ids, F.explode(grams(tokens, n)).alias("gram"))
-            .groupBy(*ids, "gram").agg(F.count(F.lit(1)).alias("cnt")))
+    return gram_counts(gram_rows(df, ids, tokens, n), ids)
 
 
-def count_clip(cands: DataFrame, refs: DataFrame, ids: list[str], tokens: str,
-               n: int = 1, ref_keys: list[str] = ()) -> DataFrame:                         # D9
+def clipped_counts(cand_rows: DataFrame, ref_rows: DataFrame, ids: list[str], ref_ids: list[str] | None = None,
+                   ref_keys: list[str] = ()) -> DataFrame:                                # D9
     """Per (id, gram of the candidate): min(candidate count, max count over the
-    id's references). ``refs`` has one row per (ids, ref_keys)."""
-    cc = ngram_counts(cands, ids, tokens, n)
-    rc = (refs.select(*ids, *ref_keys, F.explode(grams(tokens, n)).alias("gram"))
-          .groupBy(*ids, *ref_keys, "gram").agg(F.count(F.lit(1)).alias("c"))
-          .groupBy(*ids, "gram").agg(F.max("c").alias("ref_max")))
-    j = cc.join(rc, [*ids, "gram"], "left")
+    references with the same ``ref_ids``). Reference grams are counted once per
+    reference, however many candidates share it."""
+    ref_ids = ref_ids or ids
+    most = (ref_rows.groupBy(*ref_ids, *ref_keys, "gram").agg(F.count(F.lit(1)).alias("c"))
+            .groupBy(*ref_ids, "gram").agg(F.max("c").alias("ref_max")))
+    j = gram_counts(cand_rows, ids).join(most, [*ref_ids, "gram"], "left")
     return j.select(*ids, "gram", "cnt", F.least("cnt", F.coalesce("ref_max", F.lit(0))).alias("clip"))
 
 
+def clipped_precision(cand_rows: DataFrame, ref_rows: DataFrame, ids: list[str], ref_ids: list[str] | None = None,
+                      ref_keys: list[str] = (), candidates: DataFrame | None = None) -> DataFrame:   # D10, D11
+    """sum(clipped counts) / candidate grams (1 when there are none).
+    ``candidates`` (ids) keeps those without any gram, with precision 0."""
+    sums = (clipped_counts(cand_rows, ref_rows, ids, ref_ids, ref_keys)
+            .groupBy(*ids).agg(F.sum("clip").alias("clipped"), F.sum("cnt").alias("total")))
+    if candidates is not None:
+        sums = candidates.select(*ids).join(sums, ids, "left").na.fill(0, ["clipped", "total"])
+    return sums.select(*ids, "clipped", "total", (F.col("clipped") / F.greatest("total", F.lit(1))).alias("precision"))
+
+
 def modified_precision(cands: DataFrame, refs: DataFrame, ids: list[str], tokens: str,
                        n: int = 1, ref_ids: list[str] | None = None,
-                       ref_keys: list[str] = ()) -> DataFrame:                             # D10, D11
-    """sum(clipped counts) / total candidate n-grams (1 when there are none).
-
-    ``ids`` identify a candidate; references join on ``ref_ids`` (default
-    ``ids``). D11 (many candidates, one reference) is ``ref_ids`` a prefix of
-    ``ids``. Candidates without any gram keep their row with precision 0.
-    """
-    ref_ids = ref_ids or ids
-    if ref_ids != ids:
-        refs = cands.select(*ids).join(refs, ref_ids)
-    clip = count_clip(cands, refs.select(*ids, *ref_keys, tokens), ids, tokens, n, ref_keys)
-    sums = clip.groupBy(*ids).agg(F.sum("clip").alias("clipped"))
-    total = F.greatest(F.size(tokens) - n + 1, F.lit(0))
-    base = cands.select(*ids, total.alias("total"))
-    out = base.join(sums, ids, "left").withColumn("clipped", F.coalesce("clipped", F.lit(0)))
-    return out.select(*ids, "clipped", "total",
-                      (F.col("clipped") / F.greatest("total", F.lit(1))).alias("precision"))
+                       ref_keys: list[str] = ()) -> DataFrame:
+    """``clipped_precision`` of token arrays (one row per candidate)."""
+    return clipped_precision(gram_rows(cands, ids, tokens, n), gram_rows(refs, [*(ref_ids or ids), *ref_keys], tokens, n),
+                             ids, ref_ids, ref_keys, cands)

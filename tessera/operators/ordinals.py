@@ -44,17 +44,10 @@ def _offsets(per_part: DataFrame, value_cols: list[str]) -> DataFrame:
 
 
 def row_ordinals(df: DataFrame, order_cols: list[str], col: str = "rn",
-                 total_col: str | None = None, num_parts: int | None = None,
-                 keys_only: bool = False) -> DataFrame:
+                 total_col: str | None = None, num_parts: int | None = None) -> DataFrame:
     """1-based global row number by ``order_cols`` (a unique key), equal to
-    ``row_number() OVER (ORDER BY order_cols)``. ``total_col`` adds N.
-
-    By default the rows are staged whole (written once). With ``keys_only``
-    only the key columns are staged and the rows joined back by key: better
-    for wide rows whose upstream is cheap to recompute."""
-    if keys_only and set(df.columns) != set(order_cols):
-        keys = row_ordinals(df.select(*order_cols), order_cols, col, total_col, num_parts)
-        return df.join(keys, order_cols)
+    ``row_number() OVER (ORDER BY order_cols)``. ``total_col`` adds N. The rows
+    are staged whole (written once): number narrow frames."""
     staged = _staged(df, order_cols, num_parts)
     counts = staged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
     off = F.broadcast(_offsets(counts, ["n"]))
@@ -101,6 +94,31 @@ def shard_start(shard: str | Column, total: str | Column, world_size: int) -> Co
     return (s * F.floor(n / F.lit(world_size))).cast("long")
 
 
-def row_slice(df: DataFrame, order_cols: list[str], start: int, stop: int) -> DataFrame:   # B9
-    """Python ``frame[start:stop]`` in ``order_cols`` order."""
-    return row_ordinals(df, order_cols).where(F.col("rn").between(start + 1, stop)).drop("rn")
+def row_slice(df: DataFrame, order_cols: list[str], start: int, stop: int, ranges: int = 64) -> DataFrame:   # B9
+    """Python ``frame[start:stop]`` in ``order_cols`` order.
+
+    For a numeric first column the rows are counted in ``ranges`` value ranges
+    (approximate quantiles) first; only the ranges that the slice touches, a
+    filter that reaches the scan, are then numbered. Other types are numbered
+    whole."""
+    from pyspark.sql import types as T
+    first = order_cols[0]
+    if not isinstance(df.schema[first].dataType, T.NumericType):
+        return row_ordinals(df, order_cols).where(F.col("rn").between(start + 1, stop)).drop("rn")
+    edges = sorted(set(df.approxQuantile(first, [i / ranges for i in range(1, ranges)], 0.001)))
+    passed = F.size(F.filter(F.array(*[F.lit(e) for e in edges]).cast("array<double>"), lambda e: e <= F.col(first)))
+    place = F.when(F.col(first).isNull(), F.lit(-1)).otherwise(passed if edges else F.lit(0))
+    counts = sorted(tuple(r) for r in df.groupBy(place.alias("p")).count().collect())     # ranges + 1 rows
+    seen, before, touched = 0, 0, []
+    for p, n in counts:
+        if seen < stop and seen + n > start:
+            before = before if touched else seen
+            touched.append(p)
+        seen += n
+    if not touched:
+        return df.limit(0)
+    low = F.col(first) >= edges[touched[0] - 1] if touched[0] > 0 else F.lit(True)
+    high = F.col(first) < edges[touched[-1]] if touched[-1] < len(edges) else F.lit(True)
+    inside = low & high if touched[0] >= 0 else high | F.col(first).isNull()
+    return (row_ordinals(df.where(inside), order_cols)
+            .where(F.col("rn").between(start + 1 - before, stop - before)).drop("rn"))

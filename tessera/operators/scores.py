@@ -46,28 +46,38 @@ def log_softmax_long(scores: DataFrame, group: list[str], value: str = "score")
 
 def gather_scores(seqs: DataFrame, scores: DataFrame, batch: str = "batch_id",
                   seq: str = "seq_id", beam: str | None = "beam",
-                  array_form: bool = False) -> DataFrame:                        # C4
+                  long_form: bool = False, normalize_logits: bool = False) -> DataFrame:   # C4
     """Transition score of every chosen token.
 
-    ``seqs``: (batch, seq, step, [beam], token_id). ``scores``: long form
-    (beam, step, token_id, score), or with ``array_form`` (beam, step, scores
-    array indexed by token id). No beam column: beam = the sequence row.
-    Beams < 0 (finished early) give 0.0; steps at or beyond the longest beam of
-    the batch are cut. Windows are per batch (bounded by batch x top_k x steps).
+    ``seqs``: (batch, seq, step, [beam], token_id). ``scores``: (beam, step,
+    scores array indexed by token id), or with ``long_form`` (beam, step,
+    token_id, score). No beam column: beam = the sequence row. With
+    ``normalize_logits`` the scores are log-softmaxed over the vocabulary first
+    (E3). Beams < 0 (finished early) give 0.0; steps at or beyond the longest
+    beam of the batch are cut. The rows are dealt by batch once for both
+    windows (bounded by batch x top_k x steps); finished rows get join keys of
+    their own below every beam, so they spread and match nothing.
     """
     if beam is None:
         seqs = seqs.withColumn("beam", F.col(seq))
         beam = "beam"
+    seqs = seqs.repartition(batch)
     live = F.sum((F.col(beam) >= 0).cast("int")).over(Window.partitionBy(batch, seq))
     s = seqs.withColumn("_live", live).withColumn("_maxlen", F.max("_live").over(Window.partitionBy(batch)))
     s = s.where(F.col("step") < F.col("_maxlen")).drop("_live", "_maxlen")
-    if array_form:
-        j = s.join(scores.withColumnRenamed("beam", beam), [beam, "step"], "left")
-        val = F.get("scores", F.col("token_id"))
-    else:
-        j = s.join(scores.withColumnRenamed("beam", beam), [beam, "step", "token_id"], "left")
+    names = s.columns
+    own = -1 - F.pmod(F.xxhash64(seq, "step"), F.lit(1 << 40))
+    s = s.withColumn("_at", F.when(F.col(beam) < 0, own).otherwise(F.col(beam)))
+    scores = scores.withColumnRenamed("beam", "_at")
+    if long_form:
+        scores = log_softmax_long(scores, ["_at", "step"]) if normalize_logits else scores
+        j = s.join(scores, ["_at", "step", "token_id"], "left")
         val = F.col("score")
-    return j.select(*[c for c in s.columns], F.when(F.col(beam) < 0, F.lit(0.0)).otherwise(val.cast("double"))
+    else:
+        scores = with_log_softmax(scores, "scores", "scores") if normalize_logits else scores
+        j = s.join(scores, ["_at", "step"], "left")
+        val = F.get("scores", F.col("token_id"))
+    return j.select(*names, F.when(F.col(beam) < 0, F.lit(0.0)).otherwise(val.cast("double"))
                     .alias("transition_score"))
 
 
@@ -81,9 +91,12 @@ def top_k(df: DataFrame, key: str | list[str], score: str, k: int, tie: str | li
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def predict_ids(logits) -> Column:                                              # F3 / K2 preprocess
-    """``logits.argmax(-1)``; a struct of tensors takes its first field."""
-    return argmax(logits)
+def predict_ids(logits, kind=None) -> Column:                                   # F3 / K2 preprocess
+    """``logits.argmax(-1)``; of a tuple of outputs (``kind``: its struct type)
+    the first one."""
+    from pyspark.sql import types as T
+    first = _c(logits)[kind.fieldNames()[0]] if isinstance(kind, T.StructType) else logits
+    return argmax(first)
 
 
 def score_batches(df: DataFrame, make_scorer: Callable[[], Callable], input_col: str,

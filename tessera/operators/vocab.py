@@ -30,6 +30,7 @@ def extend_vocabulary(vocab: DataFrame, tokens: list[str]) -> DataFrame:
 # The published GPT-2 pre-tokenisation pattern (fixed value; Java regex takes
 # its look-ahead). (?U) makes \s Unicode-aware like the original engine.
 GPT2_PATTERN = r"""(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# The special tokens of the published vocabulary.
 SPECIAL_TOKENS = ["<|endoftext|>", "<|padding|>"]
 
 
@@ -66,15 +67,11 @@ def word_frequencies(texts: DataFrame, text: str, normalize: bool = True) -> Dat
     """(word, freq) of byte-level words: NFKC, pre-tokenise, count (partial
     aggregation: the table is the distinct words, not the corpus), then map
     the distinct words to byte-level characters."""
-    from tessera.operators.sizing import spread
-    texts = spread(texts.select(text))
+    t = texts.select(F.col(text).alias("t"))
     if normalize:
-        # ASCII text is already NFKC: only the other rows go through Python
-        ascii_only = F.col(text).rlike(r"^[\x00-\x7F]*$")
-        t = texts.where(ascii_only).select(F.col(text).alias("t")).unionByName(
-            texts.where(~ascii_only).select(nfkc(text).alias("t")))
-    else:
-        t = texts.select(F.col(text).alias("t"))
+        # ASCII text is already NFKC: only other texts go to Python, in the same scan
+        plain = F.col("t").rlike(r"^[\x00-\x7F]*$")
+        t = t.select(F.coalesce(nfkc(F.when(~plain, F.col("t"))), F.col("t")).alias("t"))
     w = t.select(F.explode(pretokenize("t")).alias("w")).where(F.length("w") > 0)
     freq = w.groupBy("w").agg(F.count(F.lit(1)).alias("freq"))
     return freq.select(byte_level("w").alias("word"), "freq").groupBy("word").agg(F.sum("freq").alias("freq"))
@@ -98,11 +95,6 @@ def pair_counts(words: DataFrame, syms: str = "syms", freq: str = "freq") -> Dat
             .agg(F.sum(freq).alias("cnt")))
 
 
-def best_pair(counts: DataFrame) -> DataFrame:
-    """The most frequent pair, ties by (left, right): a top-1 report."""
-    return counts.orderBy(F.desc("cnt"), "left", "right").limit(1)
-
-
 def _quote(sym: str) -> str:
     return "".join(ch if ch.isalnum() else "\\" + ch for ch in sym)
 

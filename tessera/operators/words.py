@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import is_piece, is_separator, is_week_token
-from tessera.operators.sizing import bounded_broadcast
 
 
 def _ordered_concat(order: str, text: str):
@@ -21,30 +20,44 @@ def _ordered_concat(order: str, text: str):
 
 
 def merge_pieces(tokens: DataFrame, keys: list[str], pos: str = "pos", token: str = "token",
-                 prob: str = "prob") -> DataFrame:
+                 prob: str = "prob", candidates: DataFrame | None = None) -> DataFrame:
     """A token containing '##' joins the word before it; text is
     concatenated and probabilities multiplied (D12). Pieces before the first
     word form word 0 with probability 0.0. NULL probabilities are skipped by
-    the product."""
+    the product and counted in ``n_null``. Of ``candidates`` (keys), those
+    without any token give one empty word of probability 0.0."""
     w = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     t = tokens.withColumn("word_no", F.sum(F.when(is_piece(token), 0).otherwise(1)).over(w))
     g = t.groupBy(*keys, "word_no").agg(_ordered_concat(pos, token).alias("word"),
-                                         F.product(prob).alias("_p"))
-    return g.select(*keys, "word_no", "word",
-                    F.when(F.col("word_no") == 0, F.lit(0.0)).otherwise(F.col("_p")).alias("prob"))
+                                         F.product(prob).alias("_p"),
+                                         F.count(F.when(F.col(prob).isNull(), 1)).alias("n_null"))
+    words = g.select(*keys, "word_no", "word",
+                     F.when(F.col("word_no") == 0, F.lit(0.0)).otherwise(F.col("_p")).alias("prob"), "n_null")
+    if candidates is None:
+        return words
+    return (candidates.select(*keys).join(words, keys, "left")
+            .select(*keys, F.coalesce("word_no", F.lit(0)).alias("word_no"), F.coalesce("word", F.lit("")).alias("word"),
+                    F.when(F.col("word").isNull(), F.lit(0.0)).otherwise(F.col("prob")).alias("prob"),
+                    F.coalesce("n_null", F.lit(0)).alias("n_null")))
 
 
 def glue_week_tokens(words: DataFrame, keys: list[str], order: str = "word_no",
-                     word: str = "word", prob: str = "prob") -> DataFrame:
+                     word: str = "word", prob: str = "prob", cut_after_separator: bool = False) -> DataFrame:
     """A week token right after a separator is glued to it (text
     concatenated, probabilities multiplied). Glued words are not separators,
-    so chains cannot form; a leading week token stands alone."""
+    so chains cannot form; a leading week token stands alone. With
+    ``cut_after_separator`` the words after the first separator (with its week
+    token) go."""
     w = Window.partitionBy(*keys).orderBy(order)
     prev = F.lag(word).over(w)
     joins = is_week_token(word) & F.coalesce(is_separator(prev), F.lit(False))
     t = words.withColumn("_join", joins)
     t = t.withColumn("_grp", F.sum(F.when(F.col("_join"), 0).otherwise(1)).over(
         w.rowsBetween(Window.unboundedPreceding, 0)))
+    if cut_after_separator:
+        earlier = F.sum(is_separator(word).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        t = (t.withColumn("_earlier", F.coalesce(earlier, F.lit(0)))
+             .where((F.col("_earlier") == 0) | ((F.col("_earlier") == 1) & F.col("_join"))))
     g = t.groupBy(*keys, "_grp").agg(_ordered_concat(order, word).alias(word),
                                       F.product(prob).alias(prob))
     return g.select(*keys, F.col("_grp").alias(order), word, prob)
@@ -58,26 +71,15 @@ def words_per_candidate(words: DataFrame, keys: list[str], order: str = "word_no
         F.transform("_s", lambda x: x["prob"]).alias("probs"))
 
 
-def ids_to_tokens(seqs: DataFrame, keys: list[str], vocab: DataFrame, ids: str = "ids",
-                  max_vocab_rows: int = 2_000_000) -> DataFrame:
-    """``convert_ids_to_tokens``: posexplode, vocabulary join (broadcast
-    when within the bound), ordered collect per sequence."""
-    ex = seqs.select(*keys, F.posexplode(ids).alias("_pos", "id"))
-    j = ex.join(bounded_broadcast(vocab.select("id", "token"), max_vocab_rows), "id", "left")
-    s = F.array_sort(F.collect_list(F.struct("_pos", "token")))
+def ids_to_tokens(seqs: DataFrame, keys: list[str], vocab: DataFrame, ids: str = "ids") -> DataFrame:
+    """``convert_ids_to_tokens``: posexplode, vocabulary join, ordered
+    collect per sequence; an empty sequence stays empty."""
+    ex = seqs.select(*keys, F.posexplode_outer(ids).alias("_pos", "id"))
+    j = ex.join(vocab.select("id", "token"), "id", "left")
+    s = F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", "token"))))
     return j.groupBy(*keys).agg(F.transform(s, lambda x: x["token"]).alias("tokens"))
 
 
-def tokens_to_ids(seqs: DataFrame, keys: list[str], vocab: DataFrame, tokens: str = "tokens",
-                  unk_id: int | None = None, max_vocab_rows: int = 2_000_000) -> DataFrame:
-    """C6 the other way round; unknown tokens map to ``unk_id`` (NULL if None)."""
-    ex = seqs.select(*keys, F.posexplode(tokens).alias("_pos", "token"))
-    j = ex.join(bounded_broadcast(vocab.select("id", "token"), max_vocab_rows), "token", "left")
-    j = j.withColumn("id", F.coalesce("id", F.lit(unk_id)))
-    s = F.array_sort(F.collect_list(F.struct("_pos", "id")))
-    return j.groupBy(*keys).agg(F.transform(s, lambda x: x["id"]).alias("ids"))
-
-
 def decode_wordpiece(tokens) -> F.Column:
     """Tokens -> text as a word-piece decoder does: join by spaces, then glue
     '##' continuations to the word before."""

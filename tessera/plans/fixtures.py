@@ -15,7 +15,7 @@ from tessera.session import table
 TARGET_CLASSES = [("ECONOMY", 1), ("LARGE", 2), ("MEDIUM", 3), ("SMALL", 4)]
 # Rows of the earlier output are the customers seen before this instant.
 DONE_BEFORE = "2024-01-01 06:00:00"
-WORDS_PER_SEQUENCE = 9
+TRUTH_FROM_WEEK = 4
 
 
 def fx_event(spark: SparkSession, d: str) -> DataFrame:
@@ -30,9 +30,11 @@ def fx_event(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fx_dict(spark: SparkSession, d: str) -> DataFrame:
-    part = table(spark, d, "part")
-    return (part.where(F.col("p_size") % 25 == 0)
-            .groupBy(F.concat(F.lit("m"), (F.col("p_partkey") % 100).cast("string")).alias("word"))
+    """Every part belongs to the word of its key rounded down to a multiple of
+    three, so the dictionary grows with the table, a word has one to three
+    categories, and words of events with other numbers are not in it."""
+    return (table(spark, d, "part")
+            .groupBy(F.concat(F.lit("m"), (F.col("p_partkey") - F.col("p_partkey") % 3).cast("string")).alias("word"))
             .agg(F.array_sort(F.collect_set("p_type")).alias("categories")))
 
 
@@ -40,35 +42,42 @@ def fx_target(spark: SparkSession, d: str | None = None) -> DataFrame:
     return spark.createDataFrame(TARGET_CLASSES, "category string, class_id int")
 
 
-def first_words(ev: DataFrame, keys: list[str], k: int = WORDS_PER_SEQUENCE) -> DataFrame:
-    """First ``k`` words per key in (ts, event_id) order.
+def fx_truth_words(spark: SparkSession, d: str) -> DataFrame:
+    """What happened from the truth's first week on, one row per word."""
+    return fx_event(spark, d).where(F.col("wk") >= TRUTH_FROM_WEEK).select("csno", "ts", "event_id", "word")
 
-    ``row_number() <= k`` lets Catalyst insert a partial WindowGroupLimit
-    before the shuffle, so a hot key ships at most k rows per map task and
-    the collected list is bounded by k.
-    """
-    w = Window.partitionBy(*keys).orderBy("ts", "event_id")
-    ranked = ev.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
-    return (ranked.groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.struct("_n", "word"))).alias("_s"))
+
+def fx_cand_words(spark: SparkSession, d: str) -> DataFrame:
+    """The earlier weeks, one candidate each, one row per word."""
+    return fx_event(spark, d).where(F.col("wk") < TRUTH_FROM_WEEK).select(
+        "csno", F.col("wk").alias("cand_no"), "ts", "event_id", "word")
+
+
+def sequences(words: DataFrame, keys: list[str]) -> DataFrame:
+    """All words per key in (ts, event_id) order as one array: for operators
+    whose unit is a whole text. Measures per word use the long form."""
+    return (words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "word"))).alias("_s"))
             .select(*keys, F.transform("_s", lambda s: s["word"]).alias("words")))
 
 
 def fx_truth(spark: SparkSession, d: str) -> DataFrame:
-    return first_words(fx_event(spark, d).where(F.col("wk") >= 4), ["csno"])
+    return sequences(fx_truth_words(spark, d), ["csno"])
 
 
 def fx_cand(spark: SparkSession, d: str) -> DataFrame:
-    ev = fx_event(spark, d).where(F.col("wk") <= 3).withColumnRenamed("wk", "cand_no")
-    return first_words(ev, ["csno", "cand_no"])
+    return sequences(fx_cand_words(spark, d), ["csno", "cand_no"])
+
+
+def fx_truth_keys(spark: SparkSession, d: str) -> DataFrame:
+    return fx_truth_words(spark, d).select("csno").distinct()
 
 
 def fx_token(spark: SparkSession, d: str) -> DataFrame:
-    """Generated pieces: word 'm69' -> 'm6', '##9'; each candidate closes with
-    '[EOW]' and its week marker. One pass, no union."""
+    """Generated pieces: word 'm69' -> 'm6', '##9'; each candidate closes, after
+    its last piece, with '[EOW]' and its week marker. One pass, no union."""
     w = Window.partitionBy("csno", "wk").orderBy("ts", "event_id")
-    e = (fx_event(spark, d).where(F.col("wk") <= 3)
-         .withColumn("n", F.row_number().over(w)).where(F.col("n") <= WORDS_PER_SEQUENCE))
+    e = (fx_event(spark, d).where(F.col("wk") < TRUTH_FROM_WEEK)
+         .withColumn("n", F.row_number().over(w)).withColumn("last", F.lead("event_id").over(w).isNull()))
     n, v, word = F.col("n"), F.col("value"), F.col("word")
 
     def piece(pos, token, score):
@@ -78,8 +87,8 @@ def fx_token(spark: SparkSession, d: str) -> DataFrame:
     pieces = F.array(
         piece(2 * n - 1, F.substring(word, 1, 2), -v / 100),
         F.when(F.length(word) > 2, piece(2 * n, F.concat(F.lit("##"), F.expr("substring(word, 3)")), -v / 200)),
-        F.when(n == 1, piece(F.lit(19), F.lit("[EOW]"), F.lit(-0.5))),
-        F.when(n == 1, piece(F.lit(20), F.concat(F.lit("["), F.col("wk").cast("string"), F.lit("]")), F.lit(-0.25))),
+        F.when(F.col("last"), piece(2 * n + 1, F.lit("[EOW]"), F.lit(-0.5))),
+        F.when(F.col("last"), piece(2 * n + 2, F.concat(F.lit("["), F.col("wk").cast("string"), F.lit("]")), F.lit(-0.25))),
     )
     return (e.select("csno", F.col("wk").alias("cand_no"),
                      F.explode(F.filter(pieces, lambda p: p.isNotNull())).alias("p"))
@@ -103,10 +112,11 @@ def fx_done(spark: SparkSession, d: str) -> DataFrame:
 
 def fx_vocab_base(spark: SparkSession, d: str) -> DataFrame:
     """Word-piece vocabulary: distinct pieces of fx_token, ids 0.. in token
-    order (a vocabulary is bounded by its size parameter, so one ordered
-    window over it is fine)."""
-    toks = fx_token(spark, d).select("token").distinct()
-    return toks.select("token", (F.row_number().over(Window.orderBy("token")) - 1).alias("id"))
+    order, by range-partitioned ordinals; written once."""
+    from tessera.operators.ordinals import row_ordinals
+    from tessera.session import materialize
+    ids = row_ordinals(fx_token(spark, d).select("token").distinct(), ["token"], "rn")
+    return materialize(ids.select("token", (F.col("rn") - 1).cast("int").alias("id")), "vocab")
 
 
 def fx_vocab(spark: SparkSession, d: str) -> DataFrame:

@@ -9,32 +9,33 @@ FIXTURE_SQL: dict[str, tuple[list[str], str]] = {
                'm' || json_extract_string(props, '$.k') AS word
         FROM events"""),
     "fx_dict": ([], """
-        SELECT 'm' || CAST(p_partkey % 100 AS VARCHAR) AS word,
+        SELECT 'm' || CAST(p_partkey - p_partkey % 3 AS VARCHAR) AS word,
                list(DISTINCT p_type ORDER BY p_type) AS categories
-        FROM part WHERE p_size % 25 = 0 GROUP BY 1"""),
+        FROM part GROUP BY 1"""),
     "fx_target": ([], """
         SELECT * FROM (VALUES ('ECONOMY', 1), ('LARGE', 2), ('MEDIUM', 3), ('SMALL', 4))
         AS t(category, class_id)"""),
     "fx_truth": (["fx_event"], """
-        SELECT csno, list(word ORDER BY ts, event_id)[1:9] AS words
+        SELECT csno, list(word ORDER BY ts, event_id) AS words
         FROM fx_event WHERE wk >= 4 GROUP BY csno"""),
     "fx_cand": (["fx_event"], """
-        SELECT csno, wk AS cand_no, list(word ORDER BY ts, event_id)[1:9] AS words
+        SELECT csno, wk AS cand_no, list(word ORDER BY ts, event_id) AS words
         FROM fx_event WHERE wk <= 3 GROUP BY csno, wk"""),
     "fx_tok_e": (["fx_event"], """
         SELECT csno, wk AS cand_no, word, value,
-               row_number() OVER (PARTITION BY csno, wk ORDER BY ts, event_id) AS n
+               row_number() OVER (PARTITION BY csno, wk ORDER BY ts, event_id) AS n,
+               count(*) OVER (PARTITION BY csno, wk) AS n_last
         FROM fx_event WHERE wk <= 3"""),
     "fx_token": (["fx_tok_e"], """
         SELECT csno, cand_no, CAST(2*n-1 AS INTEGER) AS pos, word[1:2] AS token, -value/100 AS score
-        FROM fx_tok_e WHERE n <= 9
+        FROM fx_tok_e
         UNION ALL
         SELECT csno, cand_no, CAST(2*n AS INTEGER), '##' || word[3:], -value/200
-        FROM fx_tok_e WHERE n <= 9 AND length(word) > 2
+        FROM fx_tok_e WHERE length(word) > 2
         UNION ALL
-        SELECT csno, cand_no, 19, '[EOW]', -0.5 FROM fx_tok_e WHERE n = 1
+        SELECT csno, cand_no, CAST(2*n+1 AS INTEGER), '[EOW]', -0.5 FROM fx_tok_e WHERE n = n_last
         UNION ALL
-        SELECT csno, cand_no, 20, '[' || cand_no || ']', -0.25 FROM fx_tok_e WHERE n = 1"""),
+        SELECT csno, cand_no, CAST(2*n+2 AS INTEGER), '[' || cand_no || ']', -0.25 FROM fx_tok_e WHERE n = n_last"""),
     "fx_pair": (["fx_cand", "fx_truth"], """
         SELECT c.csno, c.cand_no, array_to_string(c.words, ' ') AS cand,
                array_to_string(t.words, ' ') AS answer

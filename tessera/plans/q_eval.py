@@ -39,7 +39,7 @@ from tessera.plans.evaluation import class_count  # noqa: E402
 @register("c1_resume_anti_join", with_fixtures(["fx_truth", "fx_done"], """
     SELECT csno FROM fx_truth t WHERE NOT EXISTS (SELECT 1 FROM fx_done d WHERE d.csno = t.csno)"""))
 def q_c1(spark, d):
-    return skip_done(fx.fx_truth(spark, d), fx.fx_done(spark, d), "csno").select("csno")
+    return skip_done(fx.fx_truth_keys(spark, d), fx.fx_done(spark, d), "csno").select("csno")
 
 
 @register("d1_distinct_keys", with_fixtures(["fx_done"], """
@@ -82,9 +82,9 @@ def q_c3(spark, d):
     FROM (SELECT csno, cand_no, replace(unnest(words), '#', '') AS word FROM fx_cand) x
     LEFT JOIN fx_word_class wc USING (word) GROUP BY x.csno, x.cand_no"""))
 def q_h19(spark, d):
-    from tessera.operators.lookup import classes_of
+    from tessera.operators.lookup import classes_of_words
     wc = word_classes(fx.fx_dict(spark, d), fx.fx_target(spark, d))
-    cl = classes_of(fx.fx_cand(spark, d), ["csno", "cand_no"], wc)
+    cl = classes_of_words(fx.fx_cand_words(spark, d), ["csno", "cand_no"], wc)
     return cl.select("csno", "cand_no", F.array_join("classes", ",").alias("classes"))
 
 
@@ -111,7 +111,7 @@ LOG_INTERVAL = 5
            (row_number() OVER (ORDER BY csno) - 1) // {BATCH_SIZE} AS batch_id
     FROM fx_truth"""))
 def q_e4(spark, d):
-    o = row_ordinals(fx.fx_truth(spark, d).select("csno"), ["csno"])
+    o = row_ordinals(fx.fx_truth_keys(spark, d), ["csno"])
     return o.select("csno", "rn", batch_of("rn", BATCH_SIZE).alias("batch_id"))
 
 
@@ -123,7 +123,7 @@ _SHARD_SQL = f"""
 
 @register("e5_shard_ordinal", with_fixtures(["fx_truth"], _SHARD_SQL))
 def q_e5(spark, d):
-    o = row_ordinals(fx.fx_truth(spark, d).select("csno"), ["csno"], total_col="n")
+    o = row_ordinals(fx.fx_truth_keys(spark, d), ["csno"], total_col="n")
     return o.select("csno", shard_of("rn", "n", WORLD_SIZE).alias("shard"))
 
 

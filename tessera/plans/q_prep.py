@@ -25,8 +25,7 @@ _DOC_IDS = ("docs", """
 
 
 def documents(spark, d):
-    from tessera.operators.sizing import spread
-    return spread(table(spark, d, "documents").select("doc_id", "text"))
+    return table(spark, d, "documents").select("doc_id", "text")
 
 
 def doc_ids(spark, d):
@@ -62,6 +61,15 @@ def q_f1(spark, d):
     return L.sample_exact(table(spark, d, "documents").select("doc_id"), "doc_id", SAMPLE_RATIO, SAMPLE_SEED)
 
 
+@register("f1_sample_repeated_keys", f"""
+    SELECT source, doc_id FROM (
+      SELECT source, doc_id, count(*) OVER () AS n, row_number() OVER (
+        ORDER BY md5('{SAMPLE_SEED}' || source), md5(source || chr(31) || CAST(doc_id AS VARCHAR))) AS rn FROM documents)
+    WHERE rn <= floor(n * {SAMPLE_RATIO})""")
+def q_f1_repeated(spark, d):
+    return L.sample_exact(table(spark, d, "documents").select("source", "doc_id"), "source", SAMPLE_RATIO, SAMPLE_SEED)
+
+
 _BS_PROMPT = 2
 
 
@@ -151,10 +159,68 @@ def q_i3(spark, d):
                                 FROM fx_token GROUP BY 1, 2"""), RETOKENIZE_MAX), recursive=True))
 def q_i2(spark, d):
     vocab = fx.fx_vocab(spark, d)
-    tok = fx.fx_token(spark, d).join(F.broadcast(vocab), "token")
+    tok = fx.fx_token(spark, d).join(vocab, "token")
     ids = tok.groupBy("csno", "cand_no").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
     toks = Wd.ids_to_tokens(ids, ["csno", "cand_no"], vocab)
     text = toks.select("csno", "cand_no", Wd.decode_wordpiece("tokens").alias("text"))
     enc = L.wordpiece_encode(text, ["csno", "cand_no"], "text", vocab, KEEP_WHOLE, max_length=RETOKENIZE_MAX)
     return _flat(enc)
+
+
+# ---------------------------------------------------------------- word pieces of the corpus, cut and padded
+UNK, UNK_ID, CORPUS_MAX = "[UNK]", 0, 128
+_ASCII_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def corpus_vocab(spark, d):
+    """[UNK], the ASCII letters with and without '##', every pair of small
+    letters with '##', full stop and comma: a rule, so both engines build the
+    same list, and words with other letters are unknown."""
+    letters = list(_ASCII_LETTERS)
+    low = letters[:26]
+    tokens = [UNK, *letters, *["##" + c for c in letters], *["##" + a + b for a in low for b in low], ".", ","]
+    return spark.createDataFrame(list(zip(tokens, range(len(tokens)))), "token string, id int")
+
+
+_VOCAB_SQL = ("cv", f"""
+    SELECT token, CAST(row_number() OVER (ORDER BY k, a, b) - 1 AS INTEGER) AS id FROM (
+      SELECT '{UNK}' AS token, 0 AS k, 0 AS a, 0 AS b
+      UNION ALL SELECT substr('{_ASCII_LETTERS}', CAST(i AS INTEGER), 1), 1, i, 0 FROM range(1, 53) r(i)
+      UNION ALL SELECT '##' || substr('{_ASCII_LETTERS}', CAST(i AS INTEGER), 1), 2, i, 0 FROM range(1, 53) r(i)
+      UNION ALL SELECT '##' || chr(CAST(96 + i AS INTEGER)) || chr(CAST(96 + j AS INTEGER)), 3, i, j FROM range(1, 27) r(i), range(1, 27) q(j)
+      UNION ALL SELECT '.', 4, 0, 0 UNION ALL SELECT ',', 5, 0, 0)""")
+
+
+@register("i3_wordpiece_documents", with_fixtures([], f"""
+    SELECT d.doc_id, CAST(d.batch_id AS BIGINT) AS batch_id, CAST(max(len(d.ids)) OVER (PARTITION BY d.batch_id) AS INTEGER) AS width,
+           CAST(len(d.ids) AS INTEGER) AS n_ids, CAST(coalesce(list_sum(d.ids), 0) AS BIGINT) AS id_sum,
+           CAST(len(list_filter(d.ids, lambda x: x = {UNK_ID})) AS INTEGER) AS n_unk
+    FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // {_BS_PROMPT} AS batch_id, coalesce(ids, []::INTEGER[])[1:{CORPUS_MAX}] AS ids
+          FROM documents LEFT JOIN (
+            SELECT doc_id, list(v.id ORDER BY wpos, tpos) AS ids FROM tk JOIN cv v USING (token) GROUP BY 1) USING (doc_id)) d""",
+    [_VOCAB_SQL,
+     ("wl", f"SELECT doc_id, regexp_extract_all(text, {_PATTERN_SQL}) AS ws FROM documents"),
+     ("words", "SELECT doc_id, unnest(range(len(ws))) AS wpos, unnest(ws) AS word FROM wl"),
+     ("dw", "SELECT DISTINCT word FROM words WHERE length(word) > 0"),
+     ("pc", """SELECT word, s, e, (CASE WHEN s > 0 THEN '##' ELSE '' END) || substr(word, s + 1, e - s) AS piece
+               FROM (SELECT word, s, unnest(range(s + 1, least(length(word), s + 2) + 1)) AS e
+                     FROM (SELECT word, unnest(range(length(word))) AS s FROM dw WHERE length(word) <= 100))"""),
+     ("best", "SELECT word, s, max(e) AS e FROM pc JOIN cv v ON v.token = pc.piece GROUP BY 1, 2"),
+     ("walk(word, pos, toks)", """
+         SELECT word, 0, []::VARCHAR[] FROM dw
+         UNION ALL
+         SELECT w.word, b.e, list_append(w.toks, (CASE WHEN w.pos > 0 THEN '##' ELSE '' END) || substr(w.word, w.pos + 1, b.e - w.pos))
+         FROM walk w JOIN best b ON b.word = w.word AND b.s = w.pos WHERE w.pos < length(w.word)"""),
+     ("enc", f"""SELECT dw.word, coalesce(k.toks, ['{UNK}']) AS pieces FROM dw
+                 LEFT JOIN (SELECT word, toks FROM walk WHERE pos = length(word)) k USING (word)"""),
+     ("tk", """SELECT x.doc_id, x.wpos, unnest(range(len(e.pieces))) AS tpos, unnest(e.pieces) AS token
+               FROM words x JOIN enc e USING (word)""")], recursive=True))
+def q_i3_documents(spark, d):
+    """I3 -> I4 over every document: encode, cut, pad the batch to its longest."""
+    enc = L.wordpiece_encode(table(spark, d, "documents"), ["doc_id"], "text", corpus_vocab(spark, d), KEEP_WHOLE,
+                             unk=UNK, unk_id=UNK_ID, max_length=CORPUS_MAX)
+    p = L.pad_batches(enc.select("doc_id", F.col("ids").alias("input_ids")), ["doc_id"], _BS_PROMPT, "input_ids", -1, "left")
+    kept = F.filter("input_ids", lambda x: x >= 0)
+    return p.select("doc_id", "batch_id", F.size("input_ids").alias("width"), F.size(kept).alias("n_ids"),
+                    _sum_ids(kept).alias("id_sum"), F.size(F.filter("input_ids", lambda x: x == UNK_ID)).alias("n_unk"))

@@ -1,4 +1,5 @@
-"""Queries of the incremental evaluation (J1), batch and streaming forms."""
+"""Queries of the incremental evaluation (J1), batch and streaming forms: both
+tracks of the evaluation for the keys that remain, appended by run date."""
 
 from __future__ import annotations
 
@@ -6,47 +7,38 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tessera.plans import evaluation as EV
 from tessera.plans import fixtures as fx
 from tessera.plans.catalog import register
-from tessera.plans.evaluation import fixture_label_rows
-from tessera.plans.oracle import with_fixtures
+from tessera.plans.q_access import _OUT_SQL, _flat_output
 from tessera.session import scratch_path
 from tessera.streaming.incremental import read_output, resume_and_append, run_available
 
-_OUT = "csno bigint, y_true_ml string, y_pred_ml string"
-_SQL = with_fixtures(["fx_eval"], """
-    SELECT csno, array_to_string(y_true_ml, '') AS y_true_ml, array_to_string(y_pred_ml, '') AS y_pred_ml FROM fx_eval""")
-
 
 def _evaluator(spark, d):
-    rows = fixture_label_rows(spark, d).select(
-        "csno", F.array_join("y_true_ml", "").alias("y_true_ml"), F.array_join("y_pred_ml", "").alias("y_pred_ml"))
-
-    def evaluate(keys):
-        return keys.select("csno").join(rows, "csno")
-    return evaluate
+    """Keys -> output rows. Truth and candidates are cut to the keys before any
+    lookup, so a resumed run or a micro-batch costs what its keys cost."""
+    return lambda keys: EV.fixture_eval_output(spark, d, keys=keys)
 
 
 def _arrivals(spark, d):
-    keys = fx.fx_truth(spark, d).select("csno")
+    keys = fx.fx_truth_keys(spark, d)
     done = fx.fx_done(spark, d)
-    first = keys.join(done, "csno", "left_semi")
-    return first, keys.join(done, "csno", "left_anti")
+    return keys.join(done, "csno", "left_semi"), keys.join(done, "csno", "left_anti")
 
 
-@register("j1_resume_append_batch", _SQL)
+@register("j1_resume_append_batch", _OUT_SQL)
 def q_j1_batch(spark, d):
     out = scratch_path(spark, f"j1b-{uuid.uuid4().hex}")
     evaluate = _evaluator(spark, d)
     first, _ = _arrivals(spark, d)
-    all_keys = fx.fx_truth(spark, d).select("csno")
-    resume_and_append(first, out, evaluate, output_schema=_OUT)     # an earlier, partial run
-    resume_and_append(all_keys, out, evaluate, output_schema=_OUT)  # the resumed run
-    resume_and_append(all_keys, out, evaluate, output_schema=_OUT)  # resuming again adds nothing
-    return spark.read.schema(_OUT).parquet(out)
+    all_keys = fx.fx_truth_keys(spark, d)
+    for keys in (first, all_keys, all_keys):     # a partial run, the resumed run, and one with nothing left to do
+        resume_and_append(keys, out, evaluate, output_schema=EV.OUTPUT_SCHEMA, part_col="part_dt")
+    return _flat_output(spark.read.schema(EV.OUTPUT_SCHEMA).parquet(out))
 
 
-@register("j1_resume_append_stream", _SQL)
+@register("j1_resume_append_stream", _OUT_SQL)
 def q_j1_stream(spark, d):
     base = scratch_path(spark, f"j1s-{uuid.uuid4().hex}")
     incoming, out, ckpt = f"{base}/in", f"{base}/out", f"{base}/ckpt"
@@ -57,4 +49,4 @@ def q_j1_stream(spark, d):
     second.write.mode("append").parquet(incoming)
     run_available(spark, incoming, "csno bigint", out, ckpt, evaluate)
     run_available(spark, incoming, "csno bigint", out, ckpt, evaluate)   # nothing new: no batch
-    return read_output(spark, out, _OUT).drop("batch_id")
+    return _flat_output(read_output(spark, out, EV.OUTPUT_SCHEMA).drop("batch_id"))

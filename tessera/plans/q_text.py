@@ -93,8 +93,7 @@ def q_g5(spark, d):
            round(avg(rouge), 4) AS rouge_mean FROM pair_scores""", [PAIR_SCORES]))
 def q_d2(spark, d):
     s = pair_scores(spark, d)
-    return s.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 4).alias(f"{c}_mean")
-                                                 for c in ("overlap", "bleu", "rouge")])
+    return M.running_means(s, ["overlap", "bleu", "rouge"])
 
 
 _W, _BS, _K = 4, 2, 5
@@ -111,7 +110,7 @@ _W, _BS, _K = 4, 2, 5
           FROM (SELECT csno, row_number() OVER (ORDER BY csno) AS rn, count(*) OVER () AS n FROM fx_truth))"""),
         ("b", "SELECT shard, batch, sum(overlap) AS s, count(overlap) AS c FROM pair_scores JOIN o USING (csno) GROUP BY 1, 2")]))
 def q_e6(spark, d):
-    o = row_ordinals(fx.fx_truth(spark, d).select("csno"), ["csno"], total_col="n")
+    o = row_ordinals(fx.fx_truth_keys(spark, d), ["csno"], total_col="n")
     o = o.withColumn("shard", shard_of("rn", "n", _W))
     o = o.withColumn("batch", batch_of(F.col("rn") - shard_start("shard", "n", _W), _BS))
     v = pair_scores(spark, d).join(o.select("csno", "shard", "batch"), "csno")
@@ -120,7 +119,9 @@ def q_e6(spark, d):
 
 # ---------------------------------------------------------------- n-grams
 def _truth_and_refs(spark, d):
-    return fx.fx_truth(spark, d), fx.fx_cand(spark, d)
+    """Unigram rows of the truth and of the candidates."""
+    return (N.word_gram_rows(fx.fx_truth_words(spark, d), ["csno"]),
+            N.word_gram_rows(fx.fx_cand_words(spark, d), ["csno", "cand_no"]))
 
 
 @register("d8_ngram_counts", with_fixtures(["fx_truth"], """
@@ -128,7 +129,7 @@ def _truth_and_refs(spark, d):
       SELECT csno, unnest(list_transform(range(1, len(words)), lambda i: array_to_string(words[i:i+1], ' '))) AS gram
       FROM fx_truth) GROUP BY 1, 2"""))
 def q_d8(spark, d):
-    return N.ngram_counts(fx.fx_truth(spark, d), ["csno"], "words", 2)
+    return N.gram_counts(N.word_gram_rows(fx.fx_truth_words(spark, d), ["csno"], 2), ["csno"])
 
 
 _CLIP = [("cc", """SELECT csno, w AS gram, count(*) AS cnt FROM (SELECT csno, unnest(words) AS w FROM fx_truth) GROUP BY 1, 2"""),
@@ -142,7 +143,7 @@ _CLIP = [("cc", """SELECT csno, w AS gram, count(*) AS cnt FROM (SELECT csno, un
 @register("d9_count_clip", with_fixtures(["fx_truth", "fx_cand"], "SELECT csno, gram, cnt, clip FROM clip", _CLIP))
 def q_d9(spark, d):
     t, c = _truth_and_refs(spark, d)
-    return N.count_clip(t, c, ["csno"], "words", 1, ["cand_no"])
+    return N.clipped_counts(t, c, ["csno"], ref_keys=["cand_no"])
 
 
 @register("d10_modified_precision", with_fixtures(["fx_truth", "fx_cand"], """
@@ -151,7 +152,7 @@ def q_d9(spark, d):
     FROM fx_truth t LEFT JOIN (SELECT csno, sum(clip) AS clipped FROM clip GROUP BY 1) s USING (csno)""", _CLIP))
 def q_d10(spark, d):
     t, c = _truth_and_refs(spark, d)
-    p = N.modified_precision(t, c, ["csno"], "words", 1, ref_keys=["cand_no"])
+    p = N.clipped_precision(t, c, ["csno"], ref_keys=["cand_no"])
     return p.select("csno", F.col("clipped").cast("long").alias("clipped"), F.col("total").cast("long").alias("total"),
                     r6("precision").alias("precision"))
 
@@ -169,7 +170,7 @@ def q_d10(spark, d):
 def q_d11(spark, d):
     t, c = _truth_and_refs(spark, d)
     c = c.join(t.select("csno"), "csno", "left_semi")
-    p = N.modified_precision(c, t, ["csno", "cand_no"], "words", 1, ref_ids=["csno"])
+    p = N.clipped_precision(c, t, ["csno", "cand_no"], ref_ids=["csno"])
     return p.select("csno", "cand_no", r6("precision").alias("precision"))
 
 
@@ -204,4 +205,4 @@ def q_h12_conv(spark, d):
     u = cv.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("answer"))
     a = cv.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("cand"))
     p = u.join(a, ["conv_id", "turn"])
-    return p.select("conv_id", "turn", r6(O.rouge_l_recall("answer", "cand", method="arrow")).alias("rouge"))
+    return p.select("conv_id", "turn", r6(O.rouge_l_recall("answer", "cand")).alias("rouge"))

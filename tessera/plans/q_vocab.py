@@ -24,7 +24,7 @@ DOC_VOCAB = 2 + 256 + 40
 
 def event_word_freq(spark, d):
     """Word frequencies of the candidates' words (events)."""
-    return (fx.fx_cand(spark, d).select(F.explode("words").alias("w"))
+    return (fx.fx_cand_words(spark, d).select(F.col("word").alias("w"))
             .groupBy("w").agg(F.count(F.lit(1)).alias("freq"))
             .select(V.byte_level("w").alias("word"), "freq"))
 
@@ -45,12 +45,20 @@ def q_d13_best(spark, d):
     return _pairs(spark, d).orderBy(F.desc("cnt"), "left_sym", "right_sym").limit(1)
 
 
-@register("h5_nfkc_normalize")
+# The full-width forms of 0 to 9.
+FULL_WIDTH_DIGITS = "\uff10\uff11\uff12\uff13\uff14\uff15\uff16\uff17\uff18\uff19"
+
+
+@register("h5_nfkc_normalize", f"""
+    SELECT doc_id, CAST(length(nfc_normalize(text)) AS INTEGER) AS n_chars, md5(nfc_normalize(text)) AS norm_md5,
+           translate(text, '0123456789', '{FULL_WIDTH_DIGITS}') <> nfc_normalize(text) AS changed
+    FROM documents""")
 def q_h5(spark, d):
-    from tessera.operators.sizing import spread
-    doc = spread(table(spark, d, "documents"))
-    n = doc.select("doc_id", "text", V.nfkc("text").alias("norm"))
-    return n.select("doc_id", F.length("norm").alias("n_chars"), (F.col("norm") != F.col("text")).alias("changed"))
+    """The documents with their digits written full-width, which NFKC undoes."""
+    wide = F.translate("text", "0123456789", FULL_WIDTH_DIGITS)
+    n = table(spark, d, "documents").select("doc_id", wide.alias("text"), V.nfkc(wide).alias("norm"))
+    return n.select("doc_id", F.length("norm").alias("n_chars"), F.md5("norm").alias("norm_md5"),
+                    (F.col("norm") != F.col("text")).alias("changed"))
 
 
 @register("h6_byte_level_words")

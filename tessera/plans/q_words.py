@@ -82,6 +82,46 @@ def q_e2(spark, d):
     return glued_words(spark, d).select(*KEYS, "word_no", "word", r6("prob").alias("prob"))
 
 
+@register("e1_empty_candidates", with_fixtures(["fx_truth", "fx_token"], """
+    SELECT k.csno, k.cand_no, coalesce(w.word_no, 0) AS word_no, coalesce(w.word, '') AS word,
+           round(CASE WHEN w.word IS NULL THEN 0.0 ELSE w.prob END, 6) AS prob, coalesce(w.n_null, 0) AS n_null
+    FROM (SELECT csno, unnest(range(1, 5)) AS cand_no FROM fx_truth) k
+    LEFT JOIN (SELECT csno, cand_no, word_no, string_agg(token, '' ORDER BY pos) AS word,
+                      CASE WHEN word_no = 0 THEN 0.0 ELSE product(CASE WHEN pos % 7 = 0 THEN NULL ELSE prob END) END AS prob,
+                      count(*) FILTER (WHERE pos % 7 = 0) AS n_null FROM tok GROUP BY 1, 2, 3) w
+    ON w.csno = k.csno AND w.cand_no = k.cand_no""", [_TOK_PROB]))
+def q_e1_empty(spark, d):
+    keys = fx.fx_truth_keys(spark, d).select("csno", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("cand_no"))
+    t = token_probs(spark, d).withColumn("prob", F.when(F.col("pos") % 7 != 0, F.col("prob")))
+    w = Wd.merge_pieces(t, KEYS, candidates=keys)
+    return w.select(*KEYS, "word_no", "word", r6("prob").alias("prob"), "n_null")
+
+
+@register("e2_cut_after_separator", with_fixtures(["fx_token"], f"""
+    SELECT csno, word_no, word, round(prob, 6) AS prob FROM (
+      SELECT csno, grp AS word_no, string_agg(word, '' ORDER BY word_no) AS word, product(prob) AS prob
+      FROM (SELECT *, CAST(sum(CASE WHEN j THEN 0 ELSE 1 END) OVER (PARTITION BY csno ORDER BY word_no
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS grp,
+                   coalesce(sum(CAST(word IN ('[EOHW]', '[EOW]') AS INTEGER)) OVER (PARTITION BY csno ORDER BY word_no
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
+            FROM (SELECT *, regexp_full_match(word, {WEEK_SQL})
+                            AND coalesce(lag(word) OVER (PARTITION BY csno ORDER BY word_no) IN ('[EOHW]', '[EOW]'), false) AS j
+                  FROM (SELECT csno, word_no, string_agg(token, '' ORDER BY gpos) AS word,
+                               CASE WHEN word_no = 0 THEN 0.0 ELSE product(prob) END AS prob
+                        FROM (SELECT *, CAST(sum(CASE WHEN contains(token, '##') THEN 0 ELSE 1 END) OVER (PARTITION BY csno ORDER BY gpos
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS word_no
+                              FROM (SELECT csno, token, cand_no * 1000000 + pos AS gpos,
+                                           exp(score / ({PROMPT_LEN} + CAST(score < 0 AS INTEGER))) AS prob FROM fx_token))
+                        GROUP BY 1, 2)))
+      WHERE earlier = 0 OR (earlier = 1 AND j)
+      GROUP BY csno, grp)"""))
+def q_e2_cut(spark, d):
+    """All candidates of a customer as one sequence, cut after its first separator."""
+    t = token_probs(spark, d).select("csno", (F.col("cand_no") * 1_000_000 + F.col("pos")).alias("pos"), "token", "prob")
+    g = Wd.glue_week_tokens(Wd.merge_pieces(t, ["csno"]), ["csno"], cut_after_separator=True)
+    return g.select("csno", "word_no", "word", r6("prob").alias("prob"))
+
+
 def _text_query(key, sql_expr, spark_fn):
     register(key, with_fixtures(["fx_token"], f"SELECT csno, cand_no, {sql_expr} AS text FROM gen",
                                 [_TOK_PROB, _WORDS, _GLUED, _GEN_TEXT]))(
@@ -139,7 +179,7 @@ def q_f2(spark, d):
     SELECT csno, cand_no, string_agg(token, ' ' ORDER BY pos) AS text FROM fx_token GROUP BY 1, 2"""))
 def q_c6(spark, d):
     vocab = fx.fx_vocab(spark, d)
-    tok = fx.fx_token(spark, d).join(F.broadcast(vocab), "token")
+    tok = fx.fx_token(spark, d).join(vocab, "token")
     ids = tok.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))),
                                              lambda x: x["id"]).alias("ids"))
     back = Wd.ids_to_tokens(ids, KEYS, vocab)
@@ -210,7 +250,7 @@ def _gather_inputs(spark, d):
 def q_c4(spark, d):
     e, seqs, seq, step = _gather_inputs(spark, d)
     long = e.select(seq.alias("beam"), step.alias("step"), F.posexplode("embedding").alias("token_id", "score"))
-    out = S.gather_scores(seqs, long)
+    out = S.gather_scores(seqs, long, long_form=True)
     return out.select("seq_id", "step", r6("transition_score").alias("transition_score"))
 
 
@@ -218,7 +258,34 @@ def q_c4(spark, d):
 def q_c4_array(spark, d):
     e, seqs, seq, step = _gather_inputs(spark, d)
     arr = e.select(seq.alias("beam"), step.alias("step"), F.col("embedding").alias("scores"))
-    out = S.gather_scores(seqs, arr, array_form=True)
+    out = S.gather_scores(seqs, arr)
+    return out.select("seq_id", "step", r6("transition_score").alias("transition_score"))
+
+
+_GATHER_NORM = ("scn", """
+    SELECT beam, step, token_id, score - m - ln(sum(exp(score - m)) OVER (PARTITION BY beam, step)) AS score
+    FROM (SELECT *, max(score) OVER (PARTITION BY beam, step) AS m FROM sc)""")
+
+
+@register("c4_normalized_logits", with_fixtures([], """
+    SELECT s.seq_id, s.step, round(CASE WHEN s.beam < 0 THEN 0.0 ELSE scn.score END, 6) AS transition_score
+    FROM seqs s JOIN lim USING (batch_id)
+    LEFT JOIN scn ON scn.beam = s.beam AND scn.step = s.step AND scn.token_id = s.token_id
+    WHERE s.step < lim.maxlen""", _GATHER + [_GATHER_NORM]))
+def q_c4_normalized(spark, d):
+    e, seqs, seq, step = _gather_inputs(spark, d)
+    arr = e.select(seq.alias("beam"), step.alias("step"), F.col("embedding").alias("scores"))
+    out = S.gather_scores(seqs, arr, normalize_logits=True)
+    return out.select("seq_id", "step", r6("transition_score").alias("transition_score"))
+
+
+@register("c4_no_beam", with_fixtures([], """
+    SELECT s.seq_id, s.step, round(sc.score, 6) AS transition_score
+    FROM seqs s LEFT JOIN sc ON sc.beam = s.seq_id AND sc.step = s.step AND sc.token_id = s.token_id""", _GATHER))
+def q_c4_no_beam(spark, d):
+    e, seqs, seq, step = _gather_inputs(spark, d)
+    arr = e.select(seq.alias("beam"), step.alias("step"), F.col("embedding").alias("scores"))
+    out = S.gather_scores(seqs.drop("beam"), arr, beam=None)
     return out.select("seq_id", "step", r6("transition_score").alias("transition_score"))
 
 
@@ -239,10 +306,10 @@ def q_k1(spark, d):
 @register("k2_metric_hook", """
     SELECT CAST(sum(CAST(list_position(l, list_max(l)) - 1 = label AS INTEGER)) AS BIGINT) AS hits, count(*) AS n,
            round(avg(CAST(list_position(l, list_max(l)) - 1 = label AS INTEGER)), 6) AS accuracy
-    FROM (SELECT embedding[1:10] AS l, label FROM embeddings)""")
+    FROM (SELECT embedding AS l, label FROM embeddings)""")
 def q_k2(spark, d):
     e = table(spark, d, "embeddings")
-    hit = (S.predict_ids(F.slice("embedding", 1, 10)) == F.col("label")).cast("int")
+    hit = (S.predict_ids("embedding") == F.col("label")).cast("int")
     return e.select(hit.alias("h")).agg(F.sum("h").cast("long").alias("hits"), F.count(F.lit(1)).alias("n"),
                                         r6(F.avg("h")).alias("accuracy"))
 
@@ -264,8 +331,8 @@ def _ids(spark, d):
 
 @register("d5_shifted_accuracy", with_fixtures(["fx_truth", "fx_cand"], """
     SELECT CAST(sum(h) AS BIGINT) AS hits, CAST(sum(k) AS BIGINT) AS positions, round(sum(h) / sum(k), 6) AS accuracy
-    FROM (SELECT k, coalesce(list_sum(list_transform(range(1, k + 1), lambda i: CAST(label[i + 1] = pred[i] AS INTEGER))), 0) AS h
-          FROM (SELECT *, greatest(least(len(label), len(pred)) - 1, 0) AS k FROM ids))""", [_IDS]))
+    FROM (SELECT k, coalesce(list_sum(list_transform(range(1, k + 1), lambda i: CAST(coalesce(label[i + 1] = pred[i], false) AS INTEGER))), 0) AS h
+          FROM (SELECT *, greatest(len(label) - 1, 0) AS k FROM ids))""", [_IDS]))
 def q_d5(spark, d):
     a = M.token_accuracy(_ids(spark, d), shift=True)
     return a.select("hits", "positions", r6("accuracy").alias("accuracy"))
@@ -273,8 +340,8 @@ def q_d5(spark, d):
 
 @register("d6_unshifted_accuracy", with_fixtures(["fx_truth", "fx_cand"], """
     SELECT CAST(sum(h) AS BIGINT) AS hits, CAST(sum(k) AS BIGINT) AS positions, round(sum(h) / sum(k), 6) AS accuracy
-    FROM (SELECT k, coalesce(list_sum(list_transform(range(1, k + 1), lambda i: CAST(label[i] = pred[i] AS INTEGER))), 0) AS h
-          FROM (SELECT *, least(len(label), len(pred)) AS k FROM ids))""", [_IDS]))
+    FROM (SELECT k, coalesce(list_sum(list_transform(range(1, k + 1), lambda i: CAST(coalesce(label[i] = pred[i], false) AS INTEGER))), 0) AS h
+          FROM (SELECT *, len(label) AS k FROM ids))""", [_IDS]))
 def q_d6(spark, d):
     a = M.token_accuracy(_ids(spark, d), shift=False)
     return a.select("hits", "positions", r6("accuracy").alias("accuracy"))
@@ -282,9 +349,9 @@ def q_d6(spark, d):
 
 @register("d7_accuracy_weighted", with_fixtures(["fx_truth", "fx_cand"], """
     SELECT round(sum(hw), 6) AS weighted_hits, round(sum(ws), 6) AS weight, round(sum(hw) / sum(ws), 6) AS accuracy
-    FROM (SELECT coalesce(list_sum(list_transform(range(1, k + 1), lambda i: CAST(label[i + 1] = pred[i] AS INTEGER) * CAST(i + 1 AS DOUBLE))), 0) AS hw,
+    FROM (SELECT coalesce(list_sum(list_transform(range(1, k + 1), lambda i: CAST(coalesce(label[i + 1] = pred[i], false) AS INTEGER) * CAST(i + 1 AS DOUBLE))), 0) AS hw,
                  coalesce(list_sum(list_transform(range(1, k + 1), lambda i: CAST(i + 1 AS DOUBLE))), 0) AS ws
-          FROM (SELECT *, greatest(least(len(label), len(pred)) - 1, 0) AS k FROM ids))""", [_IDS]))
+          FROM (SELECT *, greatest(len(label) - 1, 0) AS k FROM ids))""", [_IDS]))
 def q_d7(spark, d):
     ids = _ids(spark, d).withColumn("w", F.transform("label", lambda x, i: (i + 1).cast("double")))
     a = M.token_accuracy(ids, shift=True, weight_col="w")
@@ -293,8 +360,8 @@ def q_d7(spark, d):
 
 @register("d7_accuracy_count", with_fixtures(["fx_truth", "fx_cand"], """
     SELECT round(CAST(sum(h) AS DOUBLE), 6) AS accuracy FROM (
-      SELECT coalesce(list_sum(list_transform(range(1, k + 1), lambda i: CAST(label[i + 1] = pred[i] AS INTEGER))), 0) AS h
-      FROM (SELECT *, greatest(least(len(label), len(pred)) - 1, 0) AS k FROM ids))""", [_IDS]))
+      SELECT coalesce(list_sum(list_transform(range(1, k + 1), lambda i: CAST(coalesce(label[i + 1] = pred[i], false) AS INTEGER))), 0) AS h
+      FROM (SELECT *, greatest(len(label) - 1, 0) AS k FROM ids))""", [_IDS]))
 def q_d7c(spark, d):
     a = M.token_accuracy(_ids(spark, d), shift=True, normalize=False)
     return a.select(r6("accuracy").alias("accuracy"))

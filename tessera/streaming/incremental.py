@@ -18,23 +18,24 @@ from pyspark.sql import functions as F
 from tessera.operators.resume import skip_done
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def resume_and_append(todo: DataFrame, output_path: str, evaluate: Callable[[DataFrame], DataFrame],
-                      key: str = "csno", output_schema: str | None = None) -> DataFrame:
-    """Batch form. Returns the rows it appended (lazily re-readable)."""
-    spark = todo.sparkSession
-    try:
-        r = spark.read
-        if output_schema:
-            r = r.schema(output_schema)
-        done = r.parquet(output_path).select(key)
+                      key: str = "csno", output_schema: str | None = None, part_col: str | None = None) -> DataFrame:
+    """Batch form: keys that the output at ``output_path`` already has are left
+    out, ``evaluate`` sees only the others, and its rows are appended once (in
+    folders of ``part_col``, if given). Returns the rows it appended (lazily
+    re-readable)."""
+    spark, remaining = todo.sparkSession, todo
+    if _exists(spark, output_path):
+        reader = spark.read.schema(output_schema) if output_schema else spark.read
+        done = reader.parquet(output_path).select(F.col(key).cast(todo.schema[key].dataType).alias(key))
         remaining = skip_done(todo, done, key)
-    except Exception as e:  # no earlier output yet
-        if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e) \
-                and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        remaining = todo
     out = evaluate(remaining)
-    out.write.mode("append").parquet(output_path)
+    out.write.mode("append").partitionBy(*([part_col] if part_col else [])).parquet(output_path)
     return out
 
 

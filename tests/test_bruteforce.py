@@ -70,16 +70,9 @@ def test_pretokenize_matches_python_regex(spark):
 
 
 def test_byte_level_map(spark):
-    def bytes_to_unicode():
-        bs = list(range(ord("!"), ord("~") + 1)) + list(range(ord("¡"), ord("¬") + 1)) + list(range(ord("®"), ord("ÿ") + 1))
-        cs, n = bs[:], 0
-        for b in range(256):
-            if b not in bs:
-                bs.append(b)
-                cs.append(256 + n)
-                n += 1
-        return dict(zip(bs, map(chr, cs)))
-    table = bytes_to_unicode()
+    # the byte rule: visible Latin-1 bytes stand for themselves, the others for U+0100, U+0101, ... in byte order
+    others = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 255) or b == 173]
+    table = {b: chr(256 + others.index(b)) if b in others else chr(b) for b in range(256)}
     words = [" hello", "Ünïcødé", "\t\n", "日本語", "a­b"]
     df = spark.createDataFrame([(w,) for w in words], "w string")
     got = [r[0] for r in df.select(V.byte_level("w")).collect()]
@@ -116,11 +109,16 @@ def wordpiece(word, vocab, unk="[UNK]"):
 def test_wordpiece_equals_greedy(spark):
     rnd = random.Random(7)
     vocab = {"a", "ab", "abc", "b", "##b", "##c", "##bc", "c", "##a", "d"}
-    words = sorted({"".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 6))) for _ in range(200)})
-    wdf = spark.createDataFrame([(w,) for w in words], "word string")
+    words = sorted({"".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 6))) for _ in range(200)} | {"a" * 101})
+    wdf = spark.createDataFrame([(i, w) for i, w in enumerate(words)] + [(-1, None), (-2, "")], "i int, word string")
     vdf = spark.createDataFrame([(t, i) for i, t in enumerate(sorted(vocab))], "token string, id int")
-    got = {r.word: r.pieces for r in L.wordpiece_encode_words(wdf, vdf).collect()}
-    assert got == {w: wordpiece(w, vocab) for w in words}
+    got = {r.i: r for r in L.wordpiece_encode(wdf, ["i"], "word", vdf, unk_id=99).collect()}
+    ids = {t: i for i, t in enumerate(sorted(vocab))}
+    for i, w in enumerate(words):
+        assert got[i].tokens == wordpiece(w, vocab) and got[i].ids == [ids.get(t, 99) for t in got[i].tokens]
+    assert got[-1].tokens == [] and got[-2].ids == []
+    with pytest.raises(ValueError):
+        L.wordpiece_encode(wdf, ["i"], "word", vdf, max_vocab=3)
 
 
 def lcs(a, b):
@@ -133,6 +131,7 @@ def lcs(a, b):
 
 
 def test_lcs_and_char_overlap_random(spark):
+    from tessera.functions.lcs_udf import lcs_length
     rnd = random.Random(3)
     rows = []
     for _ in range(200):
@@ -140,14 +139,14 @@ def test_lcs_and_char_overlap_random(spark):
         b = [rnd.choice("xyzw") for _ in range(rnd.randint(0, 12))]
         rows.append((a, b, "".join(a), "".join(b)))
     df = spark.createDataFrame(rows, "a array<string>, b array<string>, sa string, sb string")
-    got = df.select(O.lcs_length("a", "b").alias("l"), O.char_multiset_overlap("sa", "sb").alias("o")).collect()
+    got = df.select(lcs_length("a", "b").alias("l"), O.char_multiset_overlap("sa", "sb").alias("o")).collect()
     for (a, b, sa, sb), r in zip(rows, got):
         assert r.l == lcs(a, b)
         ca, cb = Counter(sa), Counter(sb)
         assert r.o == sum(min(ca[c], cb[c]) for c in ca)
 
 
-def test_lcs_numpy_form():
+def test_lcs_bits():
     from tessera.functions.lcs_udf import lcs_words
     rnd = random.Random(11)
     for _ in range(300):

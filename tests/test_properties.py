@@ -55,7 +55,7 @@ def test_chunks_concatenate_to_input(spark):
 
 def test_resume_twice_equals_once(spark, tmp_path):
     from tessera.streaming.incremental import resume_and_append
-    keys = fx.fx_truth(spark, SF).select("csno")
+    keys = fx.fx_truth_keys(spark, SF)
     ev = lambda k: k.select("csno", F.lit(1).alias("x"))
     out = str(tmp_path / "o")
     resume_and_append(keys, out, ev, output_schema="csno bigint, x int")
@@ -90,15 +90,25 @@ def test_auc_against_pairs(spark):
 
 def test_sample_exact_size_and_repeatable(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id")
-    a = L.sample_exact(docs, "doc_id", 0.37, buckets_hex=2)
-    b = L.sample_exact(docs, "doc_id", 0.37, buckets_hex=3)
+    a = L.sample_exact(docs, "doc_id", 0.37, digits=2)
+    b = L.sample_exact(docs, "doc_id", 0.37, digits=3)
     assert a.count() == int(docs.count() * 0.37)
     assert a.exceptAll(b).count() == 0
 
 
-def test_spread_only_when_few_partitions(spark):
-    from tessera.operators.sizing import spread
-    few = spark.range(100).coalesce(1)
-    many = spark.range(0, 100, 1, 32)
-    assert spread(few, 8).rdd.getNumPartitions() == 8
-    assert spread(many, 8) is many
+def test_sample_exact_with_repeated_and_null_keys(spark):
+    rows = [(i % 3 if i % 10 else None, i // 20) for i in range(100)]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(4)
+    for ratio in (0.1, 0.25, 0.5, 0.99):
+        assert L.sample_exact(df, "k", ratio).count() == int(100 * ratio)
+    same = spark.createDataFrame([(1, "a")] * 40, "k int, v string")
+    assert L.sample_exact(same, "k", 0.3).count() == 12
+
+
+def test_row_slice_over_ranges_and_nulls(spark):
+    rows = [(None if i % 50 == 0 else i * 7 % 1009, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k int, i int").repartition(5)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    for start, stop in ((0, 10), (5, 30), (15, 800), (900, 2000), (1000, 1001)):
+        got = [tuple(r) for r in Od.row_slice(df, ["k", "i"], start, stop).collect()]
+        assert sorted(got, key=str) == sorted(order[start:stop], key=str)
