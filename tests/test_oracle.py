@@ -23,4 +23,4 @@ def test_query(spark, con, key):
     from tessera.plans.catalog import load_all
     fn, sql = load_all()[key]
     res = check(spark, con, SF, key, fn, sql)
-    assert res["ok"] is not False, res
+    assert res["ok"] is True, res       # a key without an oracle text fails
