@@ -3,8 +3,10 @@ table access by scale-factor folder."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,9 +47,11 @@ def get_session(master: str | None = None, app_name: str = "tessera",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Checkpoint folder: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only when that setting is absent *and* Spark runs in local mode (tests,
-    bench) do we make our own scratch folder; on a cluster a missing setting is
-    an error, because a machine-local folder would not survive executor loss.
+    That setting names a folder all executors share (a ``file:`` path is then
+    a shared mount). Only when it is absent *and* Spark runs in local mode
+    (tests, bench) do we make our own scratch folder; on a cluster a missing
+    setting is an error, because a machine-local folder would not survive
+    executor loss.
     """
     try:
         sc = spark.sparkContext
@@ -71,17 +75,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_RUN = f"tessera-run-{uuid.uuid4().hex}"
+_run_folders: set[str] = set()
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _delete_run_folder(spark: SparkSession, path: str) -> None:
+    try:
+        if spark._jsc is not None and not spark._jsc.sc().isStopped():
+            delete_path(spark, path)
+    except Exception:   # the session is gone; the folder is left to the cluster's own clearing
+        pass
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A folder under the checkpoint dir for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}"
+    """A place for a written intermediate table in this run's folder under the
+    checkpoint dir. Results read these tables lazily, so the folder stays while
+    the driver lives and is deleted when it ends."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{_RUN}"
+    if folder not in _run_folders:
+        _run_folders.add(folder)
+        atexit.register(_delete_run_folder, spark, folder)
+    return f"{folder}/{name}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing ``df`` once as Parquet under the checkpoint
     folder and reading it back (one computation, unlike an eager reliable
     checkpoint, which computes the plan a second time to write it)."""
-    import uuid
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
