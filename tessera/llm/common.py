@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import scratch_path, table
+from tessera.session import delete_path, scratch_path, table
 
 __all__ = ["stage", "discard", "table", "text_or_empty"]
 
@@ -17,35 +16,20 @@ def text_or_empty(col) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def _delete_at_exit(spark: SparkSession, path: str) -> None:
-    try:
-        if spark._jsc is not None and not spark._jsc.sc().isStopped():
-            _delete(spark, path)
-    except Exception:  # the session is gone: its shared folder is the operator's to clear
-        pass
-
-
-def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` once under the shared checkpoint folder and read it back:
-    cuts the lineage, survives lost executors, and is computed once however
-    often it is read. The files go when the driver ends, or with ``discard``."""
-    spark = df.sparkSession
-    path = scratch_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
-    df.write.partitionBy(*partition_by).parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once in the run's folder under the shared checkpoint folder
+    and read it back: cuts the lineage, survives lost executors, and is
+    computed once however often it is read. The files go with ``discard``, or
+    when the driver ends."""
+    path = scratch_path(df.sparkSession, f"llm-{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._staged_path = path
-    atexit.register(_delete_at_exit, spark, path)
     return back
 
 
 def discard(*frames: DataFrame) -> None:
     """Delete staged frames that nothing reads any more."""
     for df in frames:
-        path = getattr(df, "_staged_path", None)
-        if path:
-            _delete(df.sparkSession, path)
+        if path := getattr(df, "_staged_path", None):
+            delete_path(df.sparkSession, path)

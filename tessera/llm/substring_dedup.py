@@ -31,7 +31,6 @@ identifiers are passed through.
 
 from __future__ import annotations
 
-import atexit
 import uuid
 from collections.abc import Iterator
 
@@ -222,9 +221,9 @@ def _settled(rows: DataFrame) -> DataFrame:
             .mapInArrow(run, "doc_no long, packed long, repeated boolean"))
 
 
-def _bucketed(docs: DataFrame, id_col: str, text_col: str):
+def _bucketed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The documents written once under the shared folder, in buckets of
-    ``doc_no``, and the table's name."""
+    ``doc_no``."""
     spark = docs.sparkSession
     name = f"substring_docs_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -233,8 +232,8 @@ def _bucketed(docs: DataFrame, id_col: str, text_col: str):
      .repartition(buckets, "doc_no")
      .write.bucketBy(buckets, "doc_no").sortBy("doc_no").option("path", scratch_path(spark, f"llm-{name}")).saveAsTable(name))
     table = spark.table(name)
-    table._staged_path = scratch_path(spark, f"llm-{name}")
-    return table, name
+    spark.sql(f"DROP TABLE {name}")      # the files stay until the run ends; only the catalog's entry goes
+    return table
 
 
 def _places(settled: DataFrame) -> DataFrame:
@@ -259,15 +258,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept`` (``spans``: removed [start, end) byte ranges; ``kept``: the rest)."""
     if tuple(lengths)[-1] != threshold or max(threshold - n for n in lengths) > 254 or min(lengths) < 1:
         raise ValueError("lengths must grow to the threshold, from at most 254 bytes below it")
-    table, name = _bucketed(docs, id_col, text_col)
+    table = _bucketed(docs, id_col, text_col)
     rounds = repeated_runs(table, lengths, threshold)
     runs = rounds[0].filter("repeated")
     for more in rounds[1:]:
         runs = runs.unionByName(more.filter("repeated"))
     runs = stage(runs.select("doc_no", "packed"), "repeated-runs")
     discard(*rounds)
-    spark = docs.sparkSession
-    atexit.register(lambda: discard(table) if spark._jsc is not None and not spark._jsc.sc().isStopped() else None)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType),
                            *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")],
                            T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.BinaryType())])
