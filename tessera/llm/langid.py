@@ -230,12 +230,16 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """At most ``per_label`` rows of every label, at most ``snippet_words``
     words of each, on the driver."""
     key = F.xxhash64(docs[id_col], F.lit("langid"))
-    usable = docs.filter(~held_out(docs[id_col]) & docs[lang_col].isNotNull() & docs[text_col].rlike(r"\p{L}"))
-    ranked = usable.select(docs[lang_col].alias("lang"), key.alias("key"))
-    chosen = (ranked.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
+    labelled = docs.filter(~held_out(docs[id_col]) & docs[lang_col].isNotNull())
+    # a row per label, that is per class of the model; a label's share lets about four times the rows wanted through, of which the first stay
+    counts = labelled.groupBy(docs[lang_col].alias("lang")).agg(F.count("*").alias("rows"))
+    let_in = F.col("rows").cast("double") * F.shiftrightunsigned(F.col("key"), 11).cast("double") < F.lit(4.0 * per_label * 2 ** 53)
+    usable = (labelled.select(docs[lang_col].alias("lang"), key.alias("key"), docs[text_col].alias("text"))
+              .join(F.broadcast(counts), "lang").filter(let_in & F.col("text").rlike(r"\p{L}")))
+    chosen = (usable.select("lang", "key")
+              .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
               .filter(F.col("n") <= per_label).select("lang", "key").distinct())
-    words = F.split(F.trim(docs[text_col]), r"\s+")
-    rows = (usable.select(docs[lang_col].alias("lang"), key.alias("key"), words.alias("w"))
+    rows = (usable.select("lang", "key", F.split(F.trim("text"), r"\s+").alias("w"))
             .join(F.broadcast(chosen), ["lang", "key"], "left_semi")      # per_label rows a label at most
             .select("lang", "key", "w", (F.pmod(F.xxhash64("key"), F.greatest(F.size("w") - snippet_words + 1, F.lit(1)))
                                          + 1).cast("int").alias("at"))
