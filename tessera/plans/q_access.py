@@ -104,10 +104,9 @@ def q_a7(spark, d):
     return _flat_output(EV.fixture_eval_output(spark, d))
 
 
-@register("b10_result_columns", _OUT_SQL)
+@register("b10_result_columns", f"SELECT csno, y_pred_ml, y_true_txt FROM ({_OUT_SQL})")
 def q_b10(spark, d):
-    return _flat_output(EV.fixture_eval_output(spark, d).select(
-        "csno", "y_pred_ml", "y_pred_txt", "y_true_ml", "y_true_txt", "part_dt"))
+    return _flat_output(EV.fixture_eval_output(spark, d)).select("csno", "y_pred_ml", "y_true_txt")
 
 
 # ---------------------------------------------------------------- sinks
@@ -139,6 +138,34 @@ def q_a9(spark, d):
     return SR.read_parquet(spark, path, _EV_SCHEMA).groupBy("part_dt").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _database(spark):
+    """A database of the session's own catalog whose tables lie in the run's folder."""
+    name = f"tessera_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{_scratch(spark, name)}'")
+    return name
+
+
+@register("a8_append_table", """
+    SELECT strftime(ts, '%Y%m%d') AS part_dt, 2 * count(*) AS n FROM events GROUP BY 1""")
+def q_a8_table(spark, d):
+    target = f"{_database(spark)}.event_days"
+    for _ in range(2):
+        SK.append_partitioned(_events_by_day(spark, d), target, is_path=False)
+    return spark.table(target).groupBy("part_dt").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("a9_insert_into_table", """
+    SELECT strftime(ts, '%Y%m%d') AS part_dt,
+           count(*) FILTER (WHERE strftime(ts, '%Y%m%d') > '20240107' OR event_type = 'purchase') AS n
+    FROM events GROUP BY 1""")
+def q_a9_table(spark, d):
+    target = f"{_database(spark)}.event_days"
+    ev = _events_by_day(spark, d)
+    SK.append_partitioned(ev, target, is_path=False)
+    SK.overwrite_partitions(ev.where((F.col("part_dt") <= "20240107") & (F.col("event_type") == "purchase")), target, is_path=False)
+    return spark.table(target).groupBy("part_dt").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("a10_append_tsv", with_fixtures(["fx_eval"], """
     SELECT csno, '[' || array_to_string(y_pred_ml, ',') || ']' AS y_pred_ml, 2 AS copies FROM fx_eval"""))
 def q_a10(spark, d):
@@ -287,6 +314,13 @@ def q_h9(spark, d):
     return table(spark, d, "events").select("event_id", Tx.clock_text("ts").alias("clock"), Tx.day_text("ts").alias("day"))
 
 
+@register("h9_current_time_text", "SELECT event_id, true AS is_clock, true AS is_day FROM events")
+def q_h9_now(spark, d):
+    now = F.current_timestamp()
+    return table(spark, d, "events").select("event_id", Tx.clock_text(now).rlike(r"^[0-2]\d:[0-5]\d:[0-5]\d$").alias("is_clock"),
+                                            Tx.day_text(now).rlike(r"^20\d{6}$").alias("is_day"))
+
+
 @register("h14_round4", "SELECT event_id, round(value / 3, 4) AS v4 FROM events")
 def q_h14(spark, d):
     return table(spark, d, "events").select("event_id", Tx.round4(F.col("value") / 3).alias("v4"))
@@ -318,6 +352,27 @@ def q_h20(spark, d):
     return red.select("word", "category", A.lookup(m, F.col("category")).alias("class_id"))
 
 
+@register("h20_strict_lookup", with_fixtures(["fx_word_class"], "SELECT word, class_id FROM fx_word_class"))
+def q_h20_strict(spark, d):
+    m = F.create_map(*[x for c, i in fx.TARGET_CLASSES for x in (F.lit(c), F.lit(i))])
+    known = reduce_dictionary(fx.fx_dict(spark, d), fx.fx_target(spark, d)).where(F.col("category").isin(*[c for c, _ in fx.TARGET_CLASSES]))
+    return known.select("word", A.lookup(m, F.col("category"), strict=True).alias("class_id"))
+
+
+@register("h22_first_target_row_local", with_fixtures(["fx_dict_one"], "SELECT word, category FROM fx_dict_one"))
+def q_h22_local(spark, d):
+    return fx.fx_dict(spark, d).select("word", A.first_target_or_first("categories", _targets()).alias("category"))
+
+
+@register("h18_union_of_sets", with_fixtures(["fx_eval", "fx_cand"], """
+    SELECT csno, array_to_string(y_pred_ml, '') AS y_pred_ml FROM fx_eval WHERE csno IN (SELECT csno FROM fx_cand)"""))
+def q_h18_union(spark, d):
+    wc = word_classes(fx.fx_dict(spark, d), fx.fx_target(spark, d))
+    sets = classes_of_words(fx.fx_cand_words(spark, d), ["csno", "cand_no"], wc).groupBy("csno").agg(F.collect_set("classes").alias("sets"))
+    return (sets.join(fx.fx_truth_keys(spark, d), "csno", "left_semi")
+            .select("csno", F.array_join(A.multi_hot_union("sets", EV.class_count(fx.fx_target(spark, d))), "").alias("y_pred_ml")))
+
+
 @register("h21_json_output", with_fixtures(["fx_dict"], """
     SELECT word, CAST(to_json({'word': word, 'categories': categories}) AS VARCHAR) AS js FROM fx_dict"""))
 def q_h21(spark, d):

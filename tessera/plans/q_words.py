@@ -314,6 +314,37 @@ def q_k2(spark, d):
                                         r6(F.avg("h")).alias("accuracy"))
 
 
+_LOGIT_SEQS = ("sq", """
+    SELECT seq, list(label ORDER BY vec_id) AS label, list(pred ORDER BY vec_id) AS pred FROM (
+      SELECT vec_id, vec_id // 8 AS seq, label, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS pred FROM embeddings)
+    GROUP BY 1""")
+
+
+def _logit_sequences(spark, d):
+    """Eight rows of logits are one sequence of predicted ids (F3) beside its labels."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", S.predict_ids("embedding").alias("pred"))
+    s = e.groupBy(F.expr("vec_id div 8").alias("seq")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "label", "pred"))).alias("s"))
+    return s.select(F.transform("s", lambda x: x["label"]).alias("label"), F.transform("s", lambda x: x["pred"]).alias("pred"))
+
+
+@register("d6_argmax_accuracy", with_fixtures([], """
+    SELECT CAST(sum(h) AS BIGINT) AS hits, CAST(sum(k) AS BIGINT) AS positions, round(sum(h) / sum(k), 6) AS accuracy
+    FROM (SELECT len(label) AS k, list_sum(list_transform(range(1, len(label) + 1), lambda i: CAST(label[i] = pred[i] AS INTEGER))) AS h FROM sq)""",
+    [_LOGIT_SEQS]))
+def q_d6_argmax(spark, d):
+    a = M.token_accuracy(_logit_sequences(spark, d), shift=False)
+    return a.select("hits", "positions", r6("accuracy").alias("accuracy"))
+
+
+@register("k2_shifted_accuracy", with_fixtures([], """
+    SELECT CAST(sum(h) AS BIGINT) AS hits, CAST(sum(k) AS BIGINT) AS positions, round(sum(h) / sum(k), 6) AS accuracy
+    FROM (SELECT len(label) - 1 AS k, coalesce(list_sum(list_transform(range(1, len(label)), lambda i: CAST(label[i + 1] = pred[i] AS INTEGER))), 0) AS h FROM sq)""",
+    [_LOGIT_SEQS]))
+def q_k2_shifted(spark, d):
+    a = M.token_accuracy(_logit_sequences(spark, d), shift=True)
+    return a.select("hits", "positions", r6("accuracy").alias("accuracy"))
+
+
 # ---------------------------------------------------------------- token accuracies
 _IDS = ("ids", """
     SELECT t.csno, list_transform(t.words, lambda w: CAST(w[2:] AS INTEGER)) AS label,
