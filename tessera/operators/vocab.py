@@ -95,94 +95,214 @@ def pair_counts(words: DataFrame, syms: str = "syms", freq: str = "freq") -> Dat
             .agg(F.sum(freq).alias("cnt")))
 
 
-def _quote(sym: str) -> str:
-    return "".join(ch if ch.isalnum() else "\\" + ch for ch in sym)
-
-
-def apply_merges(words: DataFrame, merges: list[tuple[str, str]], syms: str = "syms") -> DataFrame:
-    """Apply symbol-disjoint merges in one left-to-right regex pass (the same
-    result as applying them one after another)."""
-    if not merges:
-        return words
-    alts = "|".join(f"({_quote(a)}) ({_quote(b)})" for a, b in merges)
-    pattern = f"(^| )(?:{alts})(?= |$)"
-    repl = "".join(f"${i}" for i in range(1, 2 * len(merges) + 2))
-    return words.withColumn(syms, F.regexp_replace(F.col(syms), F.lit(pattern), F.lit(repl)))
-
+def merge_symbols(symbols: list[str], left: str, right: str) -> list[str]:
+    """One merge over one word, left to right."""
+    out, i, n = [], 0, len(symbols)
+    while i < n:
+        if i + 1 < n and symbols[i] == left and symbols[i + 1] == right:
+            out.append(left + right)
+            i += 2
+        else:
+            out.append(symbols[i])
+            i += 1
+    return out
 
-def choose_merges(top: list, min_frequency: int, budget: int, fetched_all: bool) -> list:
-    """Exact batch of next merges from the top pairs (count desc, left, right).
 
-    The first pair is always the next merge. A later pair is the merge after
-    those already taken if it shares no symbol with them and its count is
-    strictly above every count that taking them can change or create: those
-    are bounded by the first pair that touches a taken symbol (or, when the
-    list was cut, by the last fetched count).
-    """
-    out, used = [], set()
-    stop_count = None
-    for l, r, c in top:
-        if c < min_frequency or len(out) >= budget:
-            break
-        if out and ({l, r} & used):
-            stop_count = c
-            break
-        out.append((l, r, c))
-        used.update((l, r))
-    if stop_count is None and not fetched_all and top:
-        stop_count = top[-1][2]
-    if stop_count is not None:
-        # keep the first merge and the longest prefix strictly above the bound
-        prefix = out[:1]
-        for m in out[1:]:
-            if m[2] <= stop_count:
+def _merged_words(words: DataFrame, merges: list[tuple[str, str]], emit) -> DataFrame:
+    """Apply ``merges`` to (syms, freq) in order, in Arrow batches. With
+    ``emit`` None the merged words come back. Otherwise ``emit`` is a further
+    list of merges that are tried after them, and the change of every pair's
+    count at each of those steps comes back as (step, left, right, change)."""
+    tried = list(emit or ())
+
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            lists = [s.split(" ") for s in batch.column(0).to_pylist()]
+            freqs = batch.column(1).to_pylist()
+            where: dict[tuple[str, str], set[int]] = {}
+            for k, symbols in enumerate(lists):
+                for pair in zip(symbols, symbols[1:]):
+                    where.setdefault(pair, set()).add(k)
+            change: dict[tuple[int, str, str], int] = {}
+            for step, (left, right) in enumerate([*merges, *tried], -len(merges)):
+                for k in sorted(where.get((left, right), ())):
+                    old = lists[k]
+                    new = merge_symbols(old, left, right)
+                    if len(new) == len(old):
+                        continue
+                    lists[k] = new
+                    for pair in zip(new, new[1:]):
+                        where.setdefault(pair, set()).add(k)
+                    if emit is not None and step >= 0:
+                        for pair in zip(old, old[1:]):
+                            change[step, *pair] = change.get((step, *pair), 0) - freqs[k]
+                        for pair in zip(new, new[1:]):
+                            change[step, *pair] = change.get((step, *pair), 0) + freqs[k]
+            if emit is None:
+                yield pa.RecordBatch.from_arrays([pa.array([" ".join(s) for s in lists], pa.string()), batch.column(1)],
+                                                 names=["syms", "freq"])
+            else:
+                rows = [(s, l, r, n) for (s, l, r), n in change.items() if n]
+                cols = list(zip(*rows)) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()),
+                     pa.array(cols[3], pa.int64())], names=["step", "left", "right", "change"])
+
+    frame = words.select("syms", F.col("freq").cast("long").alias("freq"))
+    if emit is None:
+        return frame.mapInArrow(run, "syms string, freq long")
+    return frame.mapInArrow(run, "step int, left string, right string, change long")
+
+
+class _Pairs:
+    """Exact counts of the leading pairs on the driver. Pairs left out count at
+    most ``floor``: a pair's count rises only when a merge makes one of its
+    symbols, and those pairs are always kept."""
+
+    def __init__(self, rows, floor: int):
+        import heapq
+        self.count = {(l, r): n for l, r, n in rows}
+        self.floor = floor
+        self.heap = [(-n, l, r) for (l, r), n in self.count.items()]
+        heapq.heapify(self.heap)
+        self.fresh = True
+
+    def best(self):
+        """(left, right, count) of the next merge; None if that is not certain."""
+        import heapq
+        while self.heap:
+            n, l, r = self.heap[0]
+            if self.count.get((l, r)) == -n:
+                return (l, r, -n) if -n > self.floor or self.fresh else None
+            heapq.heappop(self.heap)
+        return None
+
+    def apply(self, changes, made: str) -> None:
+        import heapq
+        self.fresh = False
+        for (l, r), n in changes.items():
+            if (l, r) in self.count or l == made or r == made:
+                self.count[l, r] = now = self.count.get((l, r), 0) + n
+                if now > 0:
+                    heapq.heappush(self.heap, (-now, l, r))
+                else:
+                    del self.count[l, r]
+
+    def guess(self, steps: int, min_frequency: int) -> list[tuple[str, str]]:
+        """Likely next merges: each is the best of counts that are carried on
+        as if a symbol's neighbours on one side told nothing about the other."""
+        import heapq
+        count, out = dict(self.count), []
+        heap = list(self.heap)
+        before: dict[str, set[str]] = {}
+        after: dict[str, set[str]] = {}
+        for l, r in count:
+            after.setdefault(l, set()).add(r)
+            before.setdefault(r, set()).add(l)
+
+        def put(l, r, n):
+            if n < 1:
+                count.pop((l, r), None)
+                return
+            count[l, r] = n
+            after.setdefault(l, set()).add(r)
+            before.setdefault(r, set()).add(l)
+            heapq.heappush(heap, (-n, l, r))
+
+        while heap and len(out) < steps:
+            n, l, r = heapq.heappop(heap)
+            if count.get((l, r)) != -n:
+                continue
+            n = -n
+            if n < min_frequency:
                 break
-            prefix.append(m)
-        out = prefix
-    return out
+            out.append((l, r))
+            made = l + r
+            del count[l, r]
+            lefts = [(x, count[x, l]) for x in before.get(l, ()) if (x, l) in count]
+            rights = [(y, count[r, y]) for y in after.get(r, ()) if (r, y) in count]
+            all_l = max(n + sum(count.get((l, y), 0) for y in after.get(l, ())), 1)
+            all_r = max(n + sum(count.get((x, r), 0) for x in before.get(r, ())), 1)
+            for x, m in lefts:
+                moved = m * n // all_l
+                put(x, made, count.get((x, made), 0) + moved)
+                put(x, l, m - moved)
+            for y, m in rights:
+                moved = m * n // all_r
+                put(made, y, count.get((made, y), 0) + moved)
+                put(r, y, m - moved)
+        return out
 
 
 def train_bpe(words: DataFrame, vocab_size: int, min_frequency: int = 2,
-              special_tokens: list[str] = SPECIAL_TOKENS, top_pairs: int = 256,
-              checkpoint_every: int = 4, alphabet: list[str] | None = None):
+              special_tokens: list[str] = SPECIAL_TOKENS, top_pairs: int = 20_000,
+              guesses: int = 64, checkpoint_every: int = 8, alphabet: list[str] | None = None,
+              stats: dict | None = None):
     """Byte-level BPE over a (word, freq) table.
 
     Vocabulary: special tokens, then the alphabet (all 256 byte characters
     unless given) in code-point order, then merged tokens in merge order,
-    until ``vocab_size``. Each round counts pairs once (one shuffle with
-    partial aggregation), fetches at most ``top_pairs`` of them, takes the
-    exact batch of next merges (``choose_merges``) and applies it to the
-    distinct-word table. Lineage is cut with a reliable checkpoint. The
-    driver holds only the merge list.
+    until ``vocab_size``. Ties go to the smaller (left, right).
+
+    A pass over the distinct words tries ``guesses`` likely merges one after
+    another and returns, per step, how every pair's count changes (summed in
+    the tasks, then by Spark). With these the driver follows the exact counts
+    of the leading ``top_pairs`` pairs and accepts the longest prefix of the
+    guesses that is what the greedy rule picks, always at least one merge.
+    Pairs are counted anew only when the leading ones run out. The words are
+    written every ``checkpoint_every`` passes; the driver holds the leading
+    pairs and the merge list. ``stats`` receives the number of passes.
     Returns (vocab DataFrame, merges DataFrame).
     """
     spark = words.sparkSession
     if alphabet is None:
         alphabet = sorted({_byte_char(b) for b in range(256)})
-    w = words.select(symbols_of("word").alias("syms"), "freq").where(F.length("syms") > 0)
-    w = materialize(w, "bpe-words")
+    table = materialize(words.select(symbols_of("word").alias("syms"), F.col("freq").cast("long").alias("freq"))
+                        .where(F.length("syms") > 0), "bpe-words")
+    pending: list[tuple[str, str]] = []                      # merges the written words do not have yet
     merges: list[tuple[str, str, int]] = []
     tokens = list(dict.fromkeys(list(special_tokens) + list(alphabet)))
     known = set(tokens)
-    rounds = 0
+    pairs, passes, recounts = None, 0, 0
     while len(tokens) < vocab_size:
-        counts = pair_counts(w).where(F.col("cnt") >= min_frequency)
-        top = [(r["left"], r["right"], int(r["cnt"])) for r in
-               counts.orderBy(F.desc("cnt"), "left", "right").limit(top_pairs).collect()]
-        if not top:
+        best = pairs.best() if pairs else None
+        if best is None:
+            counts = pair_counts(_merged_words(table, pending, None)).where(F.col("cnt") >= min_frequency)
+            rows = [(r["left"], r["right"], int(r["cnt"])) for r in
+                    counts.orderBy(F.desc("cnt"), "left", "right").limit(top_pairs).collect()]
+            recounts += 1
+            if not rows:
+                break
+            pairs = _Pairs(rows, rows[-1][2] if len(rows) == top_pairs else min_frequency - 1)
+        guess = pairs.guess(min(guesses, vocab_size - len(tokens)), min_frequency)
+        if not guess:
             break
-        batch = choose_merges(top, min_frequency, vocab_size - len(tokens), len(top) < top_pairs)
-        if not batch:
+        changes: list[dict] = [{} for _ in guess]
+        for row in (_merged_words(table, pending, guess).groupBy("step", "left", "right")
+                    .agg(F.sum("change").alias("n")).where("n <> 0").collect()):
+            changes[row["step"]][row["left"], row["right"]] = int(row["n"])
+        passes += 1
+        for step, (l, r) in enumerate(guess):
+            best = pairs.best()
+            if best is None or best[:2] != (l, r) or best[2] < min_frequency or len(tokens) >= vocab_size:
+                break
+            again = l + r in known
+            merges.append(best)
+            pending.append((l, r))
+            if not again:
+                known.add(l + r)
+                tokens.append(l + r)
+            pairs.apply(changes[step], l + r)
+            if again:                                        # pairs of a token made twice may have been left out
+                pairs = None
+                break
+        if pairs is not None and (best := pairs.best()) is not None and best[2] < min_frequency:
             break
-        for a, b, c in batch:
-            merges.append((a, b, c))
-            if a + b not in known:
-                known.add(a + b)
-                tokens.append(a + b)
-        w = apply_merges(w, [(a, b) for a, b, _ in batch])
-        rounds += 1
-        if rounds % checkpoint_every == 0:
-            w = materialize(w, "bpe-words")
+        if passes % checkpoint_every == 0:
+            table, pending = materialize(_merged_words(table, pending, None), "bpe-words"), []
+    if stats is not None:
+        stats.update(passes=passes, recounts=recounts)
     vocab = spark.createDataFrame([(t, i) for i, t in enumerate(tokens)], "token string, id int")
     merge_df = spark.createDataFrame([(i, a, b, c) for i, (a, b, c) in enumerate(merges)],
                                      "rank int, left string, right string, cnt long")

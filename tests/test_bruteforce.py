@@ -54,10 +54,19 @@ def test_bpe_equals_sequential(spark, seed, top):
     assert got == want
 
 
-def test_apply_merges_overlapping_same_pair(spark):
-    df = spark.createDataFrame([("l l l o",), ("a b a b",)], "syms string")
-    out = [r.syms for r in V.apply_merges(df, [("l", "l"), ("a", "b")]).collect()]
-    assert out == ["ll l o", "ab ab"]
+def test_merge_overlapping_same_pair():
+    assert V.merge_symbols("l l l o".split(), "l", "l") == ["ll", "l", "o"]
+    assert V.merge_symbols("a b a b".split(), "a", "b") == ["ab", "ab"]
+
+
+def test_bpe_on_documents_takes_few_passes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    words = V.word_frequencies(docs, "text")
+    stats = {}
+    _, m = V.train_bpe(words, 2 + 256 + 300, stats=stats)
+    got = [(r.left, r.right, r.cnt) for r in m.orderBy("rank").collect()]
+    assert got == bpe_sequential({r.word: r.freq for r in words.collect()}, 300)
+    assert stats["passes"] <= 30 and stats["recounts"] == 1
 
 
 def test_pretokenize_matches_python_regex(spark):
