@@ -36,8 +36,7 @@ _A1_SQL = """
 
 @register("a1_sql_scan", _A1_SQL)
 def q_a1(spark, d):
-    SR.register_tables(spark, d, ["lineitem"])
-    return SR.read_sql(spark, _A1_SQL)
+    return SR.read_sql(spark, _A1_SQL.replace("FROM lineitem", "FROM {lineitem}"), SR.tables(spark, d, ["lineitem"]))
 
 
 _A2_TEXTS = ["SELECT 'orders' AS source, count(*) AS n FROM orders WHERE o_orderstatus = 'F'",
@@ -46,9 +45,9 @@ _A2_TEXTS = ["SELECT 'orders' AS source, count(*) AS n FROM orders WHERE o_order
 
 @register("a2_sql_list", " UNION ALL ".join(_A2_TEXTS))
 def q_a2(spark, d):
-    SR.register_tables(spark, d, ["orders", "customer"])
-    frames = SR.read_sql(spark, _A2_TEXTS)
-    return frames[0].unionByName(frames[1])
+    texts = [q.replace("FROM orders", "FROM {orders}").replace("FROM customer", "FROM {customer}") for q in _A2_TEXTS]
+    orders, customers = SR.read_sql(spark, texts, SR.tables(spark, d, ["orders", "customer"]))
+    return orders.unionByName(customers)
 
 
 _CUST_SCHEMA = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
@@ -230,8 +229,7 @@ def q_b4(spark, d):
 @register("b4_regex_columns_sql", """
     SELECT round(l_extendedprice, 6) AS l_extendedprice, round(l_discount, 6) AS l_discount, round(l_tax, 6) AS l_tax FROM lineitem""")
 def q_b4_sql(spark, d):
-    SR.register_tables(spark, d, ["lineitem"])
-    li = SR.read_sql(spark, "SELECT `l_.*(price|count|tax)` FROM lineitem", use_regex=True)
+    li = SR.read_sql(spark, "SELECT `l_.*(price|count|tax)` FROM {lineitem}", SR.tables(spark, d, ["lineitem"]), use_regex=True)
     return li.select(*[r6(c).alias(c) for c in li.columns])
 
 

@@ -10,26 +10,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_sql(spark: SparkSession, sql: str | list[str], use_regex: bool = False):
-    """A1 / A2: one SQL text -> one frame, a list -> a list (lazy). With
-    ``use_regex`` back-quoted names are regular expressions (B4); the setting
-    is put back afterwards (the frames are analysed already)."""
+def read_sql(spark: SparkSession, sql: str | list[str], frames: dict[str, DataFrame] | None = None, use_regex: bool = False):
+    """A1 / A2: one SQL text -> one frame, a list -> a list (lazy). ``{name}`` in
+    a text stands for the frame of that name in ``frames``, so no view of the
+    session is made or replaced. With ``use_regex`` back-quoted names are
+    regular expressions (B4); the setting is put back afterwards (the frames
+    are analysed already)."""
     texts = [sql] if isinstance(sql, str) else list(sql)
     key = "spark.sql.parser.quotedRegexColumnNames"
     old = spark.conf.get(key, "false")
     if use_regex:
         spark.conf.set(key, "true")
     try:
-        res = [spark.sql(q) for q in texts]
+        res = [spark.sql(q, **{n: f for n, f in (frames or {}).items() if "{" + n + "}" in q}) for q in texts]
     finally:
         spark.conf.set(key, old)
     return res[0] if isinstance(sql, str) else res
 
 
-def register_tables(spark: SparkSession, sf_dir: str, names: list[str]) -> None:
-    """Temporary views over the Parquet tables, for SQL text (A1)."""
-    for n in names:
-        spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet").createOrReplaceTempView(n)
+def tables(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, DataFrame]:
+    """The named Parquet tables, for SQL texts (A1)."""
+    return {n: spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet") for n in names}
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType | str, header: bool = True) -> DataFrame:
