@@ -36,6 +36,7 @@ CUT_BITS = 4
 MAX_CHUNK = 4096
 MIN_RUN = 96
 BUFFER_BYTES = 1 << 20
+COMBINE_ROWS = 1 << 21                                       # chunks a task combines at once, at most about
 FIRST, DUPLICATE = 0, 1
 
 
@@ -101,6 +102,24 @@ def _chunks(keyed: DataFrame) -> DataFrame:
         import xxhash
         found, held, starts, owners, size = [], [], [], [], 0
 
+        def combined():
+            d1, d2, ords, packed = (np.concatenate(x) for x in zip(*found))
+            found.clear()
+            order = np.lexsort((packed, ords, d2, d1))
+            d1, d2, ords, packed = d1[order], d2[order], ords[order], packed[order]
+            head = np.append(True, (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1]))
+            lead = np.flatnonzero(head)[np.cumsum(head) - 1]
+            again = (ords != ords[lead]) | (packed != packed[lead])          # not the same place of a repeated row
+            rows = np.flatnonzero(head | again)
+            kind = np.where(head[rows], FIRST, DUPLICATE)
+            spread = np.where(kind == FIRST, d1[rows], (ords[rows] * 0x9E3779B1) ^ packed[rows])
+            for lo in range(0, len(rows), 1 << 16):
+                cut = slice(lo, lo + (1 << 16))
+                some = rows[cut]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(spread[cut]), pa.array(d2[some]), pa.array(ords[some]), pa.array(packed[some] | kind[cut])],
+                    names=["d1", "d2", "ord", "packed"])
+
         def flush():
             nonlocal size
             if held:
@@ -129,23 +148,11 @@ def _chunks(keyed: DataFrame) -> DataFrame:
                     size += data.size
                 if size >= BUFFER_BYTES:
                     flush()
+                    if sum(len(f[0]) for f in found) >= COMBINE_ROWS:
+                        yield from combined()
         flush()
         if found:
-            d1, d2, ords, packed = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((packed, ords, d2, d1))
-            d1, d2, ords, packed = d1[order], d2[order], ords[order], packed[order]
-            head = np.append(True, (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1]))
-            lead = np.flatnonzero(head)[np.cumsum(head) - 1]
-            again = (ords != ords[lead]) | (packed != packed[lead])          # not the same place of a repeated row
-            rows = np.flatnonzero(head | again)
-            kind = np.where(head[rows], FIRST, DUPLICATE)
-            spread = np.where(kind == FIRST, d1[rows], (ords[rows] * 0x9E3779B1) ^ packed[rows])
-            for lo in range(0, len(rows), 1 << 16):
-                cut = slice(lo, lo + (1 << 16))
-                some = rows[cut]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(spread[cut]), pa.array(d2[some]), pa.array(ords[some]), pa.array(packed[some] | kind[cut])],
-                    names=["d1", "d2", "ord", "packed"])
+            yield from combined()
 
     return keyed.select("ord", "th", "text").mapInArrow(run, "d1 long, d2 long, ord long, packed long")
 

@@ -46,6 +46,7 @@ THRESHOLD = 200
 LENGTHS = (50, 100, 150, 180, 200)
 BLOCK = 1 << 15
 BUFFER_BYTES = 1 << 20
+COMBINE_ROWS = 1 << 21                                       # rows a task combines at once, at most about
 # kinds of rows that a task hands to the sort
 SINGLE, SEVERAL, MIXED, REPEATED, CANDIDATE = range(5)
 
@@ -132,6 +133,13 @@ def _ranked(docs: DataFrame, length: int, threshold: int) -> DataFrame:
         import pyarrow as pa
         found, held, starts, owners, places, size = [], [], [], [], [], 0
 
+        def combined():
+            columns = _combined(*(np.concatenate(x) for x in zip(*found)))
+            found.clear()
+            for lo in range(0, len(columns[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[lo:lo + (1 << 16)]) for c in columns],
+                                                 names=["key", "content", "doc_no", "packed"])
+
         def flush():
             nonlocal size
             if held:
@@ -167,19 +175,19 @@ def _ranked(docs: DataFrame, length: int, threshold: int) -> DataFrame:
                     size += len(piece)
                 if size >= BUFFER_BYTES:
                     flush()
+                    if sum(len(f[0]) for f in found) >= COMBINE_ROWS:
+                        yield from combined()
         flush()
         if found:
-            columns = _combined(*(np.concatenate(x) for x in zip(*found)))
-            for lo in range(0, len(columns[0]), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(c[lo:lo + (1 << 16)]) for c in columns],
-                                                 names=["key", "content", "doc_no", "packed"])
+            yield from combined()
 
     return docs.mapInArrow(run, "key long, content long, doc_no long, packed long")
 
 
 def _settled(rows: DataFrame) -> DataFrame:
     """``doc_no, packed, repeated``: runs that are repeated, and runs whose
-    strings the next round must rank. One key has at most one row of each task."""
+    strings the next round must rank. One key has at most one row of each
+    task (of each ``COMBINE_ROWS`` rows of a large one)."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np

@@ -53,7 +53,10 @@ def got(frame):
     return {r.doc_id: (r.n_removed, r.kept_text) for r in cd.remove_duplicate_chunks(frame).collect()}
 
 
-def test_documents(spark):
+@pytest.mark.parametrize("lot", [1 << 21, 50])
+def test_documents(spark, monkeypatch, lot):
+    monkeypatch.setattr(cd, "COMBINE_ROWS", lot)
+    monkeypatch.setattr(cd, "BUFFER_BYTES", 1 << 20 if lot > 50 else 1000)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(5)
     assert got(docs) == plain_dedup([(r.doc_id, r.text) for r in docs.collect()])
 

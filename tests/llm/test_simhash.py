@@ -48,8 +48,8 @@ def test_all_documents_against_all_pairs(spark):
     assert got == {d: (f"{f:016x}", groups[d]) for d, f in zip(ids, fps)}
 
 
-@pytest.mark.parametrize("work", [1 << 27, 64])
-def test_random_fingerprints_near_each_other(spark, monkeypatch, work):
+@pytest.mark.parametrize("work, width", [(1 << 27, 1), (64, 1), (1 << 27, 2), (64, 2)])
+def test_random_fingerprints_near_each_other(spark, monkeypatch, work, width):
     monkeypatch.setattr(simhash, "PAIR_WORK", work)          # 64: every anchor is dealt over many tasks
     rng = np.random.default_rng(3)
     fps = []
@@ -60,7 +60,7 @@ def test_random_fingerprints_near_each_other(spark, monkeypatch, work):
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     from tessera.llm.components import component_roots
     frame = spark.createDataFrame([(s,) for s in signed], "fp long").repartition(4)
-    roots = {r.node: r.root for r in component_roots(simhash.links(frame)).collect()}
+    roots = {r.node: r.root for r in component_roots(simhash.links(frame, width=width)).collect()}
     want = plain_groups(list(range(len(fps))), fps)
     got_groups, want_groups = {}, {}
     for i, s in enumerate(signed):

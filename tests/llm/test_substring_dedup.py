@@ -41,9 +41,11 @@ def want(rows, threshold):
     return sorted((i if i is not None else -1, *p) for (i, _), p in zip(rows, plain(rows, threshold)))
 
 
-@pytest.mark.parametrize("block", [1 << 15, 500])
-def test_documents(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, lot", [(1 << 15, 1 << 21), (500, 40)])
+def test_documents(spark, monkeypatch, block, lot):
     monkeypatch.setattr(sd, "BLOCK", block)
+    monkeypatch.setattr(sd, "COMBINE_ROWS", lot)             # 40: a task hands on many small lots
+    monkeypatch.setattr(sd, "BUFFER_BYTES", 1 << 20 if lot > 40 else 2000)
     docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(5)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert got(docs) == want(rows, 200)
