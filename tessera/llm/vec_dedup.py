@@ -122,8 +122,18 @@ def _capped(classes: DataFrame, with_vectors: bool) -> DataFrame:
     return classes.select("label", "no", "n", "vec").mapInArrow(run, schema)
 
 
+def _joined(held, k: int):
+    """(starts, values) of the lists of several parts; part[k] and part[k + 1]
+    are the starts and values of one."""
+    import numpy as np
+    values = np.concatenate([part[k + 1][part[k][0]:part[k][-1]] for part in held])
+    sizes = np.concatenate([np.diff(part[k]) for part in held])
+    return np.append(0, np.cumsum(sizes)), values
+
+
 def _cell_links(x, no, n, caps, cap: int, role, min_cosine: float):
-    """Of one cell: (class, links counted here) and forest links (a, b)."""
+    """Of one cell: the links counted here by row, and forest links (a, b).
+    ``caps`` gives the caps of a row."""
     import numpy as np
     query, target = np.flatnonzero(role & QUERY), np.flatnonzero(role & TARGET)
     label = np.arange(len(no))
@@ -138,7 +148,7 @@ def _cell_links(x, no, n, caps, cap: int, role, min_cosine: float):
         merge_labels(label, u, v)
         # a pair counts in its first common cap: look for an earlier one
         members = np.unique(np.concatenate((u, v)))
-        earlier = [c[c < cap] for c in (caps[k] for k in members.tolist())]
+        earlier = [c[c < cap] for c in map(caps, members.tolist())]
         flat = np.concatenate(earlier)
         shared = np.zeros(len(u), bool)
         if len(flat):
@@ -178,15 +188,16 @@ def _links(classes: DataFrame, min_cosine: float) -> DataFrame:
 
         def emit():
             no, n, role = (np.concatenate([h[k] for h in held]) for k in (0, 1, 2))
-            caps = [c for h in held for c in h[4]]
-            vectors = [v for h in held for v in h[3]]
+            (vec_at, vec), (caps_at, caps) = _joined(held, 3), _joined(held, 5)
+            size = np.diff(vec_at)
             a, b, count = [], [], []
-            for d in {len(v) for v in vectors}:
-                some = np.array([k for k, v in enumerate(vectors) if len(v) == d])
-                x = np.array([vectors[k] for k in some], np.float64)
+            for d in np.unique(size).tolist():
+                some = np.flatnonzero(size == d)
+                x = vec[vec_at[some, None] + np.arange(d)].astype(np.float64)
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                counted, child, root = _cell_links(x, no[some], n[some], [caps[k] for k in some], key[1], role[some], min_cosine)
+                counted, child, root = _cell_links(x, no[some], n[some], lambda k: caps[caps_at[some[k]]:caps_at[some[k] + 1]],
+                                                   key[1], role[some], min_cosine)
                 hit = np.flatnonzero(counted)
                 a += [no[some][hit], child]
                 b += [np.full(len(hit), -1), root]
@@ -199,7 +210,9 @@ def _links(classes: DataFrame, min_cosine: float) -> DataFrame:
             names = batch.schema.names
             col = {name: batch.column(names.index(name)) for name in names}
             cap, r, c = (col[k].to_numpy() for k in ("cap", "r", "c"))
-            hashed = col["key"].to_numpy()
+            hashed, no, n, role = (col[k].to_numpy() for k in ("key", "no", "n", "role"))
+            vec_at, vec = col["vec"].offsets.to_numpy(), col["vec"].values.to_numpy(zero_copy_only=False)
+            caps_at, caps = col["caps"].offsets.to_numpy(), col["caps"].values.to_numpy(zero_copy_only=False)
             cuts = np.append(np.flatnonzero(np.append(True, (np.diff(hashed) != 0) | (np.diff(cap) != 0) | (np.diff(r) != 0)
                                                       | (np.diff(c) != 0))), len(cap))
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -210,9 +223,7 @@ def _links(classes: DataFrame, min_cosine: float) -> DataFrame:
                     yield emit()
                     held = []
                 key = now
-                part = {k: v.slice(lo, hi - lo) for k, v in col.items()}
-                held.append((part["no"].to_numpy(), part["n"].to_numpy(), part["role"].to_numpy(),
-                             [np.asarray(v.values) for v in part["vec"]], [np.asarray(v.values) for v in part["caps"]]))
+                held.append((no[lo:hi], n[lo:hi], role[lo:hi], vec_at[lo:hi + 1], vec, caps_at[lo:hi + 1], caps))
         if held:
             yield emit()
 
