@@ -169,15 +169,21 @@ def train(texts: list[tuple[str, str]], snippet_words: int = SNIPPET_WORDS, roun
         lengths.append(len(words) - before)
     if not words:
         return Field(labels, {}, np.zeros((1, len(labels))), np.zeros((len(labels), len(labels))))
-    features = [word_features(w) for w in words]
+    number_of = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    tokens = np.array([number_of[w] for w in words], np.int64)
+    features = [word_features(w) for w in number_of]         # once per distinct word
     seen: dict[str, int] = {}
-    for found in features:
+    for found, n in zip(features, np.bincount(tokens).tolist()):
         for f in found:
-            seen[f] = seen.get(f, 0) + 1
+            seen[f] = seen.get(f, 0) + n
     rows = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n > 1))}
     ids = [[rows[f] for f in found if f in rows] for found in features]
-    flat = np.fromiter((i for found in ids for i in found), np.int64)
-    owner = np.repeat(np.arange(len(words)), [len(found) for found in ids])
+    per_word = np.array([len(found) for found in ids], np.int64)
+    known = np.fromiter((i for found in ids for i in found), np.int64, int(per_word.sum()))
+    n_of = per_word[tokens]
+    owner = np.repeat(np.arange(len(words)), n_of)
+    flat = known[(np.cumsum(per_word) - per_word)[tokens][owner] + np.arange(len(owner)) - (np.cumsum(n_of) - n_of)[owner]]
+    del features, seen, ids
     truth, lengths = np.array(truth), np.array(lengths)
     n_words, k = len(words), len(labels)
     hot = np.eye(k)[truth]
