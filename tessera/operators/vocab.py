@@ -258,8 +258,9 @@ def train_bpe(words: DataFrame, vocab_size: int, min_frequency: int = 2,
     spark = words.sparkSession
     if alphabet is None:
         alphabet = sorted({_byte_char(b) for b in range(256)})
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))      # the passes are CPU work: keep them spread
     table = materialize(words.select(symbols_of("word").alias("syms"), F.col("freq").cast("long").alias("freq"))
-                        .where(F.length("syms") > 0), "bpe-words")
+                        .where(F.length("syms") > 0).repartition(tasks, "syms"), "bpe-words")
     pending: list[tuple[str, str]] = []                      # merges the written words do not have yet
     merges: list[tuple[str, str, int]] = []
     tokens = list(dict.fromkeys(list(special_tokens) + list(alphabet)))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import text as Tx
 from tessera.operators import lmprep as L
 from tessera.operators import words as Wd
 from tessera.plans import fixtures as fx

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
 
 from tessera.plans import evaluation as EV
 from tessera.plans import fixtures as fx

@@ -57,7 +57,7 @@ _PAIRS_SQL = ("pairs", """
     FROM (SELECT s, freq, unnest(range(1, len(s))) AS i FROM (SELECT string_split(word, '') AS s, freq FROM wf))
     GROUP BY 1, 2""")
 EVENT_VOCAB = 2 + 256 + 30     # special tokens + byte alphabet + merges
-DOC_VOCAB = 2 + 256 + 40
+DOC_VOCAB = 2 + 256 + 120
 
 
 def event_word_freq(spark, d):
@@ -114,7 +114,7 @@ def q_i6_events(spark, d):
     return _merges_out(merges)
 
 
-@register("i6_bpe_train_documents", with_fixtures([], _MERGES_OUT, [*_DOC_WF_SQL, *_train_sql(40)], recursive=True))
+@register("i6_bpe_train_documents", with_fixtures([], _MERGES_OUT, [*_DOC_WF_SQL, *_train_sql(120)], recursive=True))
 def q_i6_docs(spark, d):
     _, merges = V.train_bpe(V.word_frequencies(table(spark, d, "documents"), "text"), DOC_VOCAB)
     return _merges_out(merges)

@@ -4,7 +4,6 @@ import random
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.functions import overlap as O
 from tessera.operators import lmprep as L

@@ -1,6 +1,5 @@
 """Golden cases of FIXTURES.md (docstring examples and hand-traced edges)."""
 
-from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
 from tessera.functions import overlap as O
