@@ -9,11 +9,12 @@ of which document it holds. No id moves between machines: only the totals do.
 
 Every sequence is full except the last one, which is padded (``pad_to``).
 
-Tokenising splits a text at each single space between two characters that are
-not white space. The pre-tokenisation pattern never lets a token cross such a
-place, so the ids of the units, joined, are the ids of the text; texts with
-any other white-space neighbourhood are encoded whole. Units repeat, and their
-ids are remembered per task up to ``CACHE_UNITS`` units.
+Tokenising splits a text before each single space, and around each single line
+end, between two characters that are not white space. The pre-tokenisation
+pattern never lets a token cross such a place, so the ids of the units, joined,
+are the ids of the text; texts with any other white-space neighbourhood are
+encoded whole. Units repeat, and their ids are remembered per task up to
+``CACHE_UNITS`` units of either kind.
 
 Defined results: a null or empty text is its end id alone; repeated rows are
 packed as often as they occur; an empty table gives no pieces; texts of any
@@ -59,29 +60,39 @@ def make_encoder(vocabulary: str):
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines)}
     special = {t.content: i for i, t in whole.get_added_tokens_decoder().items()}
     fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    known: dict[str, bytes] = {}
+    leading: dict[str, bytes] = {}                           # units at the start of a line
+    spaced: dict[str, bytes] = {}                            # units after a space
 
     def packed(text: str) -> bytes:
         return np.asarray(fast.encode(text, allowed_special="all"), kind).tobytes()
 
-    def learn(unit: str) -> bytes:
+    def learn(known: dict, unit: str, prefix: str) -> bytes | None:
+        if not unit or unit[0].isspace() or unit[-1].isspace():
+            return None                                      # no cut is possible beside this unit
         if len(known) >= CACHE_UNITS:
             known.clear()
-        known[unit] = ids = packed(unit)
+        known[unit] = ids = packed(prefix + unit)
         return ids
 
+    line_end = packed("\n")
+
     def encode(text: str):
-        units = text.split(" ")
-        clean = not any(name in text for name in special) and not any(
-            not u or u[0].isspace() or u[-1].isspace() for u in units)
-        if not clean:
-            return np.frombuffer(packed(text), kind)
-        first = packed(units[0])
-        rest = [" " + u for u in units[1:]]
-        found = list(map(known.get, rest))
-        if None in found:
-            found = [learn(u) if ids is None else ids for u, ids in zip(rest, found)]
-        return np.frombuffer(first + b"".join(found), kind)
+        out: list[bytes] = []
+        for line in () if any(name in text for name in special) else text.split("\n"):
+            units = line.split(" ")
+            start = leading.get(units[0])
+            found = list(map(spaced.get, units[1:]))
+            if start is None and (start := learn(leading, units[0], "")) is None:
+                break
+            if None in found:
+                found = [learn(spaced, u, " ") if ids is None else ids for u, ids in zip(units[1:], found)]
+                if None in found:
+                    break
+            out.append(start + b"".join(found))
+        else:
+            if out:
+                return np.frombuffer(line_end.join(out), kind)
+        return np.frombuffer(packed(text), kind)
 
     return encode, kind
 

@@ -45,7 +45,7 @@ def test_documents(spark, tokenizer):
 
 def test_texts_of_all_kinds_and_sizes(spark, tokenizer):
     texts = [None, "", " ", "  ", "a", "a b", "a  b", " a", "a ", "a\nb c", "a \n b", "don't we'll", "12 345", "é ü ß", "日本 語", "x<|endoftext|>y z",
-             "a\u00a0b c\u2003 d", "\t\ttabs\there", "!!! ??", "word " * 3000, "x" * 30_000, "a\u3000 b", "end.\r\n\r\nnext"]
+             "a\u00a0b c\u2003 d", "\t\ttabs\there", "one two\nthree four\n\nfive", "a\nb\nc", "\na", "a\n", "it's\n's a b", "!!! ??", "word " * 3000, "x" * 30_000, "a\u3000 b", "end.\r\n\r\nnext"]
     frame = spark.createDataFrame([(i, t, "clash", 1) for i, t in enumerate(texts)], "doc_id long, text string, ids string, part int")
     for size in (1024, 16):
         checked(list(enumerate(texts)), pk.pack_documents(frame.repartition(4), size=size).collect(), tokenizer, size)
