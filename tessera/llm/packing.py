@@ -43,6 +43,7 @@ def make_encoder(vocabulary: str):
     faster encoder; a file without one is encoded by ``tokenizers`` itself."""
     import base64
     import os
+    from array import array
 
     import numpy as np
     import public_tokenizers
@@ -63,15 +64,17 @@ def make_encoder(vocabulary: str):
     leading: dict[str, bytes] = {}                           # units at the start of a line
     spaced: dict[str, bytes] = {}                            # units after a space
 
+    code = "H" if kind is np.uint16 else "I"
+
     def packed(text: str) -> bytes:
-        return np.asarray(fast.encode(text, allowed_special="all"), kind).tobytes()
+        return array(code, fast.encode(text, allowed_special="all")).tobytes()
 
     def learn(known: dict, unit: str, prefix: str) -> bytes | None:
         if not unit or unit[0].isspace() or unit[-1].isspace():
             return None                                      # no cut is possible beside this unit
         if len(known) >= CACHE_UNITS:
             known.clear()
-        known[unit] = ids = packed(prefix + unit)
+        known[unit] = ids = array(code, fast.encode_ordinary(prefix + unit)).tobytes()
         return ids
 
     line_end = packed("\n")
