@@ -8,10 +8,14 @@ Over the lines left, the text lengths (without link text) are summed in a
 sliding window of ``WINDOW`` lines. A surge is the first line of a window sum
 of at least ``SURGE_CHARS`` after sparse text, a dive the line after which the
 window sums fall to zero; the text between a surge and its dive is kept, with
-the headings that lead into it. If the page names its article (``article`` or
-``main``) and most of the text lies in it, the surge is its first line and the
-dive its last. A page without any surge keeps the lines that are not link
-lists.
+the headings that lead into it. Short lines before a surge, or a stretch
+without one, are kept if they hold at least ``ARTICLE_SHARE`` of the text that
+follows the surge, or of the page's largest stretch. If the page names its
+article (``article`` or ``main``), the spans found this way are bounded by it
+and extended to its first and last line where it holds ``ARTICLE_SHARE`` of
+their text, all spans together or else one by one. A page without any surge
+keeps the lines that are not link lists (those of its article, by the same
+share).
 
 Inside a kept line, character references are decoded and white space becomes
 one space; lines are joined by a blank line. Nothing is capped.
@@ -160,30 +164,59 @@ def page_lines(html: str) -> list[tuple[str, int, bool, bool]]:
     return lines
 
 
-def main_text(html: str | None) -> str:
-    """The article of one page."""
-    lines = page_lines(html or "")
-    if not lines:
-        return ""
-    lengths = [plain for _, plain, _, _ in lines]
-    total = sum(lengths)
-    named = [i for i, line in enumerate(lines) if line[2]]
-    if named and sum(lengths[i] for i in named) >= ARTICLE_SHARE * total:
-        return "\n\n".join(lines[i][0] for i in named)
+def _spans(lines, lengths) -> list[tuple[int, int]]:
+    """[surge, dive) of every dense stretch of a page's lines."""
     sums = [sum(lengths[i:i + WINDOW]) for i in range(len(lengths))]
-    keep: list[int] = []
-    i = 0
+    stretches, i = [], 0                                     # [first line, surge or none, dive)
     while i < len(lines):
-        if sums[i] < SURGE_CHARS or not lengths[i]:
+        if not lengths[i]:
             i += 1
             continue
-        start = i                                            # surge
-        while start and lines[start - 1][3] and start - 1 not in keep[-1:]:
-            start -= 1
+        first, surge = i, None
         while i < len(lines) and sums[i]:                    # dive: WINDOW lines without text
+            if surge is None and lengths[i] and sums[i] >= SURGE_CHARS:
+                surge = i
             i += 1
-        keep += range(start, i)
-    if not keep:
+        stretches.append((first, surge, i))
+    if all(surge is None for _, surge, _ in stretches):
+        return []
+    most = max(sum(lengths[first:end]) for first, _, end in stretches)
+    spans: list[tuple[int, int]] = []
+    for first, surge, end in stretches:
+        if surge is None:                                    # many short lines are an article too
+            if sum(lengths[first:end]) < ARTICLE_SHARE * most:
+                continue
+            surge = first
+        elif sum(lengths[first:surge]) >= ARTICLE_SHARE * sum(lengths[surge:end]):
+            surge = first
+        while surge and lines[surge - 1][3] and (not spans or surge > spans[-1][1]):
+            surge -= 1
+        spans.append((surge, end))
+    return spans
+
+
+def main_text(html: str | None) -> str:
+    """The article of one page."""
+    lines = page_lines(html or "")
+    lengths = [plain for _, plain, _, _ in lines]
+    named = [i for i, line in enumerate(lines) if line[2]]
+    text = lambda some: sum(lengths[i] for i in some)
+    spans = _spans(lines, lengths)
+    dense = [i for a, b in spans for i in range(a, b)] or range(len(lines))
+    if named and text(i for i in dense if lines[i][2]) >= ARTICLE_SHARE * text(dense):
+        keep = named                                         # bounded by the article and extended to its ends
+    elif spans:
+        keep = []
+        for a, b in spans:
+            inside = [i for i in range(a, b) if lines[i][2]]
+            if inside and text(inside) >= ARTICLE_SHARE * text(range(a, b)):
+                a, b = inside[0], inside[-1] + 1
+                while a and lines[a - 1][2]:
+                    a -= 1
+                while b < len(lines) and lines[b][2]:
+                    b += 1
+            keep += range(max(a, keep[-1] + 1 if keep else 0), b)
+    else:
         keep = [i for i, n in enumerate(lengths) if n]
     return "\n\n".join(lines[i][0] for i in keep)
 

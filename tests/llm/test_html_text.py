@@ -55,3 +55,40 @@ def test_every_page_shows_its_document(spark):
         blocks = tuple(r.text.split("\n\n"))
         assert blocks[1:] in docs and blocks[1].startswith(blocks[0]) and r.n_chars == len(r.text)
         assert not re.search(r"&(amp|quot);", r.text)
+
+
+def _blocks(text):
+    return tuple(text.split("\n\n"))
+
+
+def test_spans_on_the_pages_without_their_article_tag(spark):
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()]
+    tagged = [_blocks(main_text(h)) for h in pages]
+    bare = [_blocks(main_text(re.sub(r"</?article\b[^>]*>", "", h))) for h in pages]
+    assert sum(a == b for a, b in zip(tagged, bare)) >= 0.99 * len(pages)
+    assert all(set(b) <= set(a) for a, b in zip(tagged, bare))
+
+
+def test_spans_run_on_pages_with_an_article():
+    spans = html_text._spans
+    seen = []
+    html_text._spans = lambda *x: seen.append(spans(*x)) or seen[-1]
+    try:
+        assert main_text(f"<p>Lead</p><article><h1>T</h1><p>x</p><p>{LONG}</p></article><p>after</p>").split("\n\n") == ["T", "x", LONG]
+    finally:
+        html_text._spans = spans
+    assert seen == [[(1, 5)]]
+
+
+def test_article_bounds_and_extends_one_span_of_several():
+    gap = "<div><a href=x>link</a></div>" * 5
+    html = f"<p>w</p><article><p>s</p><p>{LONG}</p><p>t</p></article>{gap}" + f"<div><p>{LONG} other</p></div>" * 3
+    assert main_text(html).split("\n\n") == ["s", LONG, "t"] + [LONG + " other"] * 3
+
+
+def test_article_of_short_lines_beside_a_long_line():
+    verse = [f"Line {i} of a poem." for i in range(20)]
+    lines = "".join(f"<p>{x}</p>" for x in verse)
+    assert main_text(lines + f"<p>{LONG}</p>").split("\n\n") == verse + [LONG]
+    gap = "<div><a href=x>link</a></div>" * 5
+    assert main_text(lines + gap + f"<p>{LONG}</p>").split("\n\n")[:20] == verse
