@@ -3,7 +3,10 @@
 The markup of a page is stripped into lines, one per block element; scripts,
 styles and other unseen content vanish, and lines inside containers that are
 not the article by their element, role, class or id (menus, page headers and
-footers, sidebars, notices, adverts, forms, reader comments) do not count.
+footers, sidebars, notices, adverts, forms, reader comments) do not count,
+unless the container holds the page's article (more than half of the text in
+its ``article`` and ``main`` elements) or, without such elements, is a form or
+named by role, class or id only and holds more than half of all text.
 Over the lines left, the text lengths (without link text) are summed in a
 sliding window of ``WINDOW`` lines. A surge is the first line of a window sum
 of at least ``SURGE_CHARS`` after sparse text, a dive the line after which the
@@ -22,8 +25,9 @@ one space; lines are joined by a blank line. Nothing is capped.
 
 Defined results: null or empty HTML gives an empty text; plain text is one
 line; unclosed elements end where their parent's neighbour or the page ends,
-and a container that is never closed hides nothing; repeated rows give
-repeated results. Work and memory are linear in one page.
+and an unseen element or container that is self-closed or never closed hides
+nothing (only scripts, styles and comments reach to the page's end); repeated
+rows give repeated results. Work and memory are linear in one page.
 """
 
 from __future__ import annotations
@@ -40,13 +44,14 @@ SURGE_CHARS = 86
 ARTICLE_SHARE = 0.5
 
 # Element names and the words that name what is not the article.
-UNSEEN = "script style noscript template svg textarea title iframe object select button canvas audio video"
+UNSEEN = frozenset("noscript template svg textarea title iframe object select button canvas audio video".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table "
     "tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog search".split())
+NEVER_TEXT = OUTSIDE - {"form"} | {"header"}                 # elements that most of a page's text does not make its article
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 WORDS = frozenset(
     "ad ads advert advertisement advertising adbox adsense banner promo promotion sponsor sponsored nav navbar navigation menu "
@@ -57,12 +62,14 @@ HEADER_WORDS = frozenset("header".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({'|'.join(UNSEEN.split())})\b[^<>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style)(?=[\s/>])[^<>]*>.*?(?:</\1(?=[\s/>])[^<>]*>|\Z)"
+    r"|<(title|textarea)(?=[\s/>])(?:[^<>]*[^<>/])?>(?:[^<]++|<(?!/?(?:title|textarea)[\s/>]))*+</\2(?=[\s/>])[^<>]*>"
     r"|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>",
     re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
+STATE = re.compile(r"(?<!\S)(?:has|no|with|without|hide|show)[-_]\S*", re.I)          # a word on what is there, no name
 
 
 def _outside(tag: str, attributes: str, in_article: bool) -> bool:
@@ -77,35 +84,89 @@ def _outside(tag: str, attributes: str, in_article: bool) -> bool:
             if value.lower() in ROLES:
                 return True
             continue
-        parts = {p.lower() for p in NAME_PART.findall(value)}
+        parts = {p.lower() for p in NAME_PART.findall(STATE.sub("", value))}
         if parts & WORDS or (not in_article and parts & HEADER_WORDS):
             return tag != "main" and (tag != "article" or bool(parts & {"comment", "comments", "reply", "ad", "promo", "related"}))
     return False
 
 
-def _never_closed(tokens) -> set[int]:
-    """Positions of the start tags without an end tag of their own."""
+def _closed(tokens) -> dict[int, int]:
+    """Numbers of the start tags with an end tag of their own, and of that."""
     opened: dict[str, list[int]] = {}
-    for m in tokens:
-        if m[3] and not m[4].endswith("/"):
-            stack = opened.setdefault(m[3].lower(), [])
-            if m[2] != "/":
-                stack.append(m.start())
+    closes = {}
+    for k, m in enumerate(tokens):
+        if m[4] and not m[5].endswith("/"):
+            stack = opened.setdefault(m[4].lower(), [])
+            if m[3] != "/":
+                stack.append(k)
             elif stack:
-                stack.pop()
-    return {at for stack in opened.values() for at in stack}
+                closes[stack.pop()] = k
+    return closes
+
+
+def _hidden(html: str, tokens, closes: dict[int, int]) -> set[int]:
+    """Numbers of the start tags whose content is not the article: of those
+    that ``_outside`` names, the ones that hold neither the article (most of
+    the text inside article tags) nor, on a page without one, most text."""
+    named, total, inside = [], [], []                        # characters outside links, and open articles, before each token
+    n_named = n_total = articles = links = end = 0
+    unseen, foreign, outside = -1, -1, []                    # foreign: end of an article that is none, as a comment
+    for k, m in enumerate(tokens):
+        if k > unseen and not links and m.start() > end:
+            n = len(html[end:m.start()].strip())
+            n_total += n
+            n_named += n if articles and k > foreign else 0
+        end = m.end()
+        named.append(n_named)
+        total.append(n_total)
+        inside.append(articles)
+        tag = (m[4] or "").lower()
+        if not tag or k <= unseen:
+            continue
+        if m[3] == "/":
+            if tag in ("article", "main"):
+                articles = max(0, articles - 1)
+            elif tag == "a":
+                links = max(0, links - 1)
+        elif k in closes and tag in UNSEEN:
+            unseen = closes[k]
+        elif k in closes and tag not in VOID and _outside(tag, m[5], articles > 0):
+            outside.append((k, tag))
+            if tag == "article":
+                articles += 1
+                foreign = max(foreign, closes[k])
+        elif tag in ("article", "main"):
+            articles += 1
+        elif tag == "a":
+            links = 1
+    if not links:
+        n = len(html[end:].strip())
+        n_total += n
+        n_named += n if articles else 0
+    hidden = set()
+    for k, tag in outside:
+        if tag in NEVER_TEXT and (inside[k] or not n_named):
+            shown = False
+        elif n_named and tag != "article":
+            shown = 2 * (named[closes[k]] - named[k]) > n_named
+        else:
+            shown = 2 * (total[closes[k]] - total[k]) > n_total
+        if not shown:
+            hidden.add(k)
+    return hidden
 
 
 def page_lines(html: str) -> list[tuple[str, int, bool, bool]]:
     """(text, characters outside links, inside article, heading) of the lines
     that may belong to the article."""
     tokens = list(TOKEN.finditer(html))
-    unclosed = _never_closed(tokens)
+    closes = _closed(tokens)
+    hidden = _hidden(html, tokens, closes)
     lines: list[tuple[str, int, bool, bool]] = []
     text: list[str] = []
     plain = links = articles = 0
     heading = False
-    hidden_tag, hidden_depth = "", 0
+    skip = -1                                                # number of the end tag of unseen or hidden content
     end = 0
 
     def close():
@@ -117,38 +178,36 @@ def page_lines(html: str) -> list[tuple[str, int, bool, bool]]:
             text.clear()
         plain, heading = 0, False
 
-    for m in tokens:
-        if not hidden_tag and m.start() > end:
+    for k, m in enumerate(tokens):
+        if k > skip and m.start() > end:
             piece = html[end:m.start()]
             text.append(piece)
             if not links:
                 plain += len(piece.strip())
         end = m.end()
-        tag = (m[3] or "").lower()
+        if k <= skip:
+            continue
+        tag = (m[4] or "").lower()
         if not tag:
-            if m[1] and not hidden_tag:                      # unseen content: a gap between words
+            if m[1] or m[2]:                                 # unseen content: a gap between words
                 text.append(" ")
             continue
-        closing = m[2] == "/"
-        if hidden_tag:
-            if tag == hidden_tag and not m[4].endswith("/"):
-                hidden_depth += -1 if closing else 1
-                if not hidden_depth:
-                    hidden_tag = ""
-            continue
         if tag in BLOCKS:
             close()
         elif tag == "br":
             text.append(" ")
-        if closing:
+        if m[3] == "/":
             if tag in ("article", "main"):
                 articles = max(0, articles - 1)
             elif tag == "a":
                 links = max(0, links - 1)
             continue
-        if tag not in VOID and not m[4].endswith("/") and m.start() not in unclosed and _outside(tag, m[4], articles > 0):
+        if tag in UNSEEN and k in closes:
+            text.append(" ")
+            skip = closes[k]
+        elif k in hidden:
             close()
-            hidden_tag, hidden_depth = tag, 1
+            skip = closes[k]
         elif tag in ("article", "main"):
             articles += 1
         elif tag == "a":

@@ -92,3 +92,39 @@ def test_article_of_short_lines_beside_a_long_line():
     assert main_text(lines + f"<p>{LONG}</p>").split("\n\n") == verse + [LONG]
     gap = "<div><a href=x>link</a></div>" * 5
     assert main_text(lines + gap + f"<p>{LONG}</p>").split("\n\n")[:20] == verse
+
+
+def test_unseen_elements_that_are_not_closed_hide_nothing():
+    rest = f"<article><p>{LONG}</p></article>"
+    for start in ("<svg/>", "<iframe src='x' />", "<button>", "<select><option>", "<object data=x>", "<title>", "<textarea>", "<template>",
+                  "<video-player src=x></video-player>", "<select-box>", "<titles>", "<script-loader></script-loader>"):
+        assert main_text(f"<body>{start}{rest}<button>b</button>") == LONG, start
+    for start in ("<script>", "<style>", "<script/>"):
+        assert main_text(f"<article><p>{LONG}</p></article>{start} p {{}} <p>{LONG}") == LONG
+    assert main_text(f"<article><p>a <svg><svg/><title>no</title><svg>no</svg></svg>b<textarea><p></textarea > c</p><p>{LONG}</p></article>") \
+        == f"a b c\n\n{LONG}"
+
+
+def test_unclosed_elements_are_linear():
+    import time
+    for start in ("<title>", "<textarea>", "<svg>", "<button>", "<form>", "<div class=ad>"):
+        at = time.perf_counter()
+        assert main_text(start * 60_000 + LONG) == LONG
+        assert time.perf_counter() - at < 5
+
+
+def test_containers_of_the_article_are_not_hidden():
+    page = f"<h1>T</h1><p>{LONG}</p><p>{LONG}</p>"
+    for wrap in ("<div class='site has-sidebar'>{}</div>", "<div class=layout-sidebar>{}</div>", "<div id=entry-no-comments>{}</div>", "<form action=x>{}</form>",
+                 "<div role=dialog><div class='nav-open'>{}</div></div>"):
+        for article in (page, f"<article>{page}</article>", f"<main>{page}<aside>side</aside></main>", f"<article class='has-comments'>{page}</article>",
+                        f"<main><article class='post-comments'>{page}</article></main>"):
+            html = wrap.format(article + "<div class=comments><p>reader</p></div>") + f"<footer>{LONG[:40]}</footer>"
+            assert main_text(html).split("\n\n") == ["T", LONG, LONG], html
+    assert main_text(f"<article><div class=has-sidebar>{page}</div></article>").split("\n\n") == ["T", LONG, LONG]
+    # what does not hold the article stays hidden, however long
+    assert main_text(f"<article><p>{LONG}</p></article><div class=comments>{page * 3}</div>") == LONG
+    assert main_text(f"<p>{LONG}</p><footer>{page * 3}</footer>") == LONG
+    assert main_text(f"<article><p>{LONG}</p><aside>{page * 3}</aside></article>") == LONG
+    comments = f"<ol class=comment-list><li><article class=comment-body>{page}</article></li></ol>" * 5
+    assert main_text(f"<div class=layout-sidebar><article><p>{LONG}</p></article></div>{comments}") == LONG
