@@ -26,18 +26,19 @@ spanning forest of its links, never its pairs.
 Defined results: null and empty texts have fingerprint zero, which links like
 any other; fewer words than a shingle give one shingle of all words; repeated
 identifiers are one document per row; a null identifier is ignored as a
-component's name unless all are null.
+component's name unless all are null. ``one_per_group`` returns exactly one
+row of every component, whatever identifiers repeat or are null in others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import stage
+from tessera.llm.common import stage, text_or_empty
 from tessera.llm.components import component_roots, merge_labels
 
 SHINGLE_WORDS = 4
@@ -74,9 +75,12 @@ def text_fingerprint(data: bytes, words_per_shingle: int = SHINGLE_WORDS) -> int
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 words_per_shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """``id, fp`` per row; the 64 bits of ``fp`` are a signed long."""
+                 words_per_shingle: int = SHINGLE_WORDS, digest: Column | None = None) -> DataFrame:
+    """``id, fp`` (and ``digest``) per row; the 64 bits of ``fp`` are a signed long."""
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+    more = [] if digest is None else [digest.alias("digest")]
+    if more:
+        schema = schema.add("digest", T.StringType())
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -85,9 +89,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = batch.column(1)
             found = np.fromiter((text_fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words_per_shingle)
                                  for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]],
+                                             names=[f.name for f in schema])
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), *more).mapInArrow(run, schema)
 
 
 def golay_tables():
@@ -248,7 +253,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   words_per_shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The document with the smallest identifier of each group, all columns."""
-    stay = (simhash_groups(docs, id_col, text_col, words_per_shingle, max_bits)
-            .filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct())
-    return (docs.join(stay, docs[id_col].eqNullSafe(stay["__id"]), "left_semi").dropDuplicates([id_col]))
+    """The document with the smallest identifier of each group, all columns; of
+    several with that identifier, the one with the least digest of its text."""
+    digest = F.sha2(text_or_empty(docs[text_col].cast("string")), 256)
+    marked = fingerprints(docs, id_col, text_col, words_per_shingle, digest)
+    first = F.min(F.struct(F.col("id").isNull(), "id", "digest"))
+    distinct = stage(marked.groupBy("fp").agg(first.alias("first")), "distinct-fingerprints")
+    roots = component_roots(links(distinct, max_bits))
+    stay = (distinct.join(roots, F.col("fp") == F.col("node"), "left")
+            .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+            .select(F.col("first.id").alias("__id"), F.col("first.digest").alias("__digest")))
+    rows = docs.withColumn("__digest_of", digest)            # a text has one component: the pair names it
+    return (rows.join(stay, rows[id_col].eqNullSafe(stay["__id"]) & (rows["__digest_of"] == stay["__digest"]), "left_semi")
+            .dropDuplicates([id_col, "__digest_of"]).drop("__digest_of"))

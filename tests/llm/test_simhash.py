@@ -92,3 +92,25 @@ def test_edges(spark):
 def test_very_long_text():
     text = ("alpha beta gamma delta " * 50_000).encode()
     assert simhash.text_fingerprint(text) == plain_fingerprint(text.decode()[:0] + "alpha beta gamma delta " * 50_000)
+
+
+def test_one_row_of_every_group_with_null_and_repeated_identifiers(spark):
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 5000, 40)) for _ in range(60)]
+    rows = [(None, t) for t in texts[:20]]                   # as many groups under one null
+    rows += [(7, t) for t in texts[20:40]]                   # and under one repeated identifier
+    rows += [(100 + i, t) for i, t in enumerate(texts[40:])]
+    rows += [(3, texts[20]), (7, texts[40]), (None, texts[41]), (None, None), (None, ""), (7, texts[21])]
+    docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, digest string, fp int").repartition(5)
+    got = simhash.one_per_group(docs)
+    assert got.columns == docs.columns
+    kept = sorted((r.text or "", r.doc_id) for r in got.collect())
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t or "", []).append(i)
+    assert len({plain_fingerprint(t) for t in groups}) == len(groups) == 61
+    want = sorted((t, min((i for i in ids if i is not None), default=None)) for t, ids in groups.items())
+    assert kept == want
+    # a row of a smaller identifier's group does not stand for its identifier's own group
+    near = simhash.one_per_group(spark.createDataFrame([(1, texts[0]), (2, texts[0]), (2, texts[1])], "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text) for r in near.collect()) == [(1, texts[0]), (2, texts[1])]
