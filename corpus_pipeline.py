@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import exact_dedup, langid, mixing, packing, simhash
 from tessera.llm.common import stage, table
 
-#: A document goes if no language can be told (no letter), or if even its best
-#: language has a lower mean posterior; with four languages chance is 0.25.
+#: A document goes if no language can be told (no letter), or if its words' own
+#: best languages have a lower mean posterior; with four languages chance is 0.25.
 MIN_LANGUAGE_SCORE = 0.4
 
 

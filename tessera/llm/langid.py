@@ -6,7 +6,10 @@ lexicon of the training sample; learned transitions join neighbours, so the
 words of one language hold together and code-switched text is split where it
 switches. Forward-backward gives each word's posterior over the labels; a
 document's language is the label with the greatest mean posterior over its
-words with letters, and that mean is its score.
+words with letters, and that mean is its score: the share of the main language
+in code-switched text. How sure the labels are, whatever their mixture, is the
+certainty: the mean of each word's own greatest posterior. The word labels
+come out as spans, runs of white-space separated words with one label.
 
 Training (maximum likelihood with a Gaussian prior) uses at most
 ``per_label`` labelled documents of each language, chosen by a seeded hash,
@@ -19,7 +22,8 @@ the longest single text.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0; with no labelled document at all every text is ``und``; words without
-letters are neutral and do not count; ties go to the label first in order.
+letters are neutral and do not count, and lie in the span their neighbours
+give them; ``und`` texts have no spans; ties go to the label first in order.
 """
 
 from __future__ import annotations
@@ -301,27 +305,50 @@ class _Scorer:
         self.used = n
 
 
-def label_text(scorer: _Scorer, texts: list[str | None]):
-    """(label number or -1, score) of every text."""
+class Labelled(NamedTuple):
+    """Of every text: label number or -1, score, certainty, and its spans from
+    ``at[k]`` to ``at[k + 1]`` (label number, first word, words)."""
+    best: object
+    score: object
+    certainty: object
+    at: object
+    spans: tuple
+
+
+def label_text(scorer: _Scorer, texts: list[str | None]) -> Labelled:
     import numpy as np
     labels = scorer.model.labels
-    best, score = np.full(len(texts), -1), np.zeros(len(texts))
+    nothing = np.zeros(0, np.int64)
+    empty = Labelled(np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts) + 1, np.int64),
+                     (nothing, nothing, nothing))
     if not labels:
-        return best, score
+        return empty
     words = [t.lower().split() if t else [] for t in texts]
     lengths = np.array([len(w) for w in words], np.int64)
     some = np.flatnonzero(lengths)
     if not len(some):
-        return best, score
+        return empty
     numbers = scorer.numbers([x for k in some for x in words[k]])
     counts = scorer.letters[numbers]
-    p = posteriors(scorer.table[numbers], lengths[some], scorer.model.transitions) * counts[:, None]
+    p = posteriors(scorer.table[numbers], lengths[some], scorer.model.transitions)
+    told = p.argmax(axis=1)
     edges = np.cumsum(lengths[some]) - lengths[some]
-    mass, n = np.add.reduceat(p, edges), np.add.reduceat(counts.astype(np.int64), edges)
+    mass, n = np.add.reduceat(p * counts[:, None], edges), np.add.reduceat(counts.astype(np.int64), edges)
+    sure = np.add.reduceat(p[np.arange(len(p)), told] * counts, edges) / np.maximum(n, 1)
     mean = mass / np.maximum(n, 1)[:, None]
+    best, score, certainty = empty.best, empty.score, empty.certainty
     best[some] = np.where(n > 0, mean.argmax(axis=1), -1)
     score[some] = np.where(n > 0, np.minimum(mean.max(axis=1), 1.0), 0.0)
-    return best, score
+    certainty[some] = np.where(n > 0, np.minimum(sure, 1.0), 0.0)
+    starts = np.append(True, told[1:] != told[:-1])
+    starts[edges] = True
+    first = np.flatnonzero(starts)
+    owner = np.searchsorted(edges, first, side="right") - 1
+    size = np.diff(np.append(first, len(told)))
+    shown = n[owner] > 0
+    first, owner, size = first[shown], owner[shown], size[shown]
+    per_text = np.bincount(some[owner], minlength=len(texts))
+    return Labelled(best, score, certainty, np.append(0, np.cumsum(per_text)), (told[first], first - edges[owner], size))
 
 
 def slices_by_size(batch, column: int):
@@ -336,38 +363,52 @@ def slices_by_size(batch, column: int):
             yield batch.slice(lo, hi - lo)
 
 
-def predict(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, lang_pred, score`` of every row."""
+SPANS = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("first_word", T.IntegerType()),
+                                  T.StructField("n_words", T.IntegerType())]))
+
+
+def predict(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False) -> DataFrame:
+    """``id_col, lang_pred, score`` of every row, and with spans also
+    ``certainty, spans`` (label, first word from 0, words)."""
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
+    if with_spans:
+        schema = schema.add("certainty", T.DoubleType()).add("spans", SPANS)
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
         scorer = _Scorer(model)
         names = [*model.labels, UNDETERMINED]
+        label_names = pa.array(model.labels, pa.string())
         for batch in batches:
             for rows in slices_by_size(batch, 1):
-                best, score = label_text(scorer, rows.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array([names[b] for b in best], pa.string()), pa.array(score)],
-                    names=[f.name for f in schema])
+                found = label_text(scorer, rows.column(1).to_pylist())
+                columns = [rows.column(0), pa.array([names[b] for b in found.best], pa.string()), pa.array(found.score)]
+                if with_spans:
+                    label, first, size = found.spans
+                    parts = [label_names.take(pa.array(label, pa.int64())), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32))]
+                    spans = pa.StructArray.from_arrays(parts, names=["lang", "first_word", "n_words"])
+                    columns += [pa.array(found.certainty), pa.ListArray.from_arrays(pa.array(found.at.astype(np.int32)), spans)]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
     return docs.select(docs[id_col], docs[text_col].cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-             per_label: int = PER_LABEL) -> DataFrame:
-    """``id_col, held_out, lang_pred, score``: train on the labelled documents
-    that are not held out, predict all."""
+             per_label: int = PER_LABEL, with_spans: bool = False) -> DataFrame:
+    """``id_col, held_out, lang_pred, score`` (and ``certainty, spans``): train
+    on the labelled documents that are not held out, predict all."""
     model = train(training_sample(docs, id_col, text_col, lang_col, per_label))
-    found = predict(docs, model, id_col, text_col)
-    return found.select(id_col, held_out(F.col(id_col)).alias("held_out"), "lang_pred", "score")
+    found = predict(docs, model, id_col, text_col, with_spans)
+    return found.select(id_col, held_out(F.col(id_col)).alias("held_out"), *found.columns[1:])
 
 
 def accepted(docs: DataFrame, min_score: float, languages=None, id_col: str = "doc_id", text_col: str = "text",
              lang_col: str = "lang", per_label: int = PER_LABEL) -> DataFrame:
-    """The documents, all columns, whose language is determined with at least
-    ``min_score`` (and is one of ``languages``, if given)."""
+    """The documents, all columns, whose words' languages are told with a
+    certainty of at least ``min_score``, mixtures included (and whose main
+    language is one of ``languages``, if given)."""
     model = train(training_sample(docs, id_col, text_col, lang_col, per_label))
     wanted = set(model.labels if languages is None else languages)
     at = docs.columns.index(text_col)
@@ -377,8 +418,8 @@ def accepted(docs: DataFrame, min_score: float, languages=None, id_col: str = "d
         scorer = _Scorer(model)
         for batch in batches:
             for rows in slices_by_size(batch, at):
-                best, score = label_text(scorer, rows.column(at).to_pylist())
-                keep = [b >= 0 and model.labels[b] in wanted and s >= min_score for b, s in zip(best, score)]
+                found = label_text(scorer, rows.column(at).to_pylist())
+                keep = [b >= 0 and model.labels[b] in wanted and c >= min_score for b, c in zip(found.best, found.certainty)]
                 yield rows.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -48,7 +48,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_language_id")
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents"))
+    return langid.identify(table(spark, sf_dir, "documents"), with_spans=True)
 
 
 @query("op6_html_text")

@@ -90,3 +90,31 @@ def test_no_label_at_all(spark):
 def test_accepted_keeps_columns(spark, docs):
     kept = langid.accepted(docs, 0.4)
     assert kept.columns == docs.columns and kept.count() >= 0.99 * docs.count()
+
+
+def test_confident_mixtures_are_accepted_and_their_words_labelled(spark, docs, model):
+    texts = {r.lang: r.text for r in docs.filter("n_chars > 800 and n_chars < 3000").orderBy("doc_id").limit(60).collect()}
+    order = sorted(texts)
+    assert len(order) == 4
+    mixed = " ".join(" ".join(texts[k].split()[:60]) for k in order)
+    schema = "doc_id long, text string, lang string, spans int"
+    frame = spark.createDataFrame([(1, mixed, None, 0), (2, "12 34 !!", None, 0), (3, None, None, 0), (None, "12 " + texts["de"], None, 0)], schema)
+    got = {r.doc_id: r for r in langid.predict(frame, model, with_spans=True).collect()}
+    assert got[1].score < 0.4 < 0.9 < got[1].certainty
+    told = [s.lang for s in got[1].spans for _ in range(s.n_words)]
+    assert np.mean([a == b for a, b in zip(told, [k for k in order for _ in range(60)])]) > 0.9
+    for i, text in ((1, mixed), (None, "12 " + texts["de"])):
+        at = 0
+        for s in got[i].spans:
+            assert s.first_word == at and s.n_words > 0
+            at += s.n_words
+        assert at == len(text.split())
+    assert [(got[i].certainty, got[i].spans) for i in (2, 3)] == [(0.0, [])] * 2
+    known = docs.select("doc_id", "text", "lang").withColumn("spans", langid.F.lit(0))
+    kept = langid.accepted(known.unionByName(frame.withColumn("doc_id", langid.F.col("doc_id") - 1000)), 0.4)
+    assert {r.doc_id for r in kept.filter("doc_id < 0").collect()} == {-999}
+
+
+def test_no_spans_without_labels(spark):
+    frame = spark.createDataFrame([(1, "abc def", None)], "doc_id long, text string, lang string")
+    assert [tuple(r)[2:] for r in langid.identify(frame, with_spans=True).collect()] == [("und", 0.0, 0.0, [])]
