@@ -85,16 +85,16 @@ def _order(id_col: Column, kind: T.DataType) -> Column:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, ord, th, text``: (ord, th) names a document; ``th`` has 15 bits
-    and only tells apart rows that repeat an identifier."""
+    """``id, ord, th, text``: (ord, th) names a document; ``th``, 64 bits of
+    the text's hash, tells apart rows that repeat an identifier or have none."""
     text = text_or_empty(docs[text_col].cast("string"))
     return docs.select(docs[id_col].alias("id"), _order(docs[id_col], docs.schema[id_col].dataType).alias("ord"),
-                       F.shiftrightunsigned(F.xxhash64(text), 49).alias("th"), text.cast("binary").alias("text"))
+                       F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
 
 
 def _chunks(keyed: DataFrame) -> DataFrame:
-    """``d1, d2, ord, packed`` of a task's distinct chunks and its duplicates.
-    packed: th, place, length and kind from the top."""
+    """``d1, d2, ord, th, packed`` of a task's distinct chunks and its duplicates.
+    packed: place, length and kind from the top."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -103,22 +103,21 @@ def _chunks(keyed: DataFrame) -> DataFrame:
         found, held, starts, owners, size = [], [], [], [], 0
 
         def combined():
-            d1, d2, ords, packed = (np.concatenate(x) for x in zip(*found))
+            d1, d2, ords, th, packed = (np.concatenate(x) for x in zip(*found))
             found.clear()
-            order = np.lexsort((packed, ords, d2, d1))
-            d1, d2, ords, packed = d1[order], d2[order], ords[order], packed[order]
+            order = np.lexsort((packed, th, ords, d2, d1))
+            d1, d2, ords, th, packed = d1[order], d2[order], ords[order], th[order], packed[order]
             head = np.append(True, (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1]))
-            lead = np.flatnonzero(head)[np.cumsum(head) - 1]
-            again = (ords != ords[lead]) | (packed != packed[lead])          # not the same place of a repeated row
-            rows = np.flatnonzero(head | again)
+            again = np.append(False, (ords[1:] != ords[:-1]) | (th[1:] != th[:-1]) | (packed[1:] != packed[:-1]))
+            rows = np.flatnonzero(head | again)              # the same place of a repeated row is one
             kind = np.where(head[rows], FIRST, DUPLICATE)
-            spread = np.where(kind == FIRST, d1[rows], (ords[rows] * 0x9E3779B1) ^ packed[rows])
+            spread = np.where(kind == FIRST, d1[rows], (ords[rows] * 0x9E3779B1) ^ th[rows] ^ packed[rows])
             for lo in range(0, len(rows), 1 << 16):
                 cut = slice(lo, lo + (1 << 16))
                 some = rows[cut]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(spread[cut]), pa.array(d2[some]), pa.array(ords[some]), pa.array(packed[some] | kind[cut])],
-                    names=["d1", "d2", "ord", "packed"])
+                    [pa.array(spread[cut]), pa.array(d2[some]), pa.array(ords[some]), pa.array(th[some]),
+                     pa.array(packed[some] | kind[cut])], names=["d1", "d2", "ord", "th", "packed"])
 
         def flush():
             nonlocal size
@@ -131,8 +130,8 @@ def _chunks(keyed: DataFrame) -> DataFrame:
                 sums = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(first.tolist(), ends.tolist())]), "<i8")
                 which = np.searchsorted(begin, first, side="right") - 1
                 ords, th = (np.array([o[k] for o in owners], np.int64)[which] for k in (0, 1))
-                packed = th << 48 | (first - begin[which]) << 16 | (ends - first) << 3
-                found.append((sums[0::2], sums[1::2], ords, packed))
+                packed = (first - begin[which]) << 16 | (ends - first) << 3
+                found.append((sums[0::2], sums[1::2], ords, th, packed))
             for x in (held, starts, owners):
                 x.clear()
             size = 0
@@ -154,7 +153,7 @@ def _chunks(keyed: DataFrame) -> DataFrame:
         if found:
             yield from combined()
 
-    return keyed.select("ord", "th", "text").mapInArrow(run, "d1 long, d2 long, ord long, packed long")
+    return keyed.select("ord", "th", "text").mapInArrow(run, "d1 long, d2 long, ord long, th long, packed long")
 
 
 def _duplicates(chunks: DataFrame) -> DataFrame:
@@ -164,13 +163,13 @@ def _duplicates(chunks: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        def settle(d1, d2, ords, packed):
+        def settle(d1, d2, ords, th, packed):
             known = packed & 7 == DUPLICATE
             head = np.append(True, (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1]) | (known[1:] != known[:-1]) | known[1:])
             lead = np.flatnonzero(head)[np.cumsum(head) - 1]
-            again = known | (ords != ords[lead]) | (packed != packed[lead])
+            again = known | (ords != ords[lead]) | (th != th[lead]) | (packed != packed[lead])
             return pa.RecordBatch.from_arrays(
-                [pa.array(ords[again]), pa.array(packed[again] >> 48), pa.array((packed[again] >> 3) & ((1 << 45) - 1))],
+                [pa.array(ords[again]), pa.array(th[again]), pa.array(packed[again] >> 3)],
                 names=["ord", "th", "packed"])
 
         rest = None
@@ -186,7 +185,7 @@ def _duplicates(chunks: DataFrame) -> DataFrame:
             yield settle(*rest)
 
     kind = F.col("packed").bitwiseAND(F.lit(7))
-    return (chunks.repartition("d1").sortWithinPartitions("d1", kind, "d2", "ord", "packed")
+    return (chunks.repartition("d1").sortWithinPartitions("d1", kind, "d2", "ord", "th", "packed")
             .mapInArrow(run, "ord long, th long, packed long"))
 
 
@@ -196,7 +195,7 @@ def remove_duplicate_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: s
     kept_text`` (``spans``: removed [start, end) byte ranges)."""
     keyed = _keyed(docs, id_col, text_col)
     runs = stage(_duplicates(_chunks(keyed)), "duplicate-chunks")
-    by_doc = runs.groupBy("ord", "th").agg(F.collect_list("packed").alias("places"))      # a text bounds its own
+    by_doc = runs.groupBy("ord", "th").agg(F.collect_set("packed").alias("places"))       # a text bounds its own
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType),
                            *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")],
                            T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept_text", T.StringType())])

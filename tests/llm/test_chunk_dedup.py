@@ -106,3 +106,28 @@ def test_edges(spark):
     assert len({n for i, n in out if i is None}) == 1 and cd.remove_duplicate_chunks(frame.limit(0)).collect() == []
     named = spark.createDataFrame([("a", long), ("b", long), (None, None)], "doc_id string, text string")
     assert sorted(r.n_removed for r in cd.remove_duplicate_chunks(named).collect()) == [0, 0, len(long)]
+
+
+@pytest.mark.parametrize("ident", [None, 7])
+def test_many_documents_without_an_identifier_of_their_own(spark, ident):
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefghijklmnopqrst", k=rng.randint(2, 9))) for _ in range(4000)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    shared = text(60)
+    clean = [text(120) for _ in range(1500)]
+    marked = [text(40) + " " + shared + " " + text(40) for _ in range(1500)]
+    rows = [(ident, t) for t in clean + marked + marked[:100]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    out = cd.remove_duplicate_chunks(frame)
+    removed = {}
+    for r in out.collect():
+        removed.setdefault((r.kept_text, r.n_bytes), []).append(r.n_removed)
+    assert sum(map(len, removed.values())) == len(rows)
+    assert all(removed.get((t, len(t))) == [0] for t in clean)          # unique texts stay whole
+    whole = [t for t in marked if (t, len(t)) in removed]
+    assert 1 <= len(whole) <= 0.03 * len(marked)                        # the first, and passages whose cuts miss
+
+
+def test_names_tell_null_documents_apart(spark):
+    docs = spark.createDataFrame([(None, f"text number {i}") for i in range(3000)], "doc_id long, text string")
+    assert cd._keyed(docs, "doc_id", "text").select("ord", "th").distinct().count() == 3000
