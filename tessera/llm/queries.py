@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chunk_dedup, exact_dedup, html_text, langid, mixing, packing, simhash, substring_dedup, url_filter, vec_dedup
+from tessera.llm import (chunk_dedup, exact_dedup, html_text, langid, mixing, packing, secrets, simhash, spelling, substring_dedup,
+                         token_align, url_filter, vec_dedup)
 from tessera.llm.common import table
 
 REGISTRY: dict[str, tuple] = {}
@@ -71,3 +72,25 @@ def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = chunk_dedup.remove_duplicate_chunks(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def _sha256(text: str) -> str:
+    import hashlib
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+@query("op11_secret_scan")
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_copied")
+
+
+@query("op12_token_align")
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = token_align.align_tokens(table(spark, sf_dir, "documents"), write_groups=_sha256)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
+@query("op13_spelling_variants")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
