@@ -170,7 +170,7 @@ def document(f: Fragment) -> Closed:
 # ---------------------------------------------------------------- tokenizers
 
 def make_tokenizers(byte_vocabulary: str, piece_vocabulary: str):
-    """``encode_a(texts), encode_b(texts)`` -> id lists of texts that start
+    """``encode_a(text)`` and ``encode_b(texts)`` -> ids of texts that start
     with a space or a line end, and the byte strings of all ids of each."""
     import base64
     import re
@@ -189,8 +189,8 @@ def make_tokenizers(byte_vocabulary: str, piece_vocabulary: str):
     bytes_b = [bytes.fromhex(m[1]) if pieces.is_byte(i) and (m := byte_piece.fullmatch(pieces.id_to_piece(i)))
                else pieces.id_to_piece(i).replace("▁", " ").encode() for i in range(pieces.get_piece_size())]
 
-    def encode_a(texts: list[str]) -> list[list[int]]:
-        return fast.encode_ordinary_batch(texts, num_threads=1)
+    def encode_a(text: str) -> list[int]:
+        return fast.encode_ordinary(text)
 
     def encode_b(texts: list[str]) -> list[list[int]]:
         """The model adds a space; before a line end it is a piece of its own."""
@@ -209,8 +209,8 @@ class Units:
         import re
 
         import numpy as np
-        self.encode_a, self.encode_b, self.bytes_a, self.bytes_b = make_tokenizers(byte_vocabulary, piece_vocabulary)
-        self.width_a, self.width_b = (np.asarray(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.encode_a, self.encode_b, bytes_a, self.bytes_b = make_tokenizers(byte_vocabulary, piece_vocabulary)
+        self.width_a, self.width_b = (np.asarray(list(map(len, x)), np.int64) for x in (bytes_a, self.bytes_b))
         self.places = re.compile(r"(?<=\S)(?=[ \n]\S)")
         self.clear()
 
@@ -234,7 +234,8 @@ class Units:
     def keys(self, text: str) -> list[str]:
         """The units of a space and ``text``."""
         keys = text.replace("\n", " \n").split(" ")
-        if keys[0][:1] != "\n" and all(k in self.number or self.plain(k) for k in keys):
+        number = self.number
+        if keys[0][:1] != "\n" and all(map(self.plain, [k for k in keys if k not in number])):
             return keys
         return self.keys_of_piece(" " + text)
 
@@ -246,20 +247,27 @@ class Units:
         return out
 
     def tokens_of(self, wholes: list[str]):
-        """Token runs of the units that B spells byte for byte, end to end, and which those are."""
+        """Token runs, end to end, of the units that B spells byte for byte,
+        the units' ends, and which those are. Units after the first must begin
+        where a text may be cut."""
         from itertools import chain
 
         import numpy as np
-        a, b = self.encode_a(wholes), self.encode_b(wholes)
-        raw = [w.encode() for w in wholes]
-        spell_a, spell_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
-        equal = [b"".join(map(spell_b, y)) == r and b"".join(map(spell_a, x)) == r for x, y, r in zip(a, b, raw)]
-        ids_a = np.fromiter(chain.from_iterable(x for x, e in zip(a, equal) if e), np.int64)
-        ids_b = np.fromiter(chain.from_iterable(x for x, e in zip(b, equal) if e), np.int64)
+        raw, spell = [w.encode() for w in wholes], self.bytes_b.__getitem__
+        b = self.encode_b(wholes)
+        equal = [b"".join(map(spell, ids)) == r for ids, r in zip(b, raw)]
+        ids_a = np.asarray(self.encode_a("".join(w for w, e in zip(wholes, equal) if e)), np.int64)
+        ids_b = np.fromiter(chain.from_iterable(ids for ids, e in zip(b, equal) if e), np.int64)
         ends = np.cumsum(np.asarray([len(r) for r, e in zip(raw, equal) if e], np.int64))
         return Tokens(ids_a, np.cumsum(self.width_a[ids_a]), ids_b, np.cumsum(self.width_b[ids_b])), ends, np.asarray(equal, bool)
 
     def learn(self, keys: list[str]) -> None:
+        """Plain units together, others one by one: they end in white space."""
+        plain = [k for k in keys if k[0] != " "]
+        for some in ([plain] if plain else []) + [[k] for k in keys if k[0] == " "]:
+            self._learn(some)
+
+    def _learn(self, keys: list[str]) -> None:
         import numpy as np
         run, ends, equal = self.tokens_of([self.whole(k) for k in keys])
         common = np.intersect1d(run.a_ends, run.b_ends)
@@ -419,8 +427,7 @@ def _fragment_task(byte_vocabulary: str, piece_vocabulary: str, chunk_bytes: int
         units = Units(byte_vocabulary, piece_vocabulary)
         for batch in batches:
             for row in batch.to_pylist():
-                wholes = [units.whole(k) for k in units.keys_of_piece(row["piece"])]
-                run, ends, equal = units.tokens_of(wholes)
+                run, _, equal = units.tokens_of([row["piece"]])
                 begin, width = row["base"], len(row["piece"].encode())
                 if not equal.all():
                     yield _batch([{"doc_key": row["doc_key"], "id": row["id"], "at": begin, "equal": False,
