@@ -18,7 +18,14 @@ a state with an edit must follow letters only. A state goes on only if its new
 node is a word and nothing is left, or continues with the next letter wanted.
 Finished states with one edit are neighbours. An edit inside a run of equal
 letters is made at the run's end alone. Fan-out is bounded by the alphabet;
-levels are as many as the longest word has letters.
+there are at most ``TRIE_LENGTH`` levels.
+
+**Very long words.** A run of ten thousand letters would need as many levels
+and a node for each. Pairs of words of ``TRIE_LENGTH`` or more letters meet by
+127-bit hashes of the word without one of its letters instead: two words that
+agree without their letter at the same place differ in that letter, and a word
+that is another without a letter is found by its own hash. Rows are linear in
+the letters, and only neighbours meet.
 
 Defined results: null texts have no words; a null identifier hashes as empty;
 repeated rows count as often as they occur; an empty table gives no words.
@@ -39,6 +46,8 @@ FORM_RATIO = 5
 #: One word in so many, chosen by a hash of document and word, loses a letter.
 NOISE = 199
 HELD_WORDS = 500_000
+#: Letters up to which pairs are found in the trie (one more on one side).
+TRIE_LENGTH = 48
 
 
 # ---------------------------------------------------------------------- words
@@ -147,10 +156,55 @@ def _advance(states: DataFrame, edges: DataFrame) -> DataFrame:
             .select("word", "n", "node", "s.rest", "s.edits", "s.found"))
 
 
-def near_words(words: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
+def _shortened(words: DataFrame) -> DataFrame:
+    """``id, hash, place``: a row per word and letter left out (``place``), and
+    one of the whole word (place -1)."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        prime, base = (1 << 127) - 1, 0x3C6EF372FE94F82BA54FF53A5F1D36F1
+        for batch in batches:
+            for ident, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n, before, power = len(word), [0], [1]
+                for c in word:
+                    before.append((before[-1] * base + ord(c)) % prime)
+                    power.append(power[-1] * base % prime)
+                hashes = [before[n]]
+                for i in range(n):                            # the letters before i, then those after it
+                    after = before[n] - before[i + 1] * power[n - i - 1]
+                    hashes.append((before[i] * power[n - i - 1] + after) % prime)
+                for lo in range(0, n + 1, 20_000):
+                    some = [h.to_bytes(16, "little") for h in hashes[lo:lo + 20_000]]
+                    yield pa.RecordBatch.from_arrays([pa.array([ident] * len(some)), pa.array(some, pa.binary()),
+                                                      pa.array(range(lo - 1, lo - 1 + len(some)), pa.int32())], names=["id", "hash", "place"])
+    return words.select("id", "word").mapInArrow(run, "id binary, hash binary, place int")
+
+
+def _near_long(words: DataFrame) -> DataFrame:
+    """``word, near, near_n`` of very long words, both ways."""
+    words = stage(words.withColumn("id", F.unhex(F.sha2("word", 256))), "long-words")
+    short = stage(_shortened(words), "shortened")
+    left, right = short.filter("place >= 0"), short.select(F.col("id").alias("other"), "hash", "place")
+    replaced = left.join(right, ["hash", "place"]).filter("id <> other").select("id", "other")
+    dropped = left.join(right.filter("place < 0").drop("place"), "hash").select("id", "other")
+    pairs = replaced.unionByName(dropped).unionByName(dropped.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct()
+    return (pairs.join(words.select("id", "word"), "id")
+            .join(words.select(F.col("id").alias("other"), F.col("word").alias("near"), F.col("n").alias("near_n")), "other")
+            .select("word", "near", "near_n"))
+
+
+def near_words(words: DataFrame, min_length: int = MIN_LENGTH, trie_length: int = TRIE_LENGTH) -> DataFrame:
     """``word, near, near_n``: every ordered pair of words exactly one inserted,
     deleted or replaced code point apart. ``words`` is a written table of
     distinct ``word, n``, each of at least ``min_length`` >= 4 code points."""
+    size = F.length("word")
+    pairs = _near_in_trie(words.filter(size <= trie_length + 1), min_length)
+    long_words = words.filter(size >= trie_length)
+    if not long_words.isEmpty():
+        pairs = pairs.unionByName(_near_long(long_words))
+    return pairs.repartition("word").dropDuplicates(["word", "near"])
+
+
+def _near_in_trie(words: DataFrame, min_length: int) -> DataFrame:
     least = min_length // 2
     paths = stage(_paths(words), "paths")
     edges = stage(trie_edges(paths, least).sortWithinPartitions("depth"), "edges")
@@ -172,9 +226,8 @@ def near_words(words: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
         pairs = pairs.unionByName(more)
     other = F.expr("substring(node, 2)")
     # the relation is symmetric, so a pair is read from the found word's side, with the searching word's count
-    pairs = pairs.select(F.when(F.col("node").startswith(">"), other).otherwise(F.reverse(other)).alias("word"),
-                         F.col("word").alias("near"), F.col("n").alias("near_n"))
-    return pairs.repartition("word").dropDuplicates(["word", "near"])
+    return pairs.select(F.when(F.col("node").startswith(">"), other).otherwise(F.reverse(other)).alias("word"),
+                        F.col("word").alias("near"), F.col("n").alias("near_n"))
 
 
 # ---------------------------------------------------------------------- forms

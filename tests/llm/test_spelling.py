@@ -70,17 +70,18 @@ def test_dense_words_against_brute_force(spark):
     assert result(frame(spark, rows), min_count=2, ratio=2, noise=None) == brute(rows, min_count=2, ratio=2, noise=1 << 40)
 
 
-@pytest.mark.parametrize("length", [6, 7, 12, 90])
-def test_every_edit_of_a_word(spark, length):
+@pytest.mark.parametrize("length, trie", [(8, 48), (13, 12), (60, 12)])
+def test_every_edit_of_a_word(spark, monkeypatch, length, trie):
+    monkeypatch.setattr(spelling.near_words, "__defaults__", (6, trie))
     word = "".join("abcdefghijklmn"[(i * i + i // 3) % 14] for i in range(length))
     close = ({word[:i] + word[i + 1:] for i in range(length)} | {word[:i] + "z" + word[i:] for i in range(length + 1)}
              | {word[:i] + "z" + word[i + 1:] for i in range(length)})
     far = {"y" + word[:-1] + "z", word[1:] + "zz", word + "zz"}
     words = {w for w in close | far if len(w) >= 6} | {word}
     rows = [(n, w) for n, w in enumerate(words)]
-    got = {r[0]: r[4] for r in result(frame(spark, rows), min_count=1, noise=None)}
-    assert got[word] == len({w for w in close if len(w) >= 6})
-    assert result(frame(spark, rows), min_count=1, noise=None) == brute(rows, min_count=1, noise=1 << 40)
+    got = result(frame(spark, rows), min_count=1, noise=None)
+    assert {r[0]: r[4] for r in got}[word] == len({w for w in close if len(w) >= 6})
+    assert got == brute(rows, min_count=1, noise=1 << 40)
 
 
 def test_chains_ties_and_letters(spark):
@@ -102,6 +103,9 @@ def test_edges(spark):
     long_text = "Repeat " * 300_000 + "repea\u00fft " * 5
     rows = [(7, long_text), (7, long_text)]
     assert result(frame(spark, rows)) == brute(rows)
+    rows = [(i, "q" * 20_000 + " " + "q" * (19_999 + i % 3) + "z " + "q" * 10_000 + "x" + "q" * 9_999) for i in range(12)]
+    got = result(frame(spark, rows), min_count=4, noise=None)
+    assert sorted((len(w), n_near) for w, _, _, _, n_near, _ in got) == [(20_000, 1), (20_000, 2), (20_000, 3), (20_001, 3), (20_002, 1)]
     odd = spark.createDataFrame([(1, "abcdef " * 5, 1, "x", 2)], "doc_id long, text string, n long, word string, node int")
     assert {r[0] for r in result(odd)} >= {"abcdef"}
 
