@@ -3,7 +3,7 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run``
 writes each stage's result as Parquet under the shared folder and reads it
 back as the next stage's documents, so a lost executor never reaches past one
-stage. All stages but the last return the columns of ``documents``.
+stage; a stage's files are deleted when the next is written. All stages but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import exact_dedup, langid, mixing, packing, simhash
-from tessera.llm.common import stage, table
+from tessera.llm.common import discard, stage, table
 
 #: A document goes if no language can be told (no letter), or if its words' own
 #: best languages have a lower mean posterior; with four languages chance is 0.25.
@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_to_weights(docs, mixing.PRODUCTION_TARGETS, mixing.PRODUCTION_REST).select(*docs.columns)
+    return mixing.mix_to_weights(docs, mixing.PRODUCTION_TARGETS, mixing.PRODUCTION_REST, with_draws=False)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +53,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, apply in STAGES[:-1]:
-        docs = stage(apply(spark, docs, sf_dir), name)
+        before, docs = docs, stage(apply(spark, docs, sf_dir), name)
+        discard(before)                                      # its files go once the next stage is written
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -67,3 +67,15 @@ def test_stages_on_empty_and_odd_documents(spark):
         for _, apply in cp.STAGES:
             rows = apply(spark, docs, SF).collect()
             docs = spark.createDataFrame(rows, schema) if apply is not cp.packed else None
+
+
+def test_documents_without_identifier_through_mixing(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, mix_rate int, copy_no int, place string"
+    rows = [(None, f"text number {i} of this table", "en", f"src{i % 12}", 3, 1, 2, "p") for i in range(1500)]
+    out = cp.mixed(spark, spark.createDataFrame(rows, schema), SF)
+    assert out.columns == [f.split()[0] for f in schema.split(", ")]
+    counts = {}
+    for r in out.collect():
+        counts[r.text] = counts.get(r.text, 0) + 1
+        assert (r.mix_rate, r.copy_no, r.place) == (1, 2, "p")
+    assert len(set(counts.values())) > 1 and 0.2 < len(counts) / 1500 < 0.95
