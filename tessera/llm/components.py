@@ -1,10 +1,11 @@
 """Connected components of a link table by alternating stars.
 
 Large-star hangs every larger neighbour of a node on the smallest neighbour,
-small-star every smaller one; both are a partial minimum per node and a join,
-so a hub with a third of all links is combined in the map tasks and its join
-partition can be split. The links are written to the shared folder once a
-round; the rounds end when the links no longer change (they are then stars).
+small-star every smaller one; both are a partial minimum per node, written to
+the shared folder, and a join of two written tables, so a hub with a third of
+all links is combined in the map tasks and Spark can split its join partition
+(it cannot split the output of an aggregate). The links are written once a
+round too; the rounds end when they no longer change (they are then stars).
 """
 
 from __future__ import annotations
@@ -15,17 +16,26 @@ from pyspark.sql import functions as F
 from tessera.llm.common import discard, stage
 
 
+def _meet_least(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``links`` with the least neighbour ``m`` of each ``hi``, and the written table of those."""
+    low = stage(links.groupBy("hi").agg(F.min("lo").alias("m")), "least")
+    return links.join(low, "hi"), low
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-    low = both.groupBy("hi").agg(F.min("lo").alias("m"))
-    return (both.join(low, "hi").filter("lo > hi")
-            .select(F.col("lo").alias("hi"), F.least("hi", "m").alias("lo")).distinct())
+    met, low = _meet_least(both)
+    out = stage(met.filter("lo > hi").select(F.col("lo").alias("hi"), F.least("hi", "m").alias("lo")).distinct(), "links")
+    discard(low)
+    return out
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    low = links.groupBy("hi").agg(F.min("lo").alias("m"))
-    moved = links.join(low, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-    return moved.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct()
+    met, low = _meet_least(links)
+    moved = met.filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+    out = stage(moved.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct(), "links")
+    discard(low)
+    return out
 
 
 def _state(links: DataFrame) -> tuple:
@@ -40,8 +50,9 @@ def component_roots(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                   .select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "links")
     state = _state(links)
     while state[0]:
-        longer = _small_star(_large_star(links))
-        nearer = stage(longer, "links")
+        longer = _large_star(links)
+        nearer = _small_star(longer)
+        discard(longer)
         after = _state(nearer)
         discard(links)
         links = nearer

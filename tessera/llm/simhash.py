@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import stage, text_or_empty
+from tessera.llm.common import discard, stage, text_or_empty
 from tessera.llm.components import component_roots, merge_labels
 
 SHINGLE_WORDS = 4
@@ -243,10 +243,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = stage(fingerprints(docs, id_col, text_col, words_per_shingle), "fingerprints")
     distinct = stage(marked.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints")
     roots = component_roots(links(distinct, max_bits))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
+    rooted = stage(distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
+        "fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
+    names = stage(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "component-names")
+    named = stage(rooted.join(names, "root").select("fp", "component_id"), "named-fingerprints")
+    discard(rooted, names)
     return (marked.join(named, "fp")
             .select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 

@@ -239,10 +239,10 @@ def vector_groups(vectors: DataFrame, min_cosine: float = MIN_COSINE, id_col: st
     found = _links(classes, min_cosine)
     roots = component_roots(found.filter("b is not null"))
     counts = found.filter("b is null").groupBy(F.col("a").alias("no")).agg(F.sum("links").alias("links"))
-    rooted = (classes.join(counts, "no", "left").join(roots, F.col("no") == F.col("node"), "left")
-              .select("label", "vec", "low", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-                      F.coalesce("root", "no").alias("root")))
-    names = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    rooted = stage(classes.join(counts, "no", "left").join(roots, F.col("no") == F.col("node"), "left")
+                   .select("label", "vec", "low", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
+                           F.coalesce("root", "no").alias("root")), "vector-roots")
+    names = stage(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "vector-components")
     named = stage(rooted.join(names, "root").select("label", "vec", "n_links", "component_id"), "vector-names")
     linked = rows.filter("fit").join(named, ["label", "vec"]).select("id", "n_links", "component_id")
     alone = rows.filter(~F.col("fit")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
