@@ -3,10 +3,13 @@
 The markup of a page is stripped into lines, one per block element; scripts,
 styles and other unseen content vanish, and lines inside containers that are
 not the article by their element, role, class or id (menus, page headers and
-footers, sidebars, notices, adverts, forms, reader comments) do not count,
-unless the container holds the page's article (more than half of the text in
-its ``article`` and ``main`` elements) or, without such elements, is a form or
-named by role, class or id only and holds more than half of all text.
+footers, sidebars, notices, adverts, forms, reader comments) do not count.
+Names that say what the content is (comments, replies, notices, cookies,
+adverts, sharing) hide it whatever its share, unless the page's ``main`` lies
+in it. Names of layout (a sidebar, a header, a form) do not hide a container
+that holds the page's article (more than half of the text in its ``article``
+and ``main`` elements) or, without such elements, is named by role, class or id
+only and holds more than half of all text.
 Over the lines left, the text lengths (without link text) are summed in a
 sliding window of ``WINDOW`` lines. A surge is the first line of a window sum
 of at least ``SURGE_CHARS`` after sparse text, a dive the line after which the
@@ -14,9 +17,9 @@ window sums fall to zero; the text between a surge and its dive is kept, with
 the headings that lead into it. Short lines before a surge, or a stretch
 without one, are kept if they hold at least ``ARTICLE_SHARE`` of the text that
 follows the surge, or of the page's largest stretch. If the page names its
-article (``article`` or ``main``), the spans found this way are bounded by it
-and extended to its first and last line where it holds ``ARTICLE_SHARE`` of
-their text, all spans together or else one by one. A page without any surge
+article (``article`` or ``main``), a span with ``ARTICLE_SHARE`` of its text in
+one is cut to it and extended to that article's first and last line, and if
+all spans together have that share, spans outside go. A page without any surge
 keeps the lines that are not link lists (those of its article, by the same
 share).
 
@@ -53,11 +56,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 OUTSIDE = frozenset("nav footer aside form menu dialog search".split())
 NEVER_TEXT = OUTSIDE - {"form"} | {"header"}                 # elements that most of a page's text does not make its article
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-WORDS = frozenset(
-    "ad ads advert advertisement advertising adbox adsense banner promo promotion sponsor sponsored nav navbar navigation menu "
-    "breadcrumb breadcrumbs sidebar aside footer masthead topbar cookie cookies consent gdpr notice notices alert popup modal "
-    "overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations "
-    "comment comments commentlist disqus reply replies respond widget pagination pager toolbar".split())
+LAYOUT = frozenset(
+    "banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar popup modal overlay "
+    "signup login search widget pagination pager toolbar".split())
+CONTENT = frozenset(
+    "ad ads advert advertisement advertising adbox adsense promo promotion sponsor sponsored cookie cookies consent gdpr notice "
+    "notices alert newsletter subscribe subscription share sharing social related recommended recommendations comment comments "
+    "commentlist disqus reply replies respond".split())
+CONTENT_ROLES = frozenset("alert alertdialog".split())
 HEADER_WORDS = frozenset("header".split())
 
 TOKEN = re.compile(
@@ -69,25 +75,33 @@ TOKEN = re.compile(
     re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
-STATE = re.compile(r"(?<!\S)(?:has|no|with|without|hide|show)[-_]\S*", re.I)          # a word on what is there, no name
+STATE = re.compile(r"(?:(?<!\S)|(?<=[-_]))(?:has|no|with|without|hide|show)[-_]\S*"      # a word on what is there, no name
+                   r"|\S+[-_](?:open|closed|enabled|disabled|allowed|free|off)(?!\S)", re.I)
 
 
-def _outside(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element holds something else than the article."""
+def _outside(tag: str, attributes: str, in_article: bool) -> str:
+    """What an element holds instead of the article: ``content`` if its name
+    says so, ``layout`` if it may be a wrapper, or nothing."""
     if tag in OUTSIDE or (tag == "header" and not in_article):
-        return True
-    if tag in ("html", "body") or not attributes:
-        return False
+        return "layout"
+    if tag in ("html", "body", "main") or not attributes:
+        return ""
+    found = ""
     for name, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values)
         if name.lower() == "role":
             if value.lower() in ROLES:
-                return True
+                found = "content" if value.lower() in CONTENT_ROLES else found or "layout"
             continue
         parts = {p.lower() for p in NAME_PART.findall(STATE.sub("", value))}
-        if parts & WORDS or (not in_article and parts & HEADER_WORDS):
-            return tag != "main" and (tag != "article" or bool(parts & {"comment", "comments", "reply", "ad", "promo", "related"}))
-    return False
+        if tag == "article":                                 # a comment or a teaser, but not a post with comments
+            if parts & {"comment", "comments", "reply", "ad", "promo", "related"} and not parts & {"post", "entry", "story"}:
+                return "content"
+        elif parts & CONTENT:
+            return "content"
+        elif parts & LAYOUT or (not in_article and parts & HEADER_WORDS):
+            found = found or "layout"
+    return found
 
 
 def _closed(tokens) -> dict[int, int]:
@@ -105,17 +119,19 @@ def _closed(tokens) -> dict[int, int]:
 
 
 def _hidden(html: str, tokens, closes: dict[int, int]) -> set[int]:
-    """Numbers of the start tags whose content is not the article: of those
-    that ``_outside`` names, the ones that hold neither the article (most of
-    the text inside article tags) nor, on a page without one, most text."""
+    """Numbers of the start tags whose content is not the article: those named
+    by content, and of those named by layout the ones that hold neither the
+    article (most of the text inside article tags) nor, on a page without one,
+    most text. Text under a content name counts nowhere."""
+    mains = [k for k, m in enumerate(tokens) if k in closes and (m[4] or "").lower() == "main"]
     named, total, inside = [], [], []                        # characters outside links, and open articles, before each token
     n_named = n_total = articles = links = end = 0
-    unseen, foreign, outside = -1, -1, []                    # foreign: end of an article that is none, as a comment
+    unseen, wrappers, hidden = -1, [], set()
     for k, m in enumerate(tokens):
         if k > unseen and not links and m.start() > end:
             n = len(html[end:m.start()].strip())
             n_total += n
-            n_named += n if articles and k > foreign else 0
+            n_named += n if articles else 0
         end = m.end()
         named.append(n_named)
         total.append(n_total)
@@ -128,26 +144,28 @@ def _hidden(html: str, tokens, closes: dict[int, int]) -> set[int]:
                 articles = max(0, articles - 1)
             elif tag == "a":
                 links = max(0, links - 1)
+            continue
+        kind = _outside(tag, m[5], articles > 0) if k in closes and tag not in VOID and tag not in UNSEEN else ""
+        if kind == "content" and not any(k < x < closes[k] for x in mains[:1]):
+            hidden.add(k)
+            unseen = closes[k]
         elif k in closes and tag in UNSEEN:
             unseen = closes[k]
-        elif k in closes and tag not in VOID and _outside(tag, m[5], articles > 0):
-            outside.append((k, tag))
-            if tag == "article":
+        else:
+            if kind:
+                wrappers.append((k, tag))
+            if tag in ("article", "main"):
                 articles += 1
-                foreign = max(foreign, closes[k])
-        elif tag in ("article", "main"):
-            articles += 1
-        elif tag == "a":
-            links = 1
+            elif tag == "a":
+                links = 1
     if not links:
         n = len(html[end:].strip())
         n_total += n
         n_named += n if articles else 0
-    hidden = set()
-    for k, tag in outside:
+    for k, tag in wrappers:
         if tag in NEVER_TEXT and (inside[k] or not n_named):
             shown = False
-        elif n_named and tag != "article":
+        elif n_named:
             shown = 2 * (named[closes[k]] - named[k]) > n_named
         else:
             shown = 2 * (total[closes[k]] - total[k]) > n_total
@@ -254,30 +272,37 @@ def _spans(lines, lengths) -> list[tuple[int, int]]:
     return spans
 
 
+def _regions(lines) -> list[tuple[int, int]]:
+    """[first, end) of every run of lines inside an article."""
+    starts = [i for i, line in enumerate(lines) if line[2] and not (i and lines[i - 1][2])]
+    ends = [i + 1 for i, line in enumerate(lines) if line[2] and not (i + 1 < len(lines) and lines[i + 1][2])]
+    return list(zip(starts, ends))
+
+
 def main_text(html: str | None) -> str:
     """The article of one page."""
     lines = page_lines(html or "")
     lengths = [plain for _, plain, _, _ in lines]
-    named = [i for i, line in enumerate(lines) if line[2]]
-    text = lambda some: sum(lengths[i] for i in some)
     spans = _spans(lines, lengths)
+
+    def in_article(some) -> bool:
+        inside = [i for i in some if lines[i][2]]
+        return bool(inside) and sum(lengths[i] for i in inside) >= ARTICLE_SHARE * sum(lengths[i] for i in some)
+
     dense = [i for a, b in spans for i in range(a, b)] or range(len(lines))
-    if named and text(i for i in dense if lines[i][2]) >= ARTICLE_SHARE * text(dense):
-        keep = named                                         # bounded by the article and extended to its ends
-    elif spans:
-        keep = []
-        for a, b in spans:
-            inside = [i for i in range(a, b) if lines[i][2]]
-            if inside and text(inside) >= ARTICLE_SHARE * text(range(a, b)):
-                a, b = inside[0], inside[-1] + 1
-                while a and lines[a - 1][2]:
-                    a -= 1
-                while b < len(lines) and lines[b][2]:
-                    b += 1
-            keep += range(max(a, keep[-1] + 1 if keep else 0), b)
+    bounded = in_article(dense)
+    if not spans:
+        keep = {i for i, n in enumerate(lengths) if (lines[i][2] if bounded else n)}
     else:
-        keep = [i for i, n in enumerate(lengths) if n]
-    return "\n\n".join(lines[i][0] for i in keep)
+        keep, regions = set(), _regions(lines)
+        for a, b in spans:
+            if bounded or in_article(range(a, b)):           # cut to the articles it touches, extended to their ends
+                for first, end in regions:
+                    if first < b and end > a:
+                        keep.update(range(first, end))
+            else:
+                keep.update(range(a, b))
+    return "\n\n".join(lines[i][0] for i in sorted(keep))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
