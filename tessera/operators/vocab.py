@@ -95,213 +95,384 @@ def pair_counts(words: DataFrame, syms: str = "syms", freq: str = "freq") -> Dat
             .agg(F.sum(freq).alias("cnt")))
 
 
-def merge_symbols(symbols: list[str], left: str, right: str) -> list[str]:
-    """One merge over one word, left to right."""
-    out, i, n = [], 0, len(symbols)
-    while i < n:
-        if i + 1 < n and symbols[i] == left and symbols[i + 1] == right:
-            out.append(left + right)
-            i += 2
-        else:
-            out.append(symbols[i])
-            i += 1
-    return out
-
-
-def _merged_words(words: DataFrame, merges: list[tuple[str, str]], emit) -> DataFrame:
-    """Apply ``merges`` to (syms, freq) in order, in Arrow batches. With
-    ``emit`` None the merged words come back. Otherwise ``emit`` is a further
-    list of merges that are tried after them, and the change of every pair's
-    count at each of those steps comes back as (step, left, right, change)."""
-    tried = list(emit or ())
-
+# ---------------------------------------------------------------- training
+#: Symbols are numbers: a character is its code point, a merged token follows.
+FIRST_MERGED = 0x110000
+CHUNK_WORDS = 200_000
+
+
+class _Chunk:
+    """Symbols of a chunk of words as linked arrays, with an index from a pair
+    to its places, so a merge touches the words that hold its pair only."""
+
+    def __init__(self, symbols, lengths, freqs):
+        import numpy as np
+        n = len(symbols)
+        ends = np.cumsum(lengths)
+        self.end = n                                         # stands for "nothing" on either side of a word
+        self.symbol = np.append(symbols, -1).astype(np.int64)
+        self.freq = np.append(np.repeat(freqs, lengths), 0)
+        self.next = np.append(np.arange(1, n + 1), n)
+        self.before = np.append(np.arange(-1, n - 1), n)
+        self.next[ends - 1] = n
+        self.before[ends - lengths] = n
+        self.lengths, self.freqs, self.first = lengths, freqs, ends - lengths
+        self.index()
+
+    def index(self) -> None:
+        import numpy as np
+        places = np.flatnonzero((self.symbol[:-1] >= 0) & (self.next[:-1] < self.end))
+        codes = self.codes(places)
+        order = np.argsort(codes, kind="stable")
+        self.sorted_codes, self.sorted_places = codes[order], places[order]
+        self.made: dict[int, list] = {}                      # token -> (codes, places) of the pairs it came into
+
+    def codes(self, places):
+        return self.symbol[places] << 32 | self.symbol[self.next[places]]
+
+    def totals(self):
+        """Codes and weighted counts of all pairs."""
+        import numpy as np
+        codes, starts = np.unique(self.sorted_codes, return_index=True)
+        return codes, np.add.reduceat(self.freq[self.sorted_places], starts) if len(codes) else starts
+
+    def places(self, a: int, b: int):
+        import numpy as np
+        code = a << 32 | b
+        found = []
+        for codes, places in [(self.sorted_codes, self.sorted_places), *self.made.get(a, ()), *(self.made.get(b, ()) if a != b else ())]:
+            lo, hi = np.searchsorted(codes, code), np.searchsorted(codes, code, "right")
+            if lo < hi:
+                found.append(places[lo:hi])
+        if not found:
+            return None
+        p = np.sort(found[0]) if len(found) == 1 else np.unique(np.concatenate(found))
+        p = p[(self.symbol[p] == a) & (self.symbol[self.next[p]] == b)]
+        if a == b and len(p) > 1:                            # left to right: every other one of a run
+            at = np.arange(len(p))
+            start = np.append(True, self.next[p[:-1]] != p[1:])
+            p = p[(at - np.maximum.accumulate(np.where(start, at, 0))) % 2 == 0]
+        return p if len(p) else None
+
+    def merge(self, a: int, b: int, token: int):
+        """Make ``token`` of every ``a b``; codes and changes of the pairs that
+        went and came, or None."""
+        import numpy as np
+        p = self.places(a, b)
+        if p is None:
+            return None
+        q = self.next[p]
+        left, right = self.before[p], self.next[q]
+        gone = np.unique(np.concatenate([left[left < self.end], p, q[right < self.end]]))
+        gone_codes = self.codes(gone)
+        self.symbol[p], self.symbol[q] = token, -2
+        self.next[p] = right
+        self.before[right] = p
+        self.before[self.end] = self.end
+        came = np.unique(np.concatenate([left[(left < self.end) & (self.symbol[left] >= 0)], p[right < self.end]]))
+        codes = self.codes(came)
+        order = np.argsort(codes, kind="stable")
+        self.made.setdefault(token, []).append((codes[order], came[order]))
+        return np.concatenate([gone_codes, codes]), np.concatenate([-self.freq[gone], self.freq[came]])
+
+    def change(self, a: int, b: int, token: int):
+        """``merge``, with the distinct codes of the changed pairs and their sums."""
+        import numpy as np
+        out = self.merge(a, b, token)
+        if out is None:
+            return None
+        codes, where = np.unique(out[0], return_inverse=True)
+        sums = np.zeros(len(codes), np.int64)
+        np.add.at(sums, where, out[1])
+        return codes, sums
+
+    def copy(self) -> _Chunk:
+        import copy
+        other = copy.copy(self)
+        other.symbol, other.next, other.before = self.symbol.copy(), self.next.copy(), self.before.copy()
+        other.made = {}
+        return other
+
+    def packed(self) -> dict:
+        """The words as they are now."""
+        import numpy as np
+        alive = self.symbol[:-1] >= 0
+        lengths = np.add.reduceat(alive, self.first) if len(self.first) else self.lengths
+        return {"symbols": self.symbol[:-1][alive].astype("<i4").tobytes(), "lengths": lengths.astype("<i4").tobytes(),
+                "freqs": self.freqs.astype("<i8").tobytes()}
+
+
+_CHUNKS = "symbols binary, lengths binary, freqs binary"
+
+
+def _word_chunks(words: DataFrame, chunk_words: int) -> DataFrame:
+    """(word, freq) -> rows of up to ``chunk_words`` words as packed arrays."""
     def run(batches):
+        import numpy as np
         import pyarrow as pa
+        held, size = [], 0
+
+        def emit():
+            texts = [w for b in held for w in b.column(0).to_pylist()]
+            freqs = np.concatenate([b.column(1).to_numpy() for b in held])
+            lengths = np.asarray([len(w) for w in texts], "<i4")
+            return pa.RecordBatch.from_pydict({"symbols": ["".join(texts).encode("utf-32-le")], "lengths": [lengths.tobytes()],
+                                               "freqs": [freqs.astype("<i8").tobytes()]})
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= chunk_words:
+                yield emit()
+                held, size = [], 0
+        if size:
+            yield emit()
+    return words.mapInArrow(run, _CHUNKS)
+
+
+def _over_chunks(chunks: DataFrame, merges: list[tuple[int, int, int]], work, schema: str) -> DataFrame:
+    """``work(chunk)`` (record batches) on every chunk after ``merges``."""
+    def run(batches):
+        import numpy as np
         for batch in batches:
-            lists = [s.split(" ") for s in batch.column(0).to_pylist()]
-            freqs = batch.column(1).to_pylist()
-            where: dict[tuple[str, str], set[int]] = {}
-            for k, symbols in enumerate(lists):
-                for pair in zip(symbols, symbols[1:]):
-                    where.setdefault(pair, set()).add(k)
-            change: dict[tuple[int, str, str], int] = {}
-            for step, (left, right) in enumerate([*merges, *tried], -len(merges)):
-                for k in sorted(where.get((left, right), ())):
-                    old = lists[k]
-                    new = merge_symbols(old, left, right)
-                    if len(new) == len(old):
-                        continue
-                    lists[k] = new
-                    for pair in zip(new, new[1:]):
-                        where.setdefault(pair, set()).add(k)
-                    if emit is not None and step >= 0:
-                        for pair in zip(old, old[1:]):
-                            change[step, *pair] = change.get((step, *pair), 0) - freqs[k]
-                        for pair in zip(new, new[1:]):
-                            change[step, *pair] = change.get((step, *pair), 0) + freqs[k]
-            if emit is None:
-                yield pa.RecordBatch.from_arrays([pa.array([" ".join(s) for s in lists], pa.string()), batch.column(1)],
-                                                 names=["syms", "freq"])
-            else:
-                rows = [(s, l, r, n) for (s, l, r), n in change.items() if n]
-                cols = list(zip(*rows)) or [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()),
-                     pa.array(cols[3], pa.int64())], names=["step", "left", "right", "change"])
-
-    frame = words.select("syms", F.col("freq").cast("long").alias("freq"))
-    if emit is None:
-        return frame.mapInArrow(run, "syms string, freq long")
-    return frame.mapInArrow(run, "step int, left string, right string, change long")
-
-
-class _Pairs:
-    """Exact counts of the leading pairs on the driver. Pairs left out count at
-    most ``floor``: a pair's count rises only when a merge makes one of its
-    symbols, and those pairs are always kept."""
-
-    def __init__(self, rows, floor: int):
+            for row in batch.to_pylist():
+                chunk = _Chunk(np.frombuffer(row["symbols"], "<i4"), np.frombuffer(row["lengths"], "<i4").astype(np.int64),
+                               np.frombuffer(row["freqs"], "<i8"))
+                for a, b, token in merges:
+                    chunk.merge(a, b, token)
+                if merges:
+                    chunk.index()
+                yield from work(chunk)
+    return chunks.mapInArrow(run, schema)
+
+
+def _merged_chunks(chunks: DataFrame, merges) -> DataFrame:
+    def work(chunk):
+        import pyarrow as pa
+        yield pa.RecordBatch.from_pylist([chunk.packed()])
+    return _over_chunks(chunks, merges, work, _CHUNKS)
+
+
+def _chunk_pairs(chunks: DataFrame, merges) -> DataFrame:
+    """(code, cnt) of every pair."""
+    def work(chunk):
+        import pyarrow as pa
+        codes, counts = chunk.totals()
+        for lo in range(0, len(codes), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(codes[lo:lo + 50_000]), pa.array(counts[lo:lo + 50_000])], names=["code", "n"])
+    return _over_chunks(chunks, merges, work, "code long, n long").groupBy("code").agg(F.sum("n").alias("cnt"))
+
+
+def _trial(chunks: DataFrame, merges, tried: list[tuple[int, int, int]]) -> DataFrame:
+    """How each of ``tried``, one after another, changes the pairs' counts: (step, code, change)."""
+    def work(chunk):
+        import numpy as np
+        import pyarrow as pa
+        steps, codes, changes = [], [], []
+        for step, (a, b, token) in enumerate(tried):
+            out = chunk.change(a, b, token)
+            if out is not None:
+                steps.append(np.full(len(out[0]), step, np.int32))
+                codes.append(out[0])
+                changes.append(out[1])
+        if steps:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (steps, codes, changes)], names=["step", "code", "change"])
+    return (_over_chunks(chunks, merges, work, "step int, code long, change long")
+            .groupBy("step", "code").agg(F.sum("change").alias("change")).where("change <> 0"))
+
+
+class _Leading:
+    """Exact counts of the leading pairs on the driver, down to the order key
+    ``cut`` (count, then the pair's strings). Pairs behind it are left out: a
+    pair's count rises only when a merge makes one of its symbols, and pairs
+    that come before the cut then are taken in."""
+
+    def __init__(self, rows, text, cut):
         import heapq
-        self.count = {(l, r): n for l, r, n in rows}
-        self.floor = floor
-        self.heap = [(-n, l, r) for (l, r), n in self.count.items()]
+        self.text, self.cut = text, cut
+        self.count: dict[int, int] = {}
+        self.heap: list[tuple] = []
+        for code, n in rows:
+            self._put(code, n)
         heapq.heapify(self.heap)
-        self.fresh = True
+
+    def key(self, code: int, n: int) -> tuple:
+        return -n, self.text(code >> 32), self.text(code & 0xFFFFFFFF), code
+
+    def _put(self, code: int, n: int) -> tuple:
+        self.count[code] = n
+        self.heap.append(self.key(code, n))
+        return self.heap[-1]
 
     def best(self):
-        """(left, right, count) of the next merge; None if that is not certain."""
+        """(code, count) of the next merge; None if that is not certain."""
         import heapq
         while self.heap:
-            n, l, r = self.heap[0]
-            if self.count.get((l, r)) == -n:
-                return (l, r, -n) if -n > self.floor or self.fresh else None
+            top = self.heap[0]
+            if self.count.get(top[3]) == -top[0]:
+                return (top[3], -top[0]) if self.cut is None or top[:3] <= self.cut else None
             heapq.heappop(self.heap)
         return None
 
-    def apply(self, changes, made: str) -> None:
+    def apply(self, codes, changes, token: int) -> None:
         import heapq
-        self.fresh = False
-        for (l, r), n in changes.items():
-            if (l, r) in self.count or l == made or r == made:
-                self.count[l, r] = now = self.count.get((l, r), 0) + n
-                if now > 0:
-                    heapq.heappush(self.heap, (-now, l, r))
+        for code, change in zip(codes, changes):
+            a, b = code >> 32, code & 0xFFFFFFFF
+            if code in self.count or a == token or b == token:
+                now = self.count.get(code, 0) + change
+                if now > 0 and (self.cut is None or self.key(code, now)[:3] <= self.cut):
+                    self._put(code, now)
+                    heapq.heappush(self.heap, self.heap.pop())
                 else:
-                    del self.count[l, r]
+                    self.count.pop(code, None)
 
-    def guess(self, steps: int, min_frequency: int) -> list[tuple[str, str]]:
-        """Likely next merges: each is the best of counts that are carried on
-        as if a symbol's neighbours on one side told nothing about the other."""
+    def guess(self, steps: int, least: int, name, sample: _Chunk) -> list[tuple[int, int, int]]:
+        """Likely next merges (a, b, token): the greedy rule on these counts,
+        carried on by what each merge changes in ``sample`` (which it uses up),
+        scaled to the pair's count. ``name(a, b)`` numbers a merge's token."""
         import heapq
-        count, out = dict(self.count), []
-        heap = list(self.heap)
-        before: dict[str, set[str]] = {}
-        after: dict[str, set[str]] = {}
-        for l, r in count:
-            after.setdefault(l, set()).add(r)
-            before.setdefault(r, set()).add(l)
-
-        def put(l, r, n):
-            if n < 1:
-                count.pop((l, r), None)
-                return
-            count[l, r] = n
-            after.setdefault(l, set()).add(r)
-            before.setdefault(r, set()).add(l)
-            heapq.heappush(heap, (-n, l, r))
-
+        self.heap = list({k for k in self.heap if self.count.get(k[3]) == -k[0]})
+        heapq.heapify(self.heap)
+        heap = heapq.nsmallest(2 * steps, self.heap)
+        floor = max(least, -heap[-1][0] // 2) if len(heap) == 2 * steps else least
+        moved: dict[int, int] = {}                           # counts that the guesses have changed
+        out, taken = [], set()
         while heap and len(out) < steps:
-            n, l, r = heapq.heappop(heap)
-            if count.get((l, r)) != -n:
+            n, _, _, code = heapq.heappop(heap)
+            if code in taken or moved.get(code, self.count.get(code, 0)) != -n or -n < least:
                 continue
-            n = -n
-            if n < min_frequency:
-                break
-            out.append((l, r))
-            made = l + r
-            del count[l, r]
-            lefts = [(x, count[x, l]) for x in before.get(l, ()) if (x, l) in count]
-            rights = [(y, count[r, y]) for y in after.get(r, ()) if (r, y) in count]
-            all_l = max(n + sum(count.get((l, y), 0) for y in after.get(l, ())), 1)
-            all_r = max(n + sum(count.get((x, r), 0) for x in before.get(r, ())), 1)
-            for x, m in lefts:
-                moved = m * n // all_l
-                put(x, made, count.get((x, made), 0) + moved)
-                put(x, l, m - moved)
-            for y, m in rights:
-                moved = m * n // all_r
-                put(made, y, count.get((made, y), 0) + moved)
-                put(r, y, m - moved)
+            taken.add(code)
+            a, b = code >> 32, code & 0xFFFFFFFF
+            token = name(a, b)
+            out.append((a, b, token))
+            changed = sample.change(a, b, token)
+            if changed is None:
+                moved[code] = 0
+                continue
+            codes, changes = changed
+            held = -changes[codes == code][0]
+            for c, change in zip(codes.tolist(), (changes * (-n / held)).round().astype("int64").tolist()):
+                moved[c] = now = moved.get(c, self.count.get(c, 0)) + change
+                if now >= floor:
+                    heapq.heappush(heap, self.key(c, now))
+            moved[code] = 0
         return out
 
 
 def train_bpe(words: DataFrame, vocab_size: int, min_frequency: int = 2,
-              special_tokens: list[str] = SPECIAL_TOKENS, top_pairs: int = 20_000,
-              guesses: int = 64, checkpoint_every: int = 8, alphabet: list[str] | None = None,
-              stats: dict | None = None):
+              special_tokens: list[str] = SPECIAL_TOKENS, top_pairs: int = 200_000,
+              guesses: int = 2048, checkpoint_every: int = 4, alphabet: list[str] | None = None,
+              chunk_words: int = CHUNK_WORDS, guess_words: int = 500_000, stats: dict | None = None):
     """Byte-level BPE over a (word, freq) table.
 
     Vocabulary: special tokens, then the alphabet (all 256 byte characters
     unless given) in code-point order, then merged tokens in merge order,
-    until ``vocab_size``. Ties go to the smaller (left, right).
-
-    A pass over the distinct words tries ``guesses`` likely merges one after
-    another and returns, per step, how every pair's count changes (summed in
-    the tasks, then by Spark). With these the driver follows the exact counts
-    of the leading ``top_pairs`` pairs and accepts the longest prefix of the
-    guesses that is what the greedy rule picks, always at least one merge.
-    Pairs are counted anew only when the leading ones run out. The words are
-    written every ``checkpoint_every`` passes; the driver holds the leading
-    pairs and the merge list. ``stats`` receives the number of passes.
-    Returns (vocab DataFrame, merges DataFrame).
+    until ``vocab_size`` or until no pair counts ``min_frequency``. Ties go to
+    the smaller (left, right).
+
+    The distinct words are kept as packed integer arrays in written chunks. A
+    pass tries up to ``guesses`` likely merges one after another on every chunk
+    and returns, per step, how every pair's count changes (summed in the tasks,
+    then by Spark). The merges tried are the greedy rule's on the exact counts,
+    carried on over the ``guess_words`` most frequent words, which the driver
+    holds for that alone: a wrong guess costs time and never a merge. With these the driver follows the exact counts of the
+    leading ``top_pairs`` pairs and takes what the greedy rule picks, as long
+    as that is among the guesses. A pick may pass guesses tried before it that
+    are not picked yet if the two do not touch: the change of neither names the
+    other's pair or token, so each changes the same counts in either order.
+    Pairs are counted anew only when the leading ones run out, and the words
+    are written every ``checkpoint_every`` passes. The driver holds the leading
+    pairs, the guessing words, a pass's changes and the merge list. ``stats`` receives the number
+    of passes. Returns (vocab DataFrame, merges DataFrame).
     """
+    import numpy as np
     spark = words.sparkSession
     if alphabet is None:
         alphabet = sorted({_byte_char(b) for b in range(256)})
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))      # the passes are CPU work: keep them spread
-    table = materialize(words.select(symbols_of("word").alias("syms"), F.col("freq").cast("long").alias("freq"))
-                        .where(F.length("syms") > 0).repartition(tasks, "syms"), "bpe-words")
-    pending: list[tuple[str, str]] = []                      # merges the written words do not have yet
-    merges: list[tuple[str, str, int]] = []
+    # written before the filter: Spark would push it below the aggregation that makes the words
+    words = materialize(words.select("word", F.col("freq").cast("long").alias("freq")).repartition(tasks, "word"),
+                        "bpe-frequencies").where(F.length("word") > 1)
+    chunks = materialize(_word_chunks(words, chunk_words), "bpe-words")
     tokens = list(dict.fromkeys(list(special_tokens) + list(alphabet)))
     known = set(tokens)
-    pairs, passes, recounts = None, 0, 0
-    while len(tokens) < vocab_size:
-        best = pairs.best() if pairs else None
-        if best is None:
-            counts = pair_counts(_merged_words(table, pending, None)).where(F.col("cnt") >= min_frequency)
-            rows = [(r["left"], r["right"], int(r["cnt"])) for r in
-                    counts.orderBy(F.desc("cnt"), "left", "right").limit(top_pairs).collect()]
-            recounts += 1
-            if not rows:
+    merged: list[str] = []                                   # strings of the merged numbers
+    number: dict[str, int] = {}
+
+    def text(symbol: int) -> str:
+        return chr(symbol) if symbol < FIRST_MERGED else merged[symbol - FIRST_MERGED]
+
+    def name(a: int, b: int) -> int:
+        made = text(a) + text(b)
+        if made not in number:
+            number[made] = FIRST_MERGED + len(merged)
+            merged.append(made)
+        return number[made]
+
+    def leading():
+        names = spark.createDataFrame([(FIRST_MERGED + i, t) for i, t in enumerate(merged)], "id long, t string")
+        counts = _chunk_pairs(chunks, pending).where(F.col("cnt") >= min_frequency)
+        for side, symbol in (("l", F.shiftright("code", 32)), ("r", F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)))):
+            counts = counts.withColumn("id", symbol).join(F.broadcast(names), "id", "left").withColumn(       # at most the vocabulary
+                side, F.coalesce("t", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32"))).drop("id", "t")
+        rows = [(r["code"], r["cnt"]) for r in counts.orderBy(F.desc("cnt"), "l", "r").limit(top_pairs).select("code", "cnt").collect()]
+        found = _Leading(rows, text, None)
+        if len(rows) == top_pairs:
+            found.cut = found.key(*rows[-1])[:3]
+        return found
+
+    common = words.orderBy(F.desc("freq"), "word").limit(guess_words).collect()
+    sample = _Chunk(np.frombuffer("".join(r[0] for r in common).encode("utf-32-le"), "<i4"),
+                    np.asarray([len(r[0]) for r in common], np.int64), np.asarray([r[1] for r in common], np.int64))
+    pending: list[tuple[int, int, int]] = []                 # merges the written words do not have yet
+    merges: list[tuple[str, str, int]] = []
+    steps = min(guesses, 256)
+    pairs, passes, recounts, finished = None, 0, 0, False
+    while len(tokens) < vocab_size and not finished:
+        if pairs is None or pairs.best() is None:
+            pairs, recounts = leading(), recounts + 1
+            if pairs.best() is None:
                 break
-            pairs = _Pairs(rows, rows[-1][2] if len(rows) == top_pairs else min_frequency - 1)
-        guess = pairs.guess(min(guesses, vocab_size - len(tokens)), min_frequency)
-        if not guess:
-            break
-        changes: list[dict] = [{} for _ in guess]
-        for row in (_merged_words(table, pending, guess).groupBy("step", "left", "right")
-                    .agg(F.sum("change").alias("n")).where("n <> 0").collect()):
-            changes[row["step"]][row["left"], row["right"]] = int(row["n"])
-        passes += 1
-        for step, (l, r) in enumerate(guess):
+        tried = pairs.guess(min(steps, vocab_size - len(tokens) + 16), min_frequency, name, sample.copy())
+        trial = _trial(chunks, pending, tried).toArrow()
+        step, code, change = (trial.column(c).to_numpy() for c in ("step", "code", "change"))
+        order = np.argsort(step, kind="stable")
+        cuts = np.searchsorted(step[order], np.arange(len(tried) + 1))
+        deltas = [(code[order[i:j]], change[order[i:j]]) for i, j in zip(cuts, cuts[1:])]
+        symbols = [set((c >> 32).tolist()) | set((c & 0xFFFFFFFF).tolist()) for c, _ in deltas]
+        place = {a << 32 | b: k for k, (a, b, _) in enumerate(tried)}
+        passed, done, passes = 0, {}, passes + 1                # picked, in that order
+        while True:
             best = pairs.best()
-            if best is None or best[:2] != (l, r) or best[2] < min_frequency or len(tokens) >= vocab_size:
+            if best is None:
+                break
+            if best[1] < min_frequency or len(tokens) >= vocab_size:
+                finished = True
+                break
+            k = place.get(best[0])
+            if k is None or k in done:
                 break
-            again = l + r in known
-            merges.append(best)
-            pending.append((l, r))
-            if not again:
-                known.add(l + r)
-                tokens.append(l + r)
-            pairs.apply(changes[step], l + r)
-            if again:                                        # pairs of a token made twice may have been left out
+            earlier = [j for j in range(passed, k) if j not in done]
+            if any(tried[j][2] in symbols[k] or best[0] in deltas[j][0] for j in earlier):
+                break                                        # it touches a guess that is not picked
+            a, b, token = tried[k]
+            made = merged[token - FIRST_MERGED]
+            done[k] = True
+            while passed in done:
+                passed += 1
+            pending.append(tried[k])
+            merges.append((text(a), text(b), best[1]))
+            pairs.apply(deltas[k][0].tolist(), deltas[k][1].tolist(), token)
+            if made in known:                                # pairs of a token made twice may have been left out
                 pairs = None
                 break
-        if pairs is not None and (best := pairs.best()) is not None and best[2] < min_frequency:
-            break
-        if passes % checkpoint_every == 0:
-            table, pending = materialize(_merged_words(table, pending, None), "bpe-words"), []
+            known.add(made)
+            tokens.append(made)
+        for k in done:
+            sample.merge(*tried[k])
+        sample.index()
+        steps = min(guesses, max(256, 2 * len(done)))
+        if passes % checkpoint_every == 0 and pending:
+            chunks, pending = materialize(_merged_chunks(chunks, pending), "bpe-words"), []
     if stats is not None:
         stats.update(passes=passes, recounts=recounts)
     vocab = spark.createDataFrame([(t, i) for i, t in enumerate(tokens)], "token string, id int")

@@ -58,6 +58,7 @@ _PAIRS_SQL = ("pairs", """
     GROUP BY 1, 2""")
 EVENT_VOCAB = 2 + 256 + 30     # special tokens + byte alphabet + merges
 DOC_VOCAB = 2 + 256 + 120
+FULL_VOCAB = 110_000
 
 
 def event_word_freq(spark, d):
@@ -120,6 +121,14 @@ def q_i6_docs(spark, d):
     return _merges_out(merges)
 
 
+@register("i6_bpe_train_full")
+def q_i6_full(spark, d):
+    """The reference's vocabulary size, or as many merges as pairs occur twice.
+    No SQL text: the recursion takes one query a merge; the shorter keys have it."""
+    _, merges = V.train_bpe(V.word_frequencies(table(spark, d, "documents"), "text"), FULL_VOCAB)
+    return _merges_out(merges)
+
+
 @register("a12_save_tokenizer", with_fixtures(["fx_cand"], f"""
     SELECT v.token, CAST(v.id AS INTEGER) AS id, m.rank FROM (
       SELECT unnest(['<|endoftext|>', '<|padding|>']) AS token, unnest([0, 1]) AS id

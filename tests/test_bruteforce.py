@@ -54,8 +54,19 @@ def test_bpe_equals_sequential(spark, seed, top):
 
 
 def test_merge_overlapping_same_pair():
-    assert V.merge_symbols("l l l o".split(), "l", "l") == ["ll", "l", "o"]
-    assert V.merge_symbols("a b a b".split(), "a", "b") == ["ab", "ab"]
+    import numpy as np
+
+    def merged(words, *merges):
+        text = "".join(words)
+        chunk = V._Chunk(np.asarray(list(map(ord, text))), np.asarray(list(map(len, words))), np.ones(len(words), np.int64))
+        for a, b, token in merges:
+            chunk.merge(a, b, token)
+        out = chunk.packed()
+        return np.frombuffer(out["symbols"], "<i4").tolist(), np.frombuffer(out["lengths"], "<i4").tolist()
+    l, a, b = map(ord, "lab")
+    assert merged(["lllo", "ll", "l"], (l, l, 900)) == ([900, l, ord("o"), 900, l], [3, 1, 1])
+    assert merged(["abab", "ba"], (a, b, 900), (900, 900, 901)) == ([901, b, a], [1, 2])
+    assert merged(["lllllll"], (l, l, 900), (900, 900, 901), (900, l, 902)) == ([901, 902], [2])
 
 
 def test_bpe_on_documents_takes_few_passes(spark):
@@ -64,8 +75,64 @@ def test_bpe_on_documents_takes_few_passes(spark):
     stats = {}
     _, m = V.train_bpe(words, 2 + 256 + 300, stats=stats)
     got = [(r.left, r.right, r.cnt) for r in m.orderBy("rank").collect()]
-    assert got == bpe_sequential({r.word: r.freq for r in words.collect()}, 300)
-    assert stats["passes"] <= 30 and stats["recounts"] == 1
+    assert got == bpe_counted({r.word: r.freq for r in words.collect()}, 300)
+    assert stats["passes"] <= 15 and stats["recounts"] == 1
+
+
+def bpe_counted(freqs, n_merges, min_freq=2):
+    """Sequential training with counts kept up to date word by word, the best pair from a heap."""
+    import heapq
+    words = [(list(w), f) for w, f in freqs.items()]
+    counts, where = Counter(), {}
+    for k, (sym, f) in enumerate(words):
+        for pair in zip(sym, sym[1:]):
+            counts[pair] += f
+            where.setdefault(pair, set()).add(k)
+    heap = [(-c, p) for p, c in counts.items()]
+    heapq.heapify(heap)
+    merges = []
+    while len(merges) < n_merges and heap:
+        top, (a, b) = heapq.heappop(heap)
+        if counts[a, b] != -top:
+            continue
+        if -top < min_freq:
+            break
+        merges.append((a, b, -top))
+        changed = set()
+        for k in where.pop((a, b)):
+            sym, f = words[k]
+            new, i = [], 0
+            while i < len(sym):
+                hit = sym[i:i + 2] == [a, b]
+                new.append(a + b if hit else sym[i])
+                i += 1 + hit
+            for pair in zip(sym, sym[1:]):
+                counts[pair] -= f
+                changed.add(pair)
+            for pair in zip(new, new[1:]):
+                counts[pair] += f
+                changed.add(pair)
+                where.setdefault(pair, set()).add(k)
+            words[k] = new, f
+        for pair in changed:
+            if counts[pair] > 0:
+                heapq.heappush(heap, (-counts[pair], pair))
+    return merges
+
+
+@pytest.mark.parametrize("sf, part, merges, options, passes", [
+    ("0.001", 4, 1500, {"chunk_words": 3000, "top_pairs": 4000, "guesses": 300, "guess_words": 4000}, 60),
+    ("0.01", 1, 10_000, {}, 12)])
+def test_bpe_of_documents_equals_sequential(spark, sf, part, merges, options, passes):
+    """Small chunks, few leading pairs and few words to guess from; and ten thousand merges as they come."""
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    words = V.word_frequencies(docs.where(f"doc_id % {part} = 0"), "text").cache()
+    want = bpe_counted({r.word: r.freq for r in words.collect()}, merges)
+    stats = {}
+    _, m = V.train_bpe(words, 2 + 256 + len(want), stats=stats, **options)
+    got = [(r.left, r.right, r.cnt) for r in m.orderBy("rank").collect()]
+    assert got[:len(want)] == want and len(want) == merges and stats["passes"] <= passes
+
 
 
 def test_pretokenize_matches_python_regex(spark):

@@ -6,11 +6,13 @@ import pytest
 from tools.oracle_check import check, duck
 
 SF = "/root/testdata/sf0.001"
+#: Too long for the SQL recursion; held against a sequential trainer in test_bruteforce.py.
+TESTED_ELSEWHERE = {"i6_bpe_train_full"}
 
 
 def _keys():
     from tessera.plans.catalog import load_all
-    return sorted(load_all())
+    return sorted(set(load_all()) - TESTED_ELSEWHERE)
 
 
 @pytest.fixture(scope="module")
