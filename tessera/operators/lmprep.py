@@ -138,45 +138,93 @@ def basic_words(text, keep_whole: str | None = None) -> Column:
     return F.regexp_extract_all(_c(text), F.lit("(?:" + "|".join(alts) + ")"), 0)
 
 
-def longest_pieces(word: str, vocab, longest: int, max_chars: int, unk: str) -> list[str]:
-    """Greedy longest-match-first pieces of one word ('##' after the first);
-    a word with a gap, or longer than ``max_chars`` (the tokenizer's rule), is
-    ``unk``. No piece longer than the vocabulary's longest token is tried."""
+def piece_trie(tokens) -> tuple[list[dict], list[int], list[list[str]]]:
+    """Trie of a word-piece vocabulary with failure links, for longest matches
+    in one walk over a word: per node its children by character, the node to
+    go on from when no child fits (-1: the word has a gap), and the pieces that
+    are then complete. Node 0 starts a word, node 1 what follows a piece."""
+    known = set(tokens)
+    children: list[dict] = [{}, {}]
+    text, link, pops = ["", "##"], [-1, -1], [[], []]
+    for token in sorted(known):
+        inner = token.startswith("##") and len(token) > 2
+        for root, rest in ((1, token[2:]), (0, token)) if inner else ((0, token),):
+            node = root
+            for c in rest:
+                below = children[node].get(c)
+                if below is None:
+                    below = children[node][c] = len(children)
+                    children.append({})
+                    text.append(text[node] + c)
+                    link.append(-1)
+                    pops.append([])
+                node = below
+    level = [0, 1]
+    while level:                                             # shorter nodes first
+        after = []
+        for node in level:
+            for c, below in children[node].items():
+                after.append(below)
+                if text[below] in known:
+                    link[below], pops[below] = 1, [text[below]]
+                    continue
+                at, done = link[node], list(pops[node])
+                while at >= 0 and c not in children[at]:
+                    done += pops[at]
+                    at = link[at]
+                if at >= 0:
+                    link[below], pops[below] = children[at][c], done
+        level = after
+    return children, link, pops
+
+
+def longest_pieces(word: str, trie, max_chars: int, unk: str) -> list[str]:
+    """Greedy longest-match-first pieces of one word ('##' after the first), in
+    time linear in the word; a word with a gap, or longer than ``max_chars``
+    (the tokenizer's rule), is ``unk``."""
     if len(word) > max_chars:
         return [unk]
-    out, start = [], 0
-    while start < len(word):
-        mark = "##" if start else ""
-        for end in range(min(len(word), start + longest - len(mark)), start, -1):
-            if mark + word[start:end] in vocab:
-                break
-        else:
-            return [unk]
-        out.append(mark + word[start:end])
-        start = end
+    children, link, pops = trie
+    node, out = 0, []
+    for c in word:
+        while c not in children[node]:
+            if link[node] < 0:
+                return [unk]
+            out += pops[node]
+            node = link[node]
+        node = children[node][c]
+    while node != 1:
+        if link[node] < 0:
+            return [unk] if word else []
+        out += pops[node]
+        node = link[node]
     return out
 
 
 def wordpiece_encode(texts: DataFrame, keys: list[str], text: str, vocab: DataFrame,
                      keep_whole: str | None = None, unk: str = "[UNK]", unk_id: int | None = None,
-                     max_length: int | None = None, max_chars: int = 100, max_vocab: int = 1_000_000) -> DataFrame:
+                     max_length: int | None = None, max_chars: int = 100, max_vocab: int = 1_000_000,
+                     tasks: int | None = None) -> DataFrame:
     """Texts -> keys + ``tokens`` + ``ids``, cut to ``max_length``.
 
     The words are split in the JVM; their pieces are found where the text
     lies, in Arrow batches that remember each word, so no text or word is
-    shuffled. The vocabulary travels with the tasks: it may have at most
-    ``max_vocab`` tokens, the limit a tokenizer is trained to; more is an error.
+    shuffled. The vocabulary's trie is built once and broadcast: it may have at
+    most ``max_vocab`` tokens, the limit a tokenizer is trained to; more is an
+    error. ``tasks`` deals the texts to that many tasks first, for inputs of
+    few large splits.
     """
     rows = vocab.select("token", "id").limit(max_vocab + 1).collect()
     if len(rows) > max_vocab:
         raise ValueError(f"a word-piece vocabulary of more than {max_vocab} tokens")
     ids = {r["token"]: r["id"] for r in rows}
-    longest = max(map(len, ids), default=1)
+    sent = texts.sparkSession.sparkContext.broadcast((piece_trie(ids), ids))
     schema = (texts.select(*keys).schema.add("tokens", T.ArrayType(T.StringType()))
               .add("ids", T.ArrayType(T.IntegerType())))
 
     def run(batches):
         import pyarrow as pa
+        trie, ids = sent.value
         known: dict[str, list[str]] = {}
         for batch in batches:
             tokens, numbers = [], []
@@ -187,7 +235,7 @@ def wordpiece_encode(texts: DataFrame, keys: list[str], text: str, vocab: DataFr
                     if pieces is None:
                         if len(known) >= max_vocab:
                             known.clear()
-                        pieces = known[word] = longest_pieces(word, ids, longest, max_chars, unk)
+                        pieces = known[word] = longest_pieces(word, trie, max_chars, unk)
                     out += pieces
                     if max_length and len(out) >= max_length:
                         del out[max_length:]
@@ -198,4 +246,21 @@ def wordpiece_encode(texts: DataFrame, keys: list[str], text: str, vocab: DataFr
                 [*batch.columns[:len(keys)], pa.array(tokens, pa.list_(pa.string())), pa.array(numbers, pa.list_(pa.int32()))],
                 names=schema.names)
 
-    return texts.select(*keys, basic_words(text, keep_whole).alias("words")).mapInArrow(run, schema)
+    dealt = texts.repartition(tasks) if tasks else texts
+    return dealt.select(*keys, basic_words(text, keep_whole).alias("words")).mapInArrow(run, schema)
+
+
+def piece_vocabulary(trained: DataFrame, unk: str = "[UNK]") -> DataFrame:
+    """``token, id`` for I3 from a trained byte-level vocabulary (I6): a token
+    that began with a space starts a word, any other continues one; tokens of
+    characters outside ASCII or of white space alone are left out. All letters
+    and digits met are in it in both places. ``unk`` is number 0."""
+    ascii_only = trained.where(F.col("token").rlike(r"^\u0120?[!-~]+$"))
+    starts = ascii_only.where(F.col("token").startswith("\u0120")).select(F.expr("substring(token, 2)").alias("token"))
+    inner = ascii_only.where(~F.col("token").startswith("\u0120")).select("token")
+    marked = inner.select(F.concat(F.lit("##"), "token").alias("token"))
+    single = inner.where(F.length("token") == 1)
+    all_of_them = starts.unionByName(marked).unionByName(single).where(F.col("token") != unk).distinct()
+    order = Window.orderBy("token")                          # at most the vocabulary's size
+    rows = all_of_them.select("token", F.row_number().over(order).alias("id"))
+    return rows.unionByName(trained.sparkSession.createDataFrame([(unk, 0)], "token string, id int"))

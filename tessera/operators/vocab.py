@@ -63,11 +63,14 @@ def pretokenize(text):
     return F.regexp_extract_all(t, F.lit(GPT2_PATTERN), 0)
 
 
-def word_frequencies(texts: DataFrame, text: str, normalize: bool = True) -> DataFrame:
+def word_frequencies(texts: DataFrame, text: str, normalize: bool = True, tasks: int | None = None) -> DataFrame:
     """(word, freq) of byte-level words: NFKC, pre-tokenise, count (partial
     aggregation: the table is the distinct words, not the corpus), then map
-    the distinct words to byte-level characters."""
+    the distinct words to byte-level characters. ``tasks`` deals the texts to
+    that many tasks first, for inputs of few large splits."""
     t = texts.select(F.col(text).alias("t"))
+    if tasks:
+        t = t.repartition(tasks)
     if normalize:
         # ASCII text is already NFKC: only other texts go to Python, in the same scan
         plain = F.col("t").rlike(r"^[\x00-\x7F]*$")

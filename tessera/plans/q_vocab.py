@@ -102,7 +102,7 @@ def q_h5(spark, d):
 
 @register("h6_byte_level_words", with_fixtures([], "SELECT word, CAST(sum(freq) AS BIGINT) AS freq FROM wf GROUP BY 1", _DOC_WF_SQL))
 def q_h6(spark, d):
-    return V.word_frequencies(table(spark, d, "documents"), "text")
+    return V.word_frequencies(table(spark, d, "documents"), "text", tasks=int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _merges_out(m):
@@ -117,7 +117,7 @@ def q_i6_events(spark, d):
 
 @register("i6_bpe_train_documents", with_fixtures([], _MERGES_OUT, [*_DOC_WF_SQL, *_train_sql(120)], recursive=True))
 def q_i6_docs(spark, d):
-    _, merges = V.train_bpe(V.word_frequencies(table(spark, d, "documents"), "text"), DOC_VOCAB)
+    _, merges = V.train_bpe(V.word_frequencies(table(spark, d, "documents"), "text", tasks=int(spark.conf.get("spark.sql.shuffle.partitions"))), DOC_VOCAB)
     return _merges_out(merges)
 
 
@@ -125,7 +125,7 @@ def q_i6_docs(spark, d):
 def q_i6_full(spark, d):
     """The reference's vocabulary size, or as many merges as pairs occur twice.
     No SQL text: the recursion takes one query a merge; the shorter keys have it."""
-    _, merges = V.train_bpe(V.word_frequencies(table(spark, d, "documents"), "text"), FULL_VOCAB)
+    _, merges = V.train_bpe(V.word_frequencies(table(spark, d, "documents"), "text", tasks=int(spark.conf.get("spark.sql.shuffle.partitions"))), FULL_VOCAB)
     return _merges_out(merges)
 
 

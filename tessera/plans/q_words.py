@@ -349,11 +349,11 @@ def q_k2_shifted(spark, d):
 _IDS = ("ids", """
     SELECT t.csno, list_transform(t.words, lambda w: CAST(w[2:] AS INTEGER)) AS label,
            list_transform(c.words, lambda w: CAST(w[2:] AS INTEGER)) AS pred
-    FROM fx_truth t JOIN fx_cand c ON c.csno = t.csno AND c.cand_no = 3""")
+    FROM fx_truth t JOIN fx_cand c ON c.csno = t.csno""")
 
 
 def _ids(spark, d):
-    t, c = fx.fx_truth(spark, d), fx.fx_cand(spark, d).where(F.col("cand_no") == 3)
+    t, c = fx.fx_truth(spark, d), fx.fx_cand(spark, d)
     def as_ids(col):
         return F.transform(col, lambda w: F.substring(w, 2, 10).cast("int"))
     return t.select("csno", as_ids("words").alias("label")).join(

@@ -196,6 +196,32 @@ def test_wordpiece_equals_greedy(spark):
         L.wordpiece_encode(wdf, ["i"], "word", vdf, max_vocab=3)
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_piece_trie_equals_greedy(seed):
+    rnd = random.Random(seed)
+    part = lambda n: "".join(rnd.choice("ab#") for _ in range(rnd.randint(1, n)))
+    vocab = {rnd.choice(["", "##"]) + part(5) for _ in range(rnd.randint(1, 25))}
+    trie = L.piece_trie(vocab)
+    for word in [part(12) for _ in range(300)]:
+        assert L.longest_pieces(word, trie, 100, "?") == wordpiece(word, vocab, "?")
+
+
+def test_pieces_of_a_trained_vocabulary(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    trained, _ = V.train_bpe(V.word_frequencies(docs, "text"), 2 + 256 + 500)
+    vocab = {r.token: r.id for r in L.piece_vocabulary(trained).collect()}
+    assert sorted(vocab.values()) == list(range(len(vocab))) and vocab["[UNK]"] == 0
+    assert {"a", "##a", "Z", "##Z", "0", "##9", ".", "##,"} <= set(vocab) and sum(len(t) > 3 for t in vocab) > 200
+    frame = spark.createDataFrame(list(vocab.items()), "token string, id int")
+    got = L.wordpiece_encode(docs, ["doc_id", "text"], "text", frame, unk_id=0, max_length=1015, tasks=4).collect()
+    import regex
+    split = regex.compile(r"[^\s\p{P}!-/:-@\[-`{-~]+|[\p{P}!-/:-@\[-`{-~]")
+    plain = {w: wordpiece(w, vocab) for r in got for w in set(split.findall(r.text))}
+    for r in got:
+        want = [p for w in split.findall(r.text) for p in plain[w]]
+        assert r.tokens == want[:1015] and r.ids == [vocab[t] for t in r.tokens]
+
+
 def lcs(a, b):
     dp = [0] * (len(b) + 1)
     for x in a:
