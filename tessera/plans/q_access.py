@@ -175,6 +175,29 @@ def q_a10(spark, d):
     return back.groupBy("csno", "y_pred_ml").agg(F.count(F.lit(1)).cast("int").alias("copies"))
 
 
+@register("a8_append_run", """
+    SELECT strftime(ts, '%Y%m%d') AS part_dt, 2 * count(*) AS n, 2 AS runs FROM events GROUP BY 1""")
+def q_a8_run(spark, d):
+    """Two runs, the first of them tried twice; a third has no commit record."""
+    path, ev = _scratch(spark, "a8r"), _events_by_day(spark, d)
+    for run in ("r1", "r1", "r2"):
+        SK.append_run(ev, path, run, "part_dt")
+    ev.write.partitionBy("part_dt").parquet(f"{path}/run_id=r3")
+    rows = SK.committed_runs(spark, path, _EV_SCHEMA)
+    return rows.groupBy("part_dt").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("run_id").cast("int").alias("runs"))
+
+
+@register("a10_append_tsv_run", with_fixtures(["fx_eval"], """
+    SELECT csno, '[' || array_to_string(y_pred_ml, ',') || ']' AS y_pred_ml, 2 AS copies FROM fx_eval"""))
+def q_a10_run(spark, d):
+    path = _scratch(spark, "a10r")
+    rows = EV.fixture_label_rows(spark, d).select("csno", "y_pred_ml")
+    for run in ("a", "b", "a"):
+        SK.append_run(rows, path, run, fmt="csv", sep="\t", header="false")
+    back = SK.committed_runs(spark, path, "csno bigint, y_pred_ml string", fmt="csv", sep="\t", header="false")
+    return back.groupBy("csno", "y_pred_ml").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+
+
 @register("a11_typed_export", """
     SELECT CAST(l_orderkey AS INTEGER) AS l_orderkey, l_linenumber,
            CAST(CAST(l_quantity AS DECIMAL(10, 0)) AS INTEGER) AS qty,

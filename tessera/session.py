@@ -84,6 +84,11 @@ def delete_path(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def _delete_run_folder(spark: SparkSession, path: str) -> None:
     try:
         if spark._jsc is not None and not spark._jsc.sc().isStopped():

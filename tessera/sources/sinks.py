@@ -1,17 +1,22 @@
 """Sinks (A8-A12): partitioned appends, dynamic partition overwrite,
 tab-separated appends, typed export, vocabulary files.
 
-Jobs write once per run (not once per batch); retried writes are made
-idempotent by writing under a run or batch id and replacing only that
-partition.
+Jobs write once per run (not once per batch). ``append_partitioned`` and
+``append_tsv`` are plain appends: a run that is tried again adds its rows again.
+``append_run`` writes under a run id, which a second try replaces, and publishes
+the run by a commit record; ``committed_runs`` reads published runs only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import path_exists
 from tessera.sources.casts import retyped
 
 
@@ -60,6 +65,56 @@ def append_tsv(df: DataFrame, path: str, header: bool = False) -> None:
      .csv(path))
 
 
+RUN = "run_id"
+
+
+def append_run(df: DataFrame, target: str, run_id: str, part_col: str | None = None, fmt: str = "parquet",
+               is_path: bool = True, **options) -> None:
+    """A8, A10 for runs that may be tried again: the rows of ``run_id`` replace
+    those of an earlier try, and the run counts from its commit record on (by
+    path: a file in ``target``'s ``_commits`` folder; by name: a row of the
+    table ``<target>_commits``). Until then its rows are not published, and
+    other runs' rows are never touched."""
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]*", run_id):
+        raise ValueError(f"a run id of letters, digits, '.', '_' and '-', not {run_id!r}")
+    spark = df.sparkSession
+    record = spark.createDataFrame([(run_id,)], f"{RUN} string").coalesce(1)
+    parts = [part_col] if part_col else []
+    if is_path:
+        (tsv_ready(df) if fmt == "csv" else df).write.mode("overwrite").partitionBy(*parts).format(fmt).options(**options).save(
+            f"{target}/{RUN}={run_id}")
+        record.write.mode("overwrite").json(f"{target}/_commits/{run_id}")
+        return
+    rows = df.withColumn(RUN, F.lit(run_id))
+    if spark.catalog.tableExists(target):                    # a managed table: dropped partitions lose their files
+        for held in spark.sql(f"SHOW PARTITIONS {target} PARTITION ({RUN} = '{run_id}')").collect():
+            values = (unquote(v).replace("\\", "\\\\").replace("'", "\\'") for v in held[0].split("/"))
+            spec = ", ".join("`{}` = '{}'".format(*v.split("=", 1)) for v in values)
+            spark.sql(f"ALTER TABLE {target} DROP IF EXISTS PARTITION ({spec})")
+    rows.write.mode("append").partitionBy(RUN, *parts).format(fmt).options(**options).saveAsTable(target)
+    log = f"{target}_commits"
+    if not spark.catalog.tableExists(log) or spark.table(log).where(F.col(RUN) == run_id).isEmpty():
+        record.write.mode("append").saveAsTable(log)
+
+
+def committed_runs(spark: SparkSession, target: str, schema: str, fmt: str = "parquet", is_path: bool = True, **options) -> DataFrame:
+    """Rows of the published runs of ``target``, with their ``run_id``;
+    ``schema`` names the rows' own columns (partition columns included)."""
+    fields = [f for f in T._parse_datatype_string(schema).fields if f.name != RUN]
+    wanted = T.StructType([*fields, T.StructField(RUN, T.StringType())])
+    log = f"{target}_commits"
+    if is_path:
+        if not path_exists(spark, f"{target}/_commits"):
+            return spark.createDataFrame([], wanted)
+        runs = spark.read.schema(f"{RUN} string").json(f"{target}/_commits/*").distinct()
+        rows = spark.read.schema(wanted).format(fmt).options(**options).load(target)
+    else:
+        if not spark.catalog.tableExists(log):
+            return spark.createDataFrame([], wanted)
+        runs, rows = spark.table(log).distinct(), spark.table(target).select(*wanted.names)
+    return rows.join(runs, RUN, "left_semi").select(*wanted.names)
+
+
 def export_typed(df: DataFrame, path: str, mode: str = "overwrite", **typing) -> None:
     """The B1 projection, then Parquet. (A bounded ``toPandas`` is the
     caller's choice, after ``limit``.)"""
