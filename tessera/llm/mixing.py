@@ -89,8 +89,8 @@ def mix_to_weights(docs: DataFrame, targets: Mapping[str, float], rest_weight: f
              .select("grp", F.col("rate").alias("mix_rate"), poisson_cdf(F.col("rate")).alias("cdf")))
     own = [F.coalesce(docs[id_col].cast("string"), F.lit("")), F.md5(F.coalesce(docs[text_col].cast("string"), F.lit("")))]
     drawn = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _group(docs[source_col], targets).alias("grp"),
-                        F.concat_ws(":", *own).alias("own"))
-    copies = F.size(F.filter("cdf", lambda c: c <= hash_unit(F.lit(seed), F.col("own"))))
+                        F.concat_ws(":", *own).alias("own"), hash_unit(F.lit(seed), *own).alias("u"))   # before the join: once a row
+    copies = F.size(F.filter("cdf", lambda c: c <= F.col("u")))
     out = (drawn.join(F.broadcast(rates), "grp").withColumn("copies", copies).filter("copies > 0")
            .select("row", "mix_rate", "own", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"))
            .select("row", "mix_rate", "copy_no", F.conv(F.substring(F.md5(F.concat_ws(
