@@ -1,17 +1,22 @@
 """Near-duplicate vectors by spherical-cap filters.
 
 A filter is a cap of the sphere: the vectors whose product with the filter's
-direction is at least ``CAP_DEVIATIONS / sqrt(d)``. Directions come from
-random product codes: after a random rotation the dimensions are cut into two
-halves, each with ``CODES`` random unit vectors, and a direction is one of
-each, so ``CODES ** 2`` directions cost ``2 CODES`` products. List decoding
-finds all directions a vector exceeds: a first half is tried only if the best
-second half could still lift it over the threshold. ``ROTATIONS`` independent
-codes even out the number of caps a vector lies in.
-
-Vectors of one label that share a cap are compared by cosine in double
-precision. With the defaults a vector lies in about 46 of 8,192 caps, and all
-of 3,000 random pairs at a cosine of exactly 0.93 share one (see the tests).
+direction is at least a limit. Directions come from random product codes:
+after a random rotation the dimensions are cut into two halves, each with
+``codes`` random unit vectors, and a direction is one of each, so ``codes ** 2``
+directions cost ``2 codes`` products. List decoding finds all directions a
+vector exceeds: a first half is tried only if the best second half could still
+lift it over the limit. Up to ``ROTATIONS`` independent codes even out the
+number of caps a vector lies in.
+
+The caps follow the data. ``codes`` grows with the root of the distinct vectors
+of a label, so the rows of a cap stay at some ``ROWS_PER_CAP`` while labels
+grow, within ``MIN_CODES``, ``MAX_CODES`` and what few dimensions can tell apart. The limit is fitted for each length of vector and
+code (``fitted_limit``): the largest at which ``PAIRS`` random pairs at exactly
+the wanted cosine share a cap, less ``MARGIN / sqrt(d)``; of 8,000 other such
+pairs none was missed at 64, 16, 4 and 2 dimensions. So it is right for 2 dimensions
+as for 768, and closer pairs share more caps. Vectors of one label that share a
+cap are compared by cosine in double precision.
 
 Equal vectors are one row with a count from the start. A cap with more than
 ``CELL`` rows is dealt as a grid of cells over several tasks. A pair that
@@ -36,18 +41,22 @@ from tessera.llm.common import stage
 from tessera.llm.components import component_roots, merge_labels
 
 MIN_COSINE = 0.93
-ROTATIONS = 8
-CODES = 32
-CAP_DEVIATIONS = 2.5
+ROTATIONS = 16
+ROWS_PER_CAP = 64
+CAPS_PER_VECTOR = 50                                         # about; used to choose the length of the code only
+MIN_CODES, MAX_CODES = 16, 512
+PAIRS = 1000
+MARGIN = 0.15
 CELL = 4096
 QUERY, TARGET = 1, 2
 
 
-def product_codes(dimensions: int, rotations: int = ROTATIONS, codes: int = CODES):
-    """[(rotation, (first codes, second codes))] with directions of length 1."""
+def product_codes(dimensions: int, codes: int, rotations: int = ROTATIONS):
+    """[(rotation, (first codes, second codes))] with directions of length 1;
+    under five dimensions fewer rotations do."""
     import numpy as np
     out = []
-    for r in range(rotations):
+    for r in range(min(rotations, max(1, 4 * (dimensions - 1)))):
         rng = np.random.default_rng([11, r, dimensions])
         rotation, _ = np.linalg.qr(rng.normal(size=(dimensions, dimensions)))
         halves = []
@@ -58,10 +67,29 @@ def product_codes(dimensions: int, rotations: int = ROTATIONS, codes: int = CODE
     return out
 
 
-def list_decode(unit, codes, deviations: float = CAP_DEVIATIONS):
+def fitted_limit(dimensions: int, codes: int, min_cosine: float = MIN_COSINE, pairs: int = PAIRS, margin: float = MARGIN) -> float:
+    """The limit at which simulated pairs at exactly ``min_cosine`` share a cap."""
+    import numpy as np
+    rng = np.random.default_rng([12, dimensions, codes])
+    x, z = rng.normal(size=(2, pairs, dimensions))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)
+    y = min_cosine * x + np.sqrt(1 - min_cosine ** 2) * z
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    best = np.full(pairs, -1.0)
+    for rotation, (first, second) in product_codes(dimensions, codes):
+        cut = first.shape[1]
+        halves = [((u @ rotation)[:, :cut] @ first.T, (u @ rotation)[:, cut:] @ second.T) for u in (x, y)]
+        for lo in range(0, pairs, 16):
+            least = np.minimum(*[a[lo:lo + 16, :, None] + b[lo:lo + 16, None, :] for a, b in halves])
+            best[lo:lo + 16] = np.maximum(best[lo:lo + 16], least.reshape(len(least), -1).max(axis=1))
+    return float(best.min() - margin / np.sqrt(dimensions))
+
+
+def list_decode(unit, codes, limit: float):
     """(row, filter) arrays of all caps that hold the unit vectors, by row."""
     import numpy as np
-    limit = deviations / np.sqrt(unit.shape[1])
     rows, filters = [], []
     for r, (rotation, (first, second)) in enumerate(codes):
         turned = unit @ rotation
@@ -83,6 +111,23 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
         "fit", F.coalesce(F.col("label").isNotNull() & fine, F.lit(False)))
 
 
+def _fitted(classes: DataFrame, min_cosine: float) -> DataFrame:
+    """``classes`` with the code length and cap limit of each row's label and dimensions."""
+    d = F.size("vec")
+    wanted = F.sqrt(F.col("rows") * F.lit(CAPS_PER_VECTOR / (ROWS_PER_CAP * ROTATIONS)))
+    length = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(wanted, F.lit(MIN_CODES)))))
+    sizes = classes.groupBy("label", d.alias("d")).agg(F.count("*").alias("rows")).select(
+        "label", "d", F.least(length, F.floor(F.col("d") * F.col("d") / 2) + 1, F.lit(MAX_CODES)).cast("int").alias("codes"))
+    sizes = stage(sizes.withColumn("codes", F.greatest("codes", F.lit(2))), "cap-sizes")
+
+    def fit(frames: Iterator) -> Iterator:
+        for frame in frames:
+            yield frame.assign(limit=[fitted_limit(d, c, min_cosine) for d, c in zip(frame["d"].tolist(), frame["codes"].tolist())])
+
+    limits = stage(sizes.select("d", "codes").distinct().mapInPandas(fit, "d int, codes int, limit double"), "cap-limits")
+    return classes.withColumn("d", d).join(sizes.join(limits, ["d", "codes"]), ["label", "d"]).drop("d")
+
+
 def _capped(classes: DataFrame, with_vectors: bool) -> DataFrame:
     """One row per class and cap; ``caps`` is the class's whole list."""
     label_type = classes.schema["label"].dataType
@@ -97,19 +142,20 @@ def _capped(classes: DataFrame, with_vectors: bool) -> DataFrame:
         import pyarrow as pa
         codes = {}
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
                 size = np.diff(part.column(3).offsets.to_numpy())
                 flat = part.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                 begin = np.cumsum(size) - size
-                for d in np.unique(size).tolist():
-                    which = np.flatnonzero(size == d)
-                    if d not in codes:
-                        codes[d] = product_codes(d)
+                length, limit = part.column(4).to_numpy(), part.column(5).to_numpy()
+                for d, c in np.unique(np.stack((size, length)), axis=1).T.tolist():
+                    which = np.flatnonzero((size == d) & (length == c))
+                    if (d, c) not in codes:
+                        codes[d, c] = product_codes(d, c)
                     x = flat[begin[which, None] + np.arange(d)]
                     x /= np.abs(x).max(axis=1, keepdims=True)
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    row, cap = list_decode(x, codes[d])
+                    row, cap = list_decode(x, codes[d, c], limit[which[0]])
                     take = pa.array(which[row])
                     columns = [part.column(0).take(take), pa.array(cap), part.column(1).take(take)]
                     if with_vectors:
@@ -119,7 +165,7 @@ def _capped(classes: DataFrame, with_vectors: bool) -> DataFrame:
                         columns += [part.column(2).take(take), part.column(3).take(take), lists.take(pa.array(row))]
                     yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
-    return classes.select("label", "no", "n", "vec").mapInArrow(run, schema)
+    return classes.select("label", "no", "n", "vec", "codes", "limit").mapInArrow(run, schema)
 
 
 def _joined(held, k: int):
@@ -131,6 +177,40 @@ def _joined(held, k: int):
     return np.append(0, np.cumsum(sizes)), values
 
 
+def _share(u, v, lists):
+    """Per pair ``(u[i], v[i])`` of places in ``lists`` (sorted arrays of
+    caps): have the two a cap in common? Few pairs look their caps up, dense
+    groups go through products of blocks of the membership matrix."""
+    import numpy as np
+    size = np.array([len(c) for c in lists])
+    flat = np.concatenate(lists)
+    shared = np.zeros(len(u), bool)
+    if not len(flat):
+        return shared
+    names, column = np.unique(flat, return_inverse=True)
+    rows = np.repeat(np.arange(len(lists)), size)
+    begin = np.cumsum(size) - size
+    some, place = np.unique(u, return_inverse=True)
+    if size[u].sum() * 2000 <= len(some) * len(lists) * len(names):
+        held = rows * len(names) + column                    # sorted, as rows and lists are
+        step = max(1, (1 << 21) // max(1, int(size.max())))
+        for lo in range(0, len(u), step):
+            a, b = u[lo:lo + step], v[lo:lo + step]
+            pair = np.repeat(np.arange(len(a)), size[a])
+            within = np.arange(len(pair)) - np.repeat(np.cumsum(size[a]) - size[a], size[a])
+            looked = b[pair] * len(names) + column[begin[a][pair] + within]
+            at = np.minimum(np.searchsorted(held, looked), len(held) - 1)
+            shared[lo + pair[held[at] == looked]] = True
+        return shared
+    common = np.zeros((len(some), len(lists)), bool)
+    for lo in range(0, len(names), 2048):
+        inside = (column >= lo) & (column < lo + 2048)
+        block = np.zeros((len(lists), 2048), np.float32)
+        block[rows[inside], column[inside] - lo] = 1
+        common |= block[some] @ block.T > 0
+    return common[place, v]
+
+
 def _cell_links(x, no, n, caps, cap: int, role, min_cosine: float):
     """Of one cell: the links counted here by row, and forest links (a, b).
     ``caps`` gives the caps of a row."""
@@ -149,16 +229,7 @@ def _cell_links(x, no, n, caps, cap: int, role, min_cosine: float):
         # a pair counts in its first common cap: look for an earlier one
         members = np.unique(np.concatenate((u, v)))
         earlier = [c[c < cap] for c in map(caps, members.tolist())]
-        flat = np.concatenate(earlier)
-        shared = np.zeros(len(u), bool)
-        if len(flat):
-            names, column = np.unique(flat, return_inverse=True)
-            rows = np.repeat(np.arange(len(members)), [len(c) for c in earlier])
-            held = np.zeros((len(members), len(names)), np.float32)
-            held[rows, column] = 1
-            a, b = np.searchsorted(members, u), np.searchsorted(members, v)
-            common = held[np.unique(a)] @ held.T > 0
-            shared = common[np.searchsorted(np.unique(a), a), b]
+        shared = _share(np.searchsorted(members, u), np.searchsorted(members, v), earlier)
         counted += np.bincount(u[~shared], n[v[~shared]], len(no)).astype(np.int64)
     child = np.flatnonzero(label != np.arange(len(no)))
     return counted, no[child], no[label[child]]
@@ -236,7 +307,7 @@ def vector_groups(vectors: DataFrame, min_cosine: float = MIN_COSINE, id_col: st
     rows = _usable(vectors, id_col, vector_col, label_col)
     classes = stage(rows.filter("fit").groupBy("label", "vec").agg(F.min("id").alias("low"), F.count("*").alias("n"))
                     .withColumn("no", F.monotonically_increasing_id()), "vector-classes")
-    found = _links(classes, min_cosine)
+    found = _links(stage(_fitted(classes, min_cosine), "fitted-classes"), min_cosine)
     roots = component_roots(found.filter("b is not null"))
     counts = found.filter("b is null").groupBy(F.col("a").alias("no")).agg(F.sum("links").alias("links"))
     rooted = stage(classes.join(counts, "no", "left").join(roots, F.col("no") == F.col("node"), "left")

@@ -64,29 +64,54 @@ def test_groups_chains_copies_and_labels(spark, monkeypatch, cell):
     assert sorted(tuple(r) for r in vd.vector_groups(frame).collect()) == plain(rows)
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize("d", [2, 4, 8, 16, 64, 768])
+def test_recall_and_comparisons(d):
     rng = np.random.default_rng(5)
-    codes = vd.product_codes(64)
-    x = rng.normal(size=(2000, 64))
+    length = min(128, d * d // 2 + 1)                        # the length for 100,000 vectors of a label
+    codes, limit = vd.product_codes(d, length), vd.fitted_limit(d, length, pairs=1000 if d < 768 else 300)
+    x = rng.normal(size=(1000, d))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     y = np.array([near(rng, v, 0.93) for v in x])
-    a, b = (set(zip(*(z.tolist() for z in vd.list_decode(u, codes)))) for u in (x, y))
+    a, b = (set(zip(*(z.tolist() for z in vd.list_decode(u, codes, limit)))) for u in (x, y))
     assert len({r for r, _ in a & b}) >= 0.995 * len(x)
+    if d >= 16:                                              # of pairs of a label, those compared
+        _, held = np.unique(vd.list_decode(x, codes, limit)[1], return_counts=True)
+        assert (held * (held - 1) / 2).sum() < (0.02 if d >= 64 else 0.03) * len(x) ** 2   # 0.0245 measured at 16
+
+
+@pytest.mark.parametrize("d", [1, 2, 3, 4, 6, 10])
+def test_few_dimensions(spark, d):
+    rng = np.random.default_rng(d)
+    rows = [(i, rng.normal(size=d).tolist(), i % 2) for i in range(150)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got, want = sorted(tuple(r) for r in vd.vector_groups(frame).collect()), plain(rows)
+    assert got == want and any(r[1] for r in want)
+
+
+@pytest.mark.parametrize("pairs", [40, 60_000])
+def test_first_common_cap(pairs):
+    rng = np.random.default_rng(8)
+    lists = [np.unique(rng.integers(0, 300, rng.integers(0, 12))) for _ in range(200)]
+    u, v = rng.integers(0, 200, (2, pairs))
+    want = [bool(set(lists[a].tolist()) & set(lists[b].tolist())) for a, b in zip(u, v)]
+    assert vd._share(u, v, lists).tolist() == want
+    assert not vd._share(u, v, [np.array([], int)] * 200).any()
 
 
 def test_list_decoding_is_complete():
     rng = np.random.default_rng(6)
-    codes = vd.product_codes(10, 2, 5)
+    codes = vd.product_codes(10, 5, 2)
     x = rng.normal(size=(50, 10))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    got = set(zip(*(z.tolist() for z in vd.list_decode(x, codes, 1.0))))
+    limit = 1 / np.sqrt(10)
+    got = set(zip(*(z.tolist() for z in vd.list_decode(x, codes, limit))))
     want = set()
     for r, (rotation, (first, second)) in enumerate(codes):
         for i in range(5):
             for j in range(5):
                 direction = rotation @ np.concatenate((first[i], second[j]))
                 assert np.isclose(np.linalg.norm(direction), 1)
-                want |= {(k, (r * 5 + i) * 5 + j) for k in np.flatnonzero(x @ direction >= 1 / np.sqrt(10))}
+                want |= {(k, (r * 5 + i) * 5 + j) for k in np.flatnonzero(x @ direction >= limit)}
     assert got == want
 
 
