@@ -8,9 +8,11 @@ one row per word.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ordinals import with_neighbours
+
 SEP = " "
 
 
@@ -34,14 +36,14 @@ def gram_rows(df: DataFrame, ids: list[str], tokens: str, n: int = 1) -> DataFra
 
 def word_gram_rows(words: DataFrame, ids: list[str], n: int = 1, order: tuple[str, ...] = ("ts", "event_id"),
                    word: str = "word", sep: str = SEP) -> DataFrame:
-    """Grams of one row per word, in ``order``; for n = 1 nothing is ordered."""
+    """Grams of one row per word, in ``order``; for n = 1 nothing is ordered.
+    The next words are found in blocks of rows, so a hot id has no task of its
+    own; NULL words make no gram."""
     if n == 1:
         return words.select(*ids, F.col(word).alias("gram"))
-    w = Window.partitionBy(*ids).orderBy(*order)
-    parts = [F.col(word), *[F.lead(word, i).over(w) for i in range(1, n)]]
-    rows = words.select(*ids, *[p.alias(f"_w{i}") for i, p in enumerate(parts)])
-    return rows.where(F.col(f"_w{n - 1}").isNotNull()).select(
-        *ids, F.concat_ws(sep, *[f"_w{i}" for i in range(n)]).alias("gram"))
+    rows = with_neighbours(words.select(*ids, *order, word), ids, list(order), word, after=n - 1)
+    parts = [word, *[f"{word}_after_{i}" for i in range(1, n)]]
+    return rows.dropna(subset=parts).select(*ids, F.concat_ws(sep, *parts).alias("gram"))
 
 
 def gram_counts(rows: DataFrame, ids: list[str]) -> DataFrame:

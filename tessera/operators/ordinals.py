@@ -1,5 +1,6 @@
 """Global ordinals and prefix sums without a single-partition window
-(E4 batches, E5 shards, B9 row slices, and the cumulative counts of D14/E6).
+(E4 batches, E5 shards, B9 row slices, and the cumulative counts of D14/E6),
+and scans inside keys without a window per key (E1, E2, D8).
 
 Two passes: range-partition by the order key and sort inside partitions,
 checkpoint (so every later read sees the same partition of every row), count
@@ -74,6 +75,57 @@ def prefix_sums(df: DataFrame, order_cols: list[str], value_cols: list[str],
     return out.drop(*drop)
 
 
+def segmented_sums(df: DataFrame, keys: list[str], order_cols: list[str], value_cols: list[str],
+                   num_parts: int | None = None, suffix: str = "_upto") -> DataFrame:
+    """Adds ``<v>_upto`` = sum of ``v`` (NULL: 0) over the rows of the same key
+    up to and with this one, in ``order_cols`` order.
+
+    Rows are range-partitioned by key and order, so a key of any size spreads
+    over partitions; a window holds the rows of one key in one partition. What
+    the key has before that partition is carried in. Ranges are sorted, so a
+    partition continues one key at most: the carries are one row per partition
+    at most and are broadcast."""
+    staged = _staged(df, [*keys, *order_cols], num_parts)
+    value = {v: F.coalesce(F.col(v), F.lit(0)) for v in value_cols}
+    inside = Window.partitionBy("_part", *keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    local = staged.select("*", *[F.sum(c).over(inside).alias(f"_loc_{v}") for v, c in value.items()])
+    held = staged.groupBy("_part", *keys).agg(*[F.sum(c).alias(f"_sum_{v}") for v, c in value.items()])
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = held.select(F.col("_part").alias("_to"), *[F.col(k).alias(f"_key_{k}") for k in keys],
+                        F.count(F.lit(1)).over(earlier).alias("_parts_before"),
+                        *[F.sum(f"_sum_{v}").over(earlier).alias(f"_car_{v}") for v in value_cols]).where("_parts_before > 0")
+    same = F.col("_part") == F.col("_to")
+    for k in keys:
+        same = same & local[k].eqNullSafe(F.col(f"_key_{k}"))
+    out = local.join(F.broadcast(carry), same, "left")
+    return out.select(*df.columns, *[(F.col(f"_loc_{v}") + F.coalesce(f"_car_{v}", F.lit(0))).alias(f"{v}{suffix}") for v in value_cols])
+
+
+def with_neighbours(df: DataFrame, keys: list[str], order_cols: list[str], col: str, before: int = 0, after: int = 0,
+                    block: int = 1 << 16, num_parts: int | None = None) -> DataFrame:
+    """Adds ``<col>_before_<i>`` and ``<col>_after_<i>``: the value of ``col``
+    i rows earlier or later within the same key, else NULL, and
+    ``has_before_<i>`` / ``has_after_<i>``, whether there is such a row.
+
+    Rows numbered by key and order are dealt into blocks of ``block``; a block
+    also gets the few rows next to it, so every window has at most
+    ``block + before + after`` rows however long a key is."""
+    if not 0 <= max(before, after) < block:
+        raise ValueError("neighbours must lie within a block")
+    place = F.col("_rn") - 1
+    own = F.floor(place / F.lit(block))
+    rows = row_ordinals(df, [*keys, *order_cols], "_rn", num_parts=num_parts)
+    dealt = rows.withColumn("_block", F.explode(F.array_distinct(F.array(
+        own, F.floor((place + before) / F.lit(block)), F.floor((place - after) / F.lit(block))))))
+    w = Window.partitionBy("_block").orderBy("_rn")
+    added = []
+    for word, shift, most in (("before", F.lag, before), ("after", F.lead, after)):
+        for i in range(1, most + 1):
+            near = F.coalesce(shift(F.struct(*[F.col(k) for k in keys]), i).over(w).eqNullSafe(F.struct(*[F.col(k) for k in keys])), F.lit(False))
+            added += [F.when(near, shift(col, i).over(w)).alias(f"{col}_{word}_{i}"), near.alias(f"has_{word}_{i}")]
+    return dealt.select("*", *added).where(F.col("_block") == own).drop("_rn", "_block")
+
+
 def batch_of(rn: str | Column, batch_size: int) -> Column:              # E4
     r = F.col(rn) if isinstance(rn, str) else rn
     return F.floor((r - 1) / F.lit(batch_size)).cast("long")

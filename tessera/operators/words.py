@@ -1,17 +1,17 @@
 """Generated pieces -> words with probabilities (E1, E2, D12) and the
 id <-> token lookup (C6).
 
-Windows are partitioned by the candidate key, so a window group is one
-candidate's tokens (bounded by the generation length); the following
-aggregations reuse that partitioning (no second shuffle).
+Words are numbered by scans over ranges of (key, position), so a candidate
+of any length spreads over tasks; the aggregations that follow are per word.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import is_piece, is_separator, is_week_token
+from tessera.operators.ordinals import segmented_sums, with_neighbours
 
 
 def _ordered_concat(order: str, text: str):
@@ -26,8 +26,8 @@ def merge_pieces(tokens: DataFrame, keys: list[str], pos: str = "pos", token: st
     word form word 0 with probability 0.0. NULL probabilities are skipped by
     the product and counted in ``n_null``. Of ``candidates`` (keys), those
     without any token give one empty word of probability 0.0."""
-    w = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    t = tokens.withColumn("word_no", F.sum(F.when(is_piece(token), 0).otherwise(1)).over(w))
+    starts = tokens.select(*keys, pos, token, prob, F.when(is_piece(token), 0).otherwise(1).alias("word"))
+    t = segmented_sums(starts, keys, [pos], ["word"]).withColumnRenamed("word_upto", "word_no")
     g = t.groupBy(*keys, "word_no").agg(_ordered_concat(pos, token).alias("word"),
                                          F.product(prob).alias("_p"),
                                          F.count(F.when(F.col(prob).isNull(), 1)).alias("n_null"))
@@ -48,16 +48,13 @@ def glue_week_tokens(words: DataFrame, keys: list[str], order: str = "word_no",
     so chains cannot form; a leading week token stands alone. With
     ``cut_after_separator`` the words after the first separator (with its week
     token) go."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    prev = F.lag(word).over(w)
-    joins = is_week_token(word) & F.coalesce(is_separator(prev), F.lit(False))
-    t = words.withColumn("_join", joins)
-    t = t.withColumn("_grp", F.sum(F.when(F.col("_join"), 0).otherwise(1)).over(
-        w.rowsBetween(Window.unboundedPreceding, 0)))
+    near = with_neighbours(words.select(*keys, order, word, prob), keys, [order], word, before=1)
+    joins = is_week_token(word) & F.coalesce(is_separator(f"{word}_before_1"), F.lit(False))
+    t = near.select(*keys, order, word, prob, F.when(joins, 0).otherwise(1).alias("_own"), is_separator(word).cast("int").alias("_sep"))
+    t = segmented_sums(t, keys, [order], ["_own", "_sep"]).withColumnRenamed("_own_upto", "_grp")
     if cut_after_separator:
-        earlier = F.sum(is_separator(word).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        t = (t.withColumn("_earlier", F.coalesce(earlier, F.lit(0)))
-             .where((F.col("_earlier") == 0) | ((F.col("_earlier") == 1) & F.col("_join"))))
+        earlier = F.col("_sep_upto") - F.coalesce("_sep", F.lit(0))
+        t = t.where((earlier == 0) | ((earlier == 1) & (F.col("_own") == 0)))
     g = t.groupBy(*keys, "_grp").agg(_ordered_concat(order, word).alias(word),
                                       F.product(prob).alias(prob))
     return g.select(*keys, F.col("_grp").alias(order), word, prob)
