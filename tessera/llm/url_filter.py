@@ -1,8 +1,11 @@
 """URL filter: a blocked Bloom filter in front of an exact hash join.
 
-Listed canonical URLs set four bits each in one 64-bit block; the blocks are a
-table of at most ``n_blocks`` rows (16 bytes each, so its broadcast is bounded
-by a parameter, whatever the list's length). A page whose bits are all set is
+Listed canonical URLs set four bits each in one 64-bit block. The list is
+written and counted first, and the filter has a block for every
+``KEYS_PER_BLOCK`` URLs (under 1 % of other URLs pass), ``MAX_BLOCKS`` at most:
+its broadcast is bounded by that parameter, 16 bytes a block, whatever the
+list's length. Beyond ``KEYS_PER_BLOCK * MAX_BLOCKS`` URLs more pages pass the
+filter, and the exact join decides them as before. A page whose bits are all set is
 a possible hit, and only possible hits go to the exact hash join with the list,
 which removes the false positives. Beside the list, path-scoped host rules
 (a short parameter) decide first: a rule fits its host and all subdomains when
@@ -23,6 +26,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import stage
+
 
 class Rule(NamedTuple):
     verdict: str
@@ -38,7 +43,8 @@ PRODUCTION_RULES = (
     Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"),
     Rule("block", "net", "/es/"), Rule("block", "net", "/fr/"),
 )
-N_BLOCKS = 1 << 16
+KEYS_PER_BLOCK = 4
+MIN_BLOCKS, MAX_BLOCKS = 1 << 6, 1 << 20
 BITS_PER_KEY = 4
 
 
@@ -65,7 +71,13 @@ def _block_and_bits(key: Column, n_blocks: int) -> tuple[Column, Column]:
     return F.pmod(h, F.lit(n_blocks)), bits
 
 
-def bloom_filter(listed: DataFrame, key: str = "canonical", n_blocks: int = N_BLOCKS) -> DataFrame:
+def blocks_for(n_keys: int) -> int:
+    """The next power of two that gives every ``KEYS_PER_BLOCK`` keys a block, within the bounds."""
+    wanted = -(-n_keys // KEYS_PER_BLOCK)
+    return max(MIN_BLOCKS, min(MAX_BLOCKS, 1 << max(0, wanted - 1).bit_length()))
+
+
+def bloom_filter(listed: DataFrame, key: str = "canonical", n_blocks: int = MAX_BLOCKS) -> DataFrame:
     """``block, mask``: the filter of the keys, at most ``n_blocks`` rows."""
     block, bits = _block_and_bits(F.col(key), n_blocks)
     return listed.select(block.alias("block"), bits.alias("bits")).groupBy("block").agg(F.bit_or("bits").alias("mask"))
@@ -80,10 +92,11 @@ def _longest_rule(host: Column, path: Column, rules) -> tuple[Column, Column]:
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules=PRODUCTION_RULES, id_col: str = "page_id",
-                url_col: str = "url", n_blocks: int = N_BLOCKS) -> DataFrame:
+                url_col: str = "url", n_blocks: int | None = None) -> DataFrame:
     """``id_col, host, path, rule, listed, verdict`` for every page.
-    ``listed`` has one column ``canonical``."""
-    listed = listed.select("canonical").filter("canonical <> ''").distinct()
+    ``listed`` has one column ``canonical``; ``n_blocks`` follows its count unless given."""
+    listed = stage(listed.select("canonical").filter("canonical <> ''").distinct(), "listed-urls")
+    n_blocks = n_blocks or blocks_for(listed.count())
     host, path = url_parts(pages[url_col])
     judged = pages.select(pages[id_col].alias("id"), host.alias("host"), path.alias("path"))
     rule, by_rule = _longest_rule(F.col("host"), F.col("path"), rules)
@@ -103,7 +116,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=PRODUCTION_RULES, id_
 
 
 #: Host labels whose URLs the production block list takes from the crawl.
-LISTED_LABELS = ("spam-farm", "cheap-pills")
+LISTED_LABELS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 
 def listed_from_crawl(pages: DataFrame, labels=LISTED_LABELS, url_col: str = "url") -> DataFrame:
@@ -118,7 +131,7 @@ WITH p AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
 c AS (SELECT *, regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(\.html|/)$', '') AS canonical FROM p),
-l AS (SELECT DISTINCT canonical FROM c WHERE list_has_any(string_split(host, '.'), ['spam-farm', 'cheap-pills'])),
+l AS (SELECT DISTINCT canonical FROM c WHERE list_has_any(string_split(host, '.'), ['adult-x', 'ads-track', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm'])),
 r(verdict, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
                               ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 best AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(r.verdict, length(rh || rp)) AS by_rule

@@ -27,7 +27,7 @@ def test_rules_and_parts(spark):
 def test_listed_urls_are_exact_whatever_the_filter(spark):
     urls = [f"https://www.h{i % 50}.org/p{i}.html?x" for i in range(2000)] + ["http://h1.org/p1", "http://m.h1.org/p1/"]
     listed = [f"h{i % 50}.org/p{i}" for i in range(0, 2000, 7)] + ["h1.org/p1", "", "h1.org/p1"]
-    for n_blocks in (1, 64, 1 << 16):                        # one block: everything is a possible hit
+    for n_blocks in (1, 64, 1 << 16, None):                  # one block: everything is a possible hit; None: by the count
         got = judged(spark, urls, listed, n_blocks=n_blocks)
         want = {i for i, u in enumerate(urls[:2000]) if f"h{i % 50}.org/p{i}" in set(listed)} | {2000, 2001}
         assert {i for i, r in got.items() if r.listed} == want == {i for i, r in got.items() if r.verdict == "block"}
@@ -43,6 +43,18 @@ def test_filter_passes_few_others(spark):
     assert passed < 0.01 * 20_000 and bloom.count() <= 1 << 12
 
 
+def test_filter_size_follows_the_list():
+    assert [uf.blocks_for(n) for n in (0, 1, 256, 257, 5000)] == [64, 64, 64, 128, 2048]
+    assert uf.blocks_for(4 << 20) == uf.blocks_for(10 ** 12) == uf.MAX_BLOCKS
+
+
+def test_every_listed_family(spark):
+    urls = [f"http://{x}.example.org/{i}" for i, x in enumerate(uf.LISTED_LABELS)] + ["http://adult-xx.example.org/", "http://good.org/spam-farm"]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in uf.filter_urls(frame, uf.listed_from_crawl(frame)).collect()}
+    assert [got[i] for i in range(len(urls))] == ["block"] * len(uf.LISTED_LABELS) + ["allow"] * 2
+
+
 def test_empty_and_repeated(spark):
     assert judged(spark, []) == {}
     frame = spark.createDataFrame([(1, "http://a.org/x"), (1, "http://a.org/x"), (None, None)], "page_id long, url string")
