@@ -22,9 +22,13 @@ def _width(f: T.StructField) -> Column:
     return F.coalesce(F.octet_length(F.to_json(F.col(f"`{f.name}`"))), F.lit(0))
 
 
+def row_width(df: DataFrame) -> Column:
+    """Bytes of a row: the sum of its columns' widths."""
+    return sum((_width(f) for f in df.schema.fields), F.lit(0).cast("long"))
+
+
 def frame_size_mb(df: DataFrame, name: str) -> DataFrame:
     """Sum of per-column byte widths over all rows, in MB (one global,
     partially aggregated sum)."""
-    row = sum((_width(f) for f in df.schema.fields[1:]), _width(df.schema.fields[0]))
-    return df.agg(F.round(F.sum(row) / F.lit(1048576.0), 6).alias("mb")).select(
+    return df.agg(F.round(F.sum(row_width(df)) / F.lit(1048576.0), 6).alias("mb")).select(
         F.lit(name).alias("table_name"), "mb")

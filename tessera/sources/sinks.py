@@ -10,13 +10,15 @@ the run by a commit record; ``committed_runs`` reads published runs only.
 from __future__ import annotations
 
 import re
+import uuid
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import path_exists
+from tessera.operators.stats import row_width
+from tessera.session import delete_path, path_exists, scratch_path
 from tessera.sources.casts import retyped
 
 
@@ -116,11 +118,32 @@ def committed_runs(spark: SparkSession, target: str, schema: str, fmt: str = "pa
 
 
 def export_typed(df: DataFrame, path: str, mode: str = "overwrite", **typing) -> None:
-    """The B1 projection, then Parquet. (A bounded ``toPandas`` is the
-    caller's choice, after ``limit``.)"""
+    """The B1 projection, then Parquet."""
     retyped(df, **typing).write.mode(mode).parquet(path)
 
 
+class ResultTooLarge(ValueError):
+    """A local result over its limit of rows or bytes; nothing was sent."""
+
+
+def local_result(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 64 << 20, **typing):
+    """A11 for the driver: the B1 projection (with ``typing``) as an Arrow
+    table. The rows are written once, and their number and bytes are summed on
+    the cluster before any is sent: over a limit ``ResultTooLarge`` is raised,
+    and rows are never cut. The written copy is deleted afterwards."""
+    typed = retyped(df, **typing) if typing else df
+    path = scratch_path(df.sparkSession, f"local-result-{uuid.uuid4().hex}")
+    try:
+        typed.write.parquet(path)
+        held = df.sparkSession.read.schema(typed.schema).parquet(path)
+        rows, size = held.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_width(held)), F.lit(0))).head()
+        if rows > max_rows or size > max_bytes:
+            raise ResultTooLarge(f"{rows} rows of {size} bytes; the limits are {max_rows} rows and {max_bytes} bytes")
+        return held.toArrow()
+    finally:
+        delete_path(df.sparkSession, path)
+
+
 def save_tokenizer(vocab: DataFrame, merges: DataFrame, folder: str) -> None:
     """Vocabulary (token, id) and merges (rank, left, right), each as
     Parquet and as JSON lines."""
