@@ -3,25 +3,25 @@
 Fingerprint: 64 majority bits of the XXH64 hashes of word shingles.
 
 Linking all pairs within ``max_bits`` = t: the 64 bits are cut into three
-blocks of 21, 21 and 22 bits, and of any linked pair one block differs in at
-most floor(t / 3) = t' bits. Each block, set into 23 bits, is covered by the
+blocks of 21, 21 and 22 bits. Each block, set into 23 bits, is covered by the
 perfect binary Golay code: every word lies within R = 3 bits of exactly one of
-4,096 code words, the anchors. A fingerprint is at home at that anchor, and is
-replicated to every anchor within R + t' bits, so at the home anchor of one
-partner the other is present too. There full 64-bit distances are compared.
+4,096 code words. An anchor is a pair of code words of two blocks. Some two
+blocks of a linked pair differ in at most floor(2 t / 3) = t' bits together, so
+a fingerprint is at home at the anchor of its own two words and is replicated
+to every anchor that t' bits beyond the radius can explain: at the home anchor
+of one partner the other is present too. There full 64-bit distances are
+compared. With t = 4 that is 183 rows a fingerprint and 24 bits of selectivity.
 
-With ``width`` = 2 an anchor is a pair of code words of two blocks: some two
-blocks of a linked pair differ in at most floor(2 t / 3) bits together, and a
-replica goes to every pair of words that those bits can explain beyond the
-radius. That is 24 bits of selectivity instead of 12 for 183 rows a
-fingerprint instead of 19: the choice for more than some hundred million
-distinct fingerprints. The links found are the same.
+``width`` = 1 takes one block an anchor (12 bits, 19 rows a fingerprint); the
+links found are the same, for some 350 times as many comparisons.
 
 An anchor whose homes x replicas exceed ``PAIR_WORK`` comparisons is dealt
 over several tasks: its replicas by hash, its homes copied to each. The counts
-that decide this have one row per anchor; only crowded ones are kept. Equal fingerprints
-are one row from the start, so copies cost nothing, and an anchor returns a
-spanning forest of its links, never its pairs.
+that decide this are taken by the anchor's first word, then by anchor where
+that leaves the question open; the crowded anchors are a written table, which
+Spark broadcasts or shuffles by its size. Equal fingerprints are one row from
+the start, so copies cost nothing, and an anchor returns a spanning forest of
+its links, never its pairs.
 
 Defined results: null and empty texts have fingerprint zero, which links like
 any other; fewer words than a shingle give one shingle of all words; repeated
@@ -47,6 +47,7 @@ HASH_SEED = 42
 #: The generator polynomial of the binary Golay code and its sizes.
 GOLAY_POLYNOMIAL, GOLAY_LENGTH, GOLAY_CHECK_BITS, GOLAY_RADIUS = 0xC75, 23, 11, 3
 BLOCKS = ((0, 21), (21, 21), (42, 22))                       # (first bit, bits)
+WIDTH = 2                                                    # code words of an anchor
 PAIR_WORK = 1 << 27                                          # comparisons of one task's group
 
 
@@ -128,7 +129,7 @@ def _errors_by_syndrome(reach: int):
     return patterns[order], first
 
 
-def anchored(distinct: DataFrame, max_bits: int = MAX_BITS, width: int = 1) -> DataFrame:
+def anchored(distinct: DataFrame, max_bits: int = MAX_BITS, width: int = WIDTH) -> DataFrame:
     """``anchor, fp, home``: each fingerprint at every anchor within reach.
     An anchor is ``width`` code words of as many blocks."""
     from itertools import combinations
@@ -176,30 +177,40 @@ def anchored(distinct: DataFrame, max_bits: int = MAX_BITS, width: int = 1) -> D
     return distinct.select("fp").mapInArrow(run, "anchor long, fp long, home boolean")
 
 
-def _forest(homes, others, max_bits: int):
-    """Spanning forest (a, b) of the links between two arrays of fingerprints."""
+def _forest(fp, home, start, max_bits: int):
+    """Spanning forest (a, b) of the links inside groups of rows: distinct
+    fingerprints, whether each is at home, and the first row of each group."""
     import numpy as np
-    nodes, where = np.unique(np.concatenate((homes, others)), return_inverse=True)
-    h, o = where[:len(homes)], where[len(homes):]
-    label = np.arange(len(nodes))
-    step = max(1, (1 << 20) // max(1, len(others)))
-    for lo in range(0, len(homes), step):
-        near = np.bitwise_count(homes[lo:lo + step, None] ^ others[None, :]) <= max_bits
-        u, v = np.nonzero(near)
-        merge_labels(label, h[lo + u], o[v])
-    child = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[child], nodes[label[child]]
-
-
-def links(distinct: DataFrame, max_bits: int = MAX_BITS, width: int = 1) -> DataFrame:
+    size = np.diff(np.append(start, len(fp)))
+    of_row = np.repeat(np.arange(len(start)), size)
+    homes = np.flatnonzero(home)
+    n = size[of_row[homes]]
+    past = np.cumsum(n)
+    label = np.arange(len(fp))
+    lo = 0
+    while lo < len(homes):                                   # as many homes as compare a million rows, one at least
+        hi = max(lo + 1, int(np.searchsorted(past, past[lo] - n[lo] + (1 << 20), "right")))
+        u = np.repeat(homes[lo:hi], n[lo:hi])
+        first = past[lo:hi] - n[lo:hi] - (past[lo] - n[lo])
+        v = np.arange(len(u)) + np.repeat(start[of_row[homes[lo:hi]]] - first, n[lo:hi])
+        near = np.bitwise_count(fp[u] ^ fp[v]) <= max_bits
+        merge_labels(label, u[near], v[near])
+        lo = hi
+    child = np.flatnonzero(label != np.arange(len(fp)))
+    return fp[child], fp[label[child]]
+
+
+def links(distinct: DataFrame, max_bits: int = MAX_BITS, width: int = WIDTH) -> DataFrame:
     """``a, b``: links that connect exactly the fingerprints (distinct rows of
     ``fp``) joined by chains of distances <= ``max_bits``."""
     rows = anchored(distinct, max_bits, width)
-    work = (rows.groupBy("anchor").agg(F.count("*").alias("r"), F.count_if("home").alias("h"))
-            .select("anchor", F.ceil(F.col("r") * F.col("h") / PAIR_WORK).cast("int").alias("ways"))
-            .filter("ways > 1"))
-    if width == 1:
-        work = F.broadcast(work)                             # at most 3 x 4,096 rows
+    area = F.shiftright("anchor", GOLAY_LENGTH)              # the first word of a pair: at most 3 x 4,096 areas
+    counts = F.count("*").alias("r"), F.count_if("home").alias("h")
+    crowded = F.col("r") * F.col("h") > PAIR_WORK
+    open_areas = rows.groupBy(area.alias("area")).agg(*counts).filter(crowded).select("area")
+    work = stage(rows.join(F.broadcast(open_areas), area == F.col("area"), "left_semi")
+                 .groupBy("anchor").agg(*counts).filter(crowded)
+                 .select("anchor", F.ceil(F.col("r") * F.col("h") / PAIR_WORK).cast("int").alias("ways")), "crowded-anchors")
     dealt = rows.join(work, "anchor", "left").withColumn("ways", F.coalesce("ways", F.lit(1)))
     everywhere = F.sequence(F.lit(0), F.col("ways") - 1)
     own = F.array(F.pmod(F.xxhash64("fp"), F.col("ways")).cast("int"))
@@ -210,27 +221,28 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, width: int = 1) -> Data
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        held, key = [], None
+        held, key = [], None                                 # the rows of the last group so far
 
         def emit(parts):
-            fp = np.concatenate([p[0] for p in parts]).view(np.uint64)
-            home = np.concatenate([p[1] for p in parts])
-            a, b = _forest(fp[home], fp, max_bits)
+            anchor, fp, home, deal = (np.concatenate(c) for c in zip(*parts))
+            start = np.concatenate(([0], np.flatnonzero((anchor[1:] != anchor[:-1]) | (deal[1:] != deal[:-1])) + 1))
+            a, b = _forest(fp.view(np.uint64), home, start, max_bits)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:
-            anchor, deal = batch.column(0).to_numpy(), batch.column(3).to_numpy()
-            fp, home = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(anchor) | np.diff(deal)) + 1, [len(anchor)]))
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if lo == hi:
-                    continue
-                now = anchor[lo], deal[lo]
-                if held and now != key:
-                    yield emit(held)
-                    held = []
-                key = now
-                held.append((fp[lo:hi], home[lo:hi]))
+            if not len(batch):
+                continue
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            anchor, deal = rows[0], rows[3]
+            last = anchor[-1], deal[-1]
+            if last == key:
+                held.append(rows)
+                continue
+            differ = np.flatnonzero((anchor != last[0]) | (deal != last[1]))
+            at = int(differ[-1]) + 1 if len(differ) else 0
+            if held or at:
+                yield emit(held + [[c[:at] for c in rows]])
+            held, key = [[c[at:] for c in rows]], last
         if held:
             yield emit(held)
 
