@@ -203,7 +203,9 @@ def _forest(fp, home, start, max_bits: int):
 def links(distinct: DataFrame, max_bits: int = MAX_BITS, width: int = WIDTH) -> DataFrame:
     """``a, b``: links that connect exactly the fingerprints (distinct rows of
     ``fp``) joined by chains of distances <= ``max_bits``."""
-    rows = anchored(distinct, max_bits, width)
+    # a row becomes many: as many tasks as a shuffle has, not as few as the small table's files
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = anchored(distinct.select("fp").repartition(tasks, "fp"), max_bits, width)
     area = F.shiftright("anchor", GOLAY_LENGTH)              # the first word of a pair: at most 3 x 4,096 areas
     counts = F.count("*").alias("r"), F.count_if("home").alias("h")
     crowded = F.col("r") * F.col("h") > PAIR_WORK
