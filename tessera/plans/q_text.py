@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import overlap as O
 from tessera.operators import metrics as M
 from tessera.operators import ngrams as N
+from tessera.operators.lcs import long_word_recall
 from tessera.operators.ordinals import batch_of, row_ordinals, shard_of, shard_start
 from tessera.plans import fixtures as fx
 from tessera.plans.catalog import r6, register
@@ -206,3 +207,27 @@ def q_h12_conv(spark, d):
     a = cv.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("cand"))
     p = u.join(a, ["conv_id", "turn"])
     return p.select("conv_id", "turn", r6(O.rouge_l_recall("answer", "cand")).alias("rouge"))
+
+
+@register("h12_long_form_conversations", with_fixtures([], f"""
+    SELECT conv_id, turn, CAST({lcs_sql('aw', 'cw')} AS BIGINT) AS lcs, CAST(len(aw) AS BIGINT) AS n_words,
+           round({lcs_sql('aw', 'cw')} / len(aw), 6) AS recall
+    FROM (SELECT conv_id, turn, {words_sql('answer')} AS aw, {words_sql('cand')} AS cw FROM conv_pair)
+    WHERE len(aw) > 0 AND len(cw) > 0""", [_CONV]))
+def q_h12_long(spark, d):
+    cv = table(spark, d, "conversations")
+    def words(role, turn):
+        return cv.where(F.col("role") == role).select("conv_id", turn.alias("turn"), F.posexplode(O.words_of("text")).alias("pos", "word"))
+    keys = ["conv_id", "turn"]
+    found = long_word_recall(words("user", F.col("turn")), words("assistant", F.col("turn") - 1), keys, keys)
+    return found.withColumn("recall", r6("recall"))
+
+
+@register("h12_long_form_candidates", with_fixtures(["fx_truth", "fx_cand"], f"""
+    SELECT c.csno, c.cand_no, CAST({lcs_sql('t.words', 'c.words')} AS BIGINT) AS lcs, CAST(len(t.words) AS BIGINT) AS n_words,
+           round({lcs_sql('t.words', 'c.words')} / len(t.words), 6) AS recall
+    FROM fx_cand c JOIN fx_truth t USING (csno)"""))
+def q_h12_candidates(spark, d):
+    t = fx.fx_truth(spark, d).select("csno", F.posexplode("words").alias("pos", "word"))
+    c = fx.fx_cand(spark, d).select("csno", "cand_no", F.posexplode("words").alias("pos", "word"))
+    return long_word_recall(t, c, ["csno"], ["csno", "cand_no"]).withColumn("recall", r6("recall"))
