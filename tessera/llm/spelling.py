@@ -1,8 +1,9 @@
 """Spelling variants: words one edit apart, by a relational trie frontier.
 
-**Words.** Each task counts the words of its texts and sends one partial row a
-word (several beyond ``HELD_WORDS`` words), so a very frequent word costs no
-more than another.
+**Words.** Each task counts the words of its texts in lots of ``HELD_WORDS``
+distinct words, and Spark's partial aggregation adds the lots up before the
+shuffle, where it may spill: a very frequent word costs no more than another,
+and a task's Python holds one lot whatever its texts.
 
 **Trie.** Every frequent word is a path of nodes, a node being the prefix that
 leads to it; the edge table holds one row per node below another, with the
@@ -45,61 +46,67 @@ MIN_COUNT = 5
 FORM_RATIO = 5
 #: One word in so many, chosen by a hash of document and word, loses a letter.
 NOISE = 199
-HELD_WORDS = 500_000
+HELD_WORDS = 1 << 15
 #: Letters up to which pairs are found in the trie (one more on one side).
 TRIE_LENGTH = 48
 
 
 # ---------------------------------------------------------------------- words
 
+def _counted_lots(batches: Iterator, min_length: int, noise: int | None) -> Iterator:
+    """``word, n`` batches of (identifier, text) batches, a lot at a time."""
+    import zlib
+    from collections import Counter
+    from itertools import islice
+
+    import pyarrow as pa
+    letters = bytearray(b" " * 256)                           # Latin-1: letters stay, A-Z in lower case
+    for c in [*range(0x61, 0x7B), *range(0xC0, 0x100)]:
+        letters[c] = c
+    for c in range(0x41, 0x5B):
+        letters[c] = c + 32
+    crc = zlib.crc32
+    held: Counter = Counter()
+
+    def emit():
+        rows = ((w, n) for b, n in held.items() if n and len(w := b.decode()) >= min_length)
+        while some := list(islice(rows, 10_000)):
+            words, counts = zip(*some)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=["word", "n"])
+        held.clear()
+
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 64):
+            rows = batch.slice(lo, 64)
+            for ident, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                if not text:
+                    continue
+                runs = text.encode("latin-1", "replace").translate(letters)
+                if not runs.isascii():
+                    runs = runs.decode("latin-1").encode()
+                words = [w for w in runs.split() if len(w) >= min_length]
+                held.update(words)
+                if noise:
+                    begin = crc(b"%s:" % str("" if ident is None else ident).encode())
+                    for w in words:
+                        h = crc(w, begin)
+                        if not h % noise:
+                            held[w] -= 1
+                            whole = w.decode()
+                            at = h % len(whole)
+                            held[(whole[:at] + whole[at + 1:]).encode()] += 1
+            if len(held) >= HELD_WORDS:
+                yield from emit()
+    yield from emit()
+
+
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH,
                 noise: int | None = NOISE) -> DataFrame:
     """``word, n``: letter runs of A-Z, a-z and U+00C0 to U+00FF, A-Z in lower
     case, of at least ``min_length`` code points; with ``noise``, after one
     run in so many has lost a letter."""
     def run(batches: Iterator) -> Iterator:
-        import zlib
-        from collections import Counter
-
-        import pyarrow as pa
-        letters = bytearray(b" " * 256)                       # Latin-1: letters stay, A-Z in lower case
-        for c in [*range(0x61, 0x7B), *range(0xC0, 0x100)]:
-            letters[c] = c
-        for c in range(0x41, 0x5B):
-            letters[c] = c + 32
-        crc = zlib.crc32
-        held: Counter = Counter()
-
-        def emit():
-            rows = [(w, n) for b, n in held.items() if n and len(w := b.decode()) >= min_length]
-            for lo in range(0, len(rows), 20_000):
-                words, counts = zip(*rows[lo:lo + 20_000])
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=["word", "n"])
-            held.clear()
-
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                rows = batch.slice(lo, 256)
-                for ident, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                    if not text:
-                        continue
-                    runs = text.encode("latin-1", "replace").translate(letters)
-                    if not runs.isascii():
-                        runs = runs.decode("latin-1").encode()
-                    words = [w for w in runs.split() if len(w) >= min_length]
-                    held.update(words)
-                    if noise:
-                        begin = crc(b"%s:" % str("" if ident is None else ident).encode())
-                        for w in words:
-                            h = crc(w, begin)
-                            if not h % noise:
-                                held[w] -= 1
-                                whole = w.decode()
-                                at = h % len(whole)
-                                held[(whole[:at] + whole[at + 1:]).encode()] += 1
-                if len(held) >= HELD_WORDS:
-                    yield from emit()
-        yield from emit()
+        return _counted_lots(batches, min_length, noise)
 
     parts = docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(run, "word string, n long")
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
