@@ -34,36 +34,45 @@ def chunk_lengths(df: DataFrame, keys: list[str], length, context_length: int) -
 
 
 def chunk_sequences(df: DataFrame, keys: list[str], ids: str, context_length: int,
-                    mask: str | None = None) -> DataFrame:
+                    mask: str | None = None, packed: bool = False) -> DataFrame:
     """I1 ``group_texts``: one row per chunk of ``context_length`` ids (the last
     may be shorter; an empty sequence gives no row), with the mask sliced the
-    same way (all ones when absent) and type ids of zeros as long as the chunk."""
-    size = F.size(ids)
+    same way (all ones when absent) and type ids of zeros as long as the chunk.
+    ``packed``: ``ids`` is a text whose characters are the ids (``code_points``)
+    and ``input_ids`` stays one, for a shuffle of a byte an id, not four."""
+    count = F.length if packed else F.size
+    size = count(ids)
     starts = F.when(size > 0, F.sequence(F.lit(0), size - 1, F.lit(context_length))).otherwise(
         F.array().cast("array<int>"))
     ex = df.select(*keys, ids, *([mask] if mask else []), F.posexplode(starts).alias("chunk_no", "_start"))
-    chunk = F.slice(ids, F.col("_start") + 1, context_length)
+    first = F.col("_start") + 1
+    chunk = F.substr(F.col(ids), first, F.lit(context_length)) if packed else F.slice(ids, first, context_length)
     out = ex.withColumn("input_ids", chunk)
-    m = F.slice(mask, F.col("_start") + 1, context_length) if mask else F.array_repeat(F.lit(1), F.size("input_ids"))
+    m = F.slice(mask, first, context_length) if mask else F.array_repeat(F.lit(1), count("input_ids"))
     return out.select(*keys, "chunk_no", "input_ids", m.alias("attention_mask"),
-                      F.array_repeat(F.lit(0), F.size("input_ids")).alias("token_type_ids"))
+                      F.array_repeat(F.lit(0), count("input_ids")).alias("token_type_ids"))
 
 
 def pad_batches(df: DataFrame, order_cols: list[str], batch_size: int, ids: str, pad_id: int = 0,
                 side: str = "left", max_length: int | None = None,
-                lengths: DataFrame | None = None) -> DataFrame:
+                lengths: DataFrame | None = None, packed: bool = False) -> DataFrame:
     """I4 as a job: batches of ``batch_size`` rows in ``order_cols`` order.
 
     Ordinals and batch widths are computed on a narrow (keys, length) table;
     the wide id arrays are shuffled once, by the join that brings the width,
     and padded row-locally. ``lengths`` (keys + ``_n``, after the cut) may be
-    given when it is cheaper to derive than the arrays themselves."""
+    given when it is cheaper to derive than the arrays themselves. ``packed``:
+    ``ids`` is a text whose characters are the ids; it is shuffled as such and
+    made an array after the join."""
     from tessera.operators.ordinals import batch_of, row_ordinals
-    x = F.slice(ids, 1, max_length) if max_length else F.col(ids)
-    lens = lengths if lengths is not None else df.select(*order_cols, F.size(x).alias("_n"))
+    cut, count = (F.substring, F.length) if packed else (F.slice, F.size)
+    x = cut(ids, 1, max_length) if max_length else F.col(ids)
+    lens = lengths if lengths is not None else df.select(*order_cols, count(x).alias("_n"))
     o = row_ordinals(lens, order_cols).withColumn("batch_id", batch_of("rn", batch_size))
     widths = o.withColumn("_w", F.max("_n").over(Window.partitionBy("batch_id"))).select(*order_cols, "batch_id", "_w")
-    t = df.withColumn(ids, x).join(widths, order_cols).withColumn("_n", F.size(ids))
+    t = df.withColumn(ids, x).join(widths, order_cols).withColumn("_n", count(ids))
+    if packed:
+        t = t.withColumn(ids, code_points(ids))
     pad = F.array_repeat(F.lit(pad_id), F.col("_w") - F.col("_n"))
     zeros = F.array_repeat(F.lit(0), F.col("_w") - F.col("_n"))
     ones = F.array_repeat(F.lit(1), F.col("_n"))
@@ -75,9 +84,9 @@ def pad_batches(df: DataFrame, order_cols: list[str], batch_size: int, ids: str,
 
 
 def collate_batches(df: DataFrame, order_cols: list[str], batch_size: int, ids: str, pad_id: int = 0,
-                    lengths: DataFrame | None = None) -> DataFrame:
+                    lengths: DataFrame | None = None, packed: bool = False) -> DataFrame:
     """I5 as a job (see ``pad_batches``): right padding, pads -> -100 labels."""
-    t = pad_batches(df, order_cols, batch_size, ids, pad_id, side="right", lengths=lengths)
+    t = pad_batches(df, order_cols, batch_size, ids, pad_id, side="right", lengths=lengths, packed=packed)
     return t.withColumn("labels", F.transform(ids, lambda v: F.when(v == pad_id, F.lit(-100)).otherwise(v)))
 
 
