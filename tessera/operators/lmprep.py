@@ -210,6 +210,11 @@ def longest_pieces(word: str, trie, max_chars: int, unk: str) -> list[str]:
     return out
 
 
+#: Words a task remembers the pieces of, and rows it makes Python values of at once.
+KNOWN_WORDS = 1 << 16
+ENCODE_ROWS = 128
+
+
 def wordpiece_encode(texts: DataFrame, keys: list[str], text: str, vocab: DataFrame,
                      keep_whole: str | None = None, unk: str = "[UNK]", unk_id: int | None = None,
                      max_length: int | None = None, max_chars: int = 100, max_vocab: int = 1_000_000,
@@ -217,8 +222,9 @@ def wordpiece_encode(texts: DataFrame, keys: list[str], text: str, vocab: DataFr
     """Texts -> keys + ``tokens`` + ``ids``, cut to ``max_length``.
 
     The words are split in the JVM; their pieces are found where the text
-    lies, in Arrow batches that remember each word, so no text or word is
-    shuffled. The vocabulary's trie is built once and broadcast: it may have at
+    lies, in Arrow batches that remember ``KNOWN_WORDS`` words, ``ENCODE_ROWS``
+    texts at a time, so no text or word is shuffled and a task's Python holds
+    as much whatever the table. The vocabulary's trie is built once and broadcast: it may have at
     most ``max_vocab`` tokens, the limit a tokenizer is trained to; more is an
     error. ``tasks`` deals the texts to that many tasks first, for inputs of
     few large splits.
@@ -235,28 +241,35 @@ def wordpiece_encode(texts: DataFrame, keys: list[str], text: str, vocab: DataFr
         import pyarrow as pa
         trie, ids = sent.value
         known: dict[str, list[str]] = {}
-        for batch in batches:
-            tokens, numbers = [], []
-            for words in batch.column(len(keys)).to_pylist():
-                out: list[str] = []
-                for word in words or ():
-                    pieces = known.get(word)
-                    if pieces is None:
-                        if len(known) >= max_vocab:
-                            known.clear()
-                        pieces = known[word] = longest_pieces(word, trie, max_chars, unk)
-                    out += pieces
-                    if max_length and len(out) >= max_length:
-                        del out[max_length:]
-                        break
-                tokens.append(out)
-                numbers.append([ids.get(t, unk_id) for t in out])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:len(keys)], pa.array(tokens, pa.list_(pa.string())), pa.array(numbers, pa.list_(pa.int32()))],
-                names=schema.names)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ENCODE_ROWS):
+                batch = whole.slice(lo, ENCODE_ROWS)
+                tokens, numbers = [], []
+                for words in batch.column(len(keys)):
+                    out: list[str] = []
+                    for word in words.as_py() or ():
+                        pieces = known.get(word)
+                        if pieces is None:
+                            pieces = longest_pieces(word, trie, max_chars, unk)
+                            if len(word) <= max_chars:
+                                if len(known) >= KNOWN_WORDS:
+                                    known.clear()
+                                known[word] = pieces
+                        out += pieces
+                        if max_length and len(out) >= max_length:
+                            del out[max_length:]
+                            break
+                    tokens.append(out)
+                    numbers.append([ids.get(t, unk_id) for t in out])
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:len(keys)], pa.array(tokens, pa.list_(pa.string())), pa.array(numbers, pa.list_(pa.int32()))],
+                    names=schema.names)
 
     dealt = texts.repartition(tasks) if tasks else texts
-    return dealt.select(*keys, basic_words(text, keep_whole).alias("words")).mapInArrow(run, schema)
+    words = basic_words(text, keep_whole)
+    if max_length:                                           # a word has a piece at least
+        words = F.slice(words, 1, max_length)
+    return dealt.select(*keys, words.alias("words")).mapInArrow(run, schema)
 
 
 def piece_vocabulary(trained: DataFrame, unk: str = "[UNK]") -> DataFrame:
