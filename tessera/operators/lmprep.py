@@ -187,7 +187,7 @@ def piece_trie(tokens) -> tuple[list[dict], list[int], list[list[str]]]:
     return children, link, pops
 
 
-def longest_pieces(word: str, trie, max_chars: int, unk: str) -> list[str]:
+def longest_pieces(word: str, trie, max_chars: int, unk) -> list:
     """Greedy longest-match-first pieces of one word ('##' after the first), in
     time linear in the word; a word with a gap, or longer than ``max_chars``
     (the tokenizer's rule), is ``unk``."""
@@ -196,12 +196,14 @@ def longest_pieces(word: str, trie, max_chars: int, unk: str) -> list[str]:
     children, link, pops = trie
     node, out = 0, []
     for c in word:
-        while c not in children[node]:
-            if link[node] < 0:
-                return [unk]
+        below = children[node].get(c)
+        while below is None:
             out += pops[node]
             node = link[node]
-        node = children[node][c]
+            if node < 0:
+                return [unk]
+            below = children[node].get(c)
+        node = below
     while node != 1:
         if link[node] < 0:
             return [unk] if word else []
@@ -210,9 +212,34 @@ def longest_pieces(word: str, trie, max_chars: int, unk: str) -> list[str]:
     return out
 
 
-#: Words a task remembers the pieces of, and rows it makes Python values of at once.
+#: Words a task remembers the pieces of, and rows whose distinct words it makes Python values of at once.
 KNOWN_WORDS = 1 << 16
-ENCODE_ROWS = 128
+ENCODE_ROWS = 1024
+
+
+def _pieces_of_rows(words, pieces, max_length: int | None = None):
+    """Offsets and numbers of the pieces of rows of words (an Arrow list
+    array), each row cut to ``max_length``. Arrow numbers the distinct words;
+    ``pieces(word)`` is asked once for each."""
+    from itertools import chain
+
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    coded = words.flatten().dictionary_encode()
+    which = coded.indices.to_numpy()
+    found = [pieces(w) for w in coded.dictionary.to_pylist()]
+    counts = np.fromiter(map(len, found), np.int64, len(found))
+    flat = np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum()))
+    of_word = counts[which]
+    ends = np.append(0, np.cumsum(of_word))
+    at = np.repeat((np.cumsum(counts) - counts)[which] - ends[:-1], of_word) + np.arange(ends[-1])
+    row_ends = ends[np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy()))]
+    of_row = np.diff(row_ends)
+    if max_length:
+        at = at[np.arange(len(at)) - np.repeat(row_ends[:-1], of_row) < max_length]
+        of_row = np.minimum(of_row, max_length)
+    return pa.array(np.append(0, np.cumsum(of_row)).astype(np.int32)), pa.array(flat[at])
 
 
 def wordpiece_encode(texts: DataFrame, keys: list[str], text: str, vocab: DataFrame,
@@ -224,7 +251,9 @@ def wordpiece_encode(texts: DataFrame, keys: list[str], text: str, vocab: DataFr
     The words are split in the JVM; their pieces are found where the text
     lies, in Arrow batches that remember ``KNOWN_WORDS`` words, ``ENCODE_ROWS``
     texts at a time, so no text or word is shuffled and a task's Python holds
-    as much whatever the table. The vocabulary's trie is built once and broadcast: it may have at
+    as much whatever the table. The distinct words of these texts are looked up
+    once each, and the rows are put together as arrays. The vocabulary's trie is
+    built once and broadcast: it may have at
     most ``max_vocab`` tokens, the limit a tokenizer is trained to; more is an
     error. ``tasks`` deals the texts to that many tasks first, for inputs of
     few large splits.
@@ -233,36 +262,36 @@ def wordpiece_encode(texts: DataFrame, keys: list[str], text: str, vocab: DataFr
     if len(rows) > max_vocab:
         raise ValueError(f"a word-piece vocabulary of more than {max_vocab} tokens")
     ids = {r["token"]: r["id"] for r in rows}
-    sent = texts.sparkSession.sparkContext.broadcast((piece_trie(ids), ids))
+    names = list(dict.fromkeys([*ids, unk]))                 # a piece is its place here until it is written
+    place = {t: k for k, t in enumerate(names)}
+    children, link, pops = piece_trie(ids)
+    sent = texts.sparkSession.sparkContext.broadcast((
+        (children, link, [[place[t] for t in p] for p in pops]), place[unk], names, [ids.get(t, unk_id) for t in names]))
     schema = (texts.select(*keys).schema.add("tokens", T.ArrayType(T.StringType()))
               .add("ids", T.ArrayType(T.IntegerType())))
 
     def run(batches):
         import pyarrow as pa
-        trie, ids = sent.value
-        known: dict[str, list[str]] = {}
+        trie, gap, names, ids = sent.value
+        tokens, numbers = pa.array(names, pa.string()), pa.array(ids, pa.int32())
+        known: dict[str, tuple] = {}
+
+        def pieces(word: str) -> tuple:
+            found = known.get(word)
+            if found is None:
+                found = tuple(longest_pieces(word, trie, max_chars, gap))
+                if len(word) <= max_chars:
+                    if len(known) >= KNOWN_WORDS:
+                        known.clear()
+                    known[word] = found
+            return found
+
         for whole in batches:
             for lo in range(0, whole.num_rows, ENCODE_ROWS):
                 batch = whole.slice(lo, ENCODE_ROWS)
-                tokens, numbers = [], []
-                for words in batch.column(len(keys)):
-                    out: list[str] = []
-                    for word in words.as_py() or ():
-                        pieces = known.get(word)
-                        if pieces is None:
-                            pieces = longest_pieces(word, trie, max_chars, unk)
-                            if len(word) <= max_chars:
-                                if len(known) >= KNOWN_WORDS:
-                                    known.clear()
-                                known[word] = pieces
-                        out += pieces
-                        if max_length and len(out) >= max_length:
-                            del out[max_length:]
-                            break
-                    tokens.append(out)
-                    numbers.append([ids.get(t, unk_id) for t in out])
+                offsets, out = _pieces_of_rows(batch.column(len(keys)), pieces, max_length)
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:len(keys)], pa.array(tokens, pa.list_(pa.string())), pa.array(numbers, pa.list_(pa.int32()))],
+                    [*batch.columns[:len(keys)], *(pa.ListArray.from_arrays(offsets, x.take(out)) for x in (tokens, numbers))],
                     names=schema.names)
 
     dealt = texts.repartition(tasks) if tasks else texts
